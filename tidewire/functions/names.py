@@ -1,59 +1,68 @@
 """Names, themes, places and lists of them."""
 
-import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import NAME_PREFIXES, THEME_PREFIXES
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters that count as blank at the ends of a text.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_BLANKS_SQL = "'" + "".join(f"\\u{ord(c):04x}" for c in BLANKS) + "'"
+
+# Keys of list entries are SQL texts over the name of a lambda variable, so that the expression
+# for a whole list is handed to Spark in one piece.
+Key = Callable[[str], str]
 
 
 def strip_space(c: Column) -> Column:
     """Trim every Unicode blank, not only the space character."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
-
-
-def before_comma(c: Column) -> Column:
-    return F.substring_index(c, ",", 1)
+    return F.btrim(c, F.lit(BLANKS))
 
 
-def normalize_name(c: Column) -> Column:
+def name_key(x: str) -> str:
     """Text before the first comma, without leading titles.
 
     Each title is tried once and in order, so ``PM President X`` gives ``X`` while
-    ``President PM X`` gives ``PM X``. One pattern with alternatives could not say that.
+    ``President PM X`` gives ``PM X``; one pattern with alternatives could not say that. The
+    pattern only keeps names without any title from the six replacements.
     """
-    name = before_comma(c)
-    for prefix in NAME_PREFIXES:
-        name = F.regexp_replace(name, "^" + re.escape(prefix), "")
-    return strip_space(name)
+    name = f"substring_index({x}, ',', 1)"
+    titles = [p.replace(".", "[.]") for p in NAME_PREFIXES]
+    bare = name
+    for title in titles:
+        bare = f"regexp_replace({bare}, '^{title}', '')"
+    titled = f"if({name} rlike '^({'|'.join(titles)})', {bare}, {name})"
+    return f"btrim({titled}, {_BLANKS_SQL})"
 
 
-def theme_key(theme: Column, source: Column) -> Column:
+def theme_key(x: str, source: str = "source") -> str:
     """News-graph themes carry an offset after a comma; themes of other sources are whole."""
-    return F.when(source == "GDELT", before_comma(theme)).otherwise(theme)
+    return f"if({source} <=> 'GDELT', substring_index({x}, ',', 1), {x})"
 
 
-def location_key(c: Column) -> Column:
+def location_key(x: str) -> str:
     """Second ``#`` field when there is one, else the whole text."""
-    return F.when(F.contains(c, F.lit("#")), F.get(F.split(c, "#"), F.lit(1))).otherwise(c)
+    return f"if(contains({x}, '#'), get(split({x}, '#'), 1), {x})"
 
 
-def split_list(c: Column) -> Column:
-    """Split on ``;`` keeping a trailing empty element; null gives an empty list."""
-    return F.coalesce(F.split(c, ";"), F.array().cast("array<string>"))
+def whole(x: str) -> str:
+    return x
 
 
-def drop_empty(arr: Column) -> Column:
-    return F.filter(arr, lambda x: x.isNotNull() & (x != ""))
+def entity_list(arr: str, key: Key) -> Column:
+    """Distinct non-empty keys of a raw list; a null list counts as empty."""
+    keys = f"filter(transform({arr}, x -> {key('x')}), k -> k <> '')"
+    return F.expr(f"coalesce(array_distinct({keys}), cast(array() as array<string>))")
 
 
-def entity_list(arr: Column, key) -> Column:
-    """Distinct non-empty keys of a raw list; a null list counts as empty."""
-    raw = F.coalesce(arr, F.array().cast("array<string>"))
-    return F.array_distinct(drop_empty(F.transform(drop_empty(raw), key)))
+def split_list(c: Column) -> Column:
+    """Split on ``;`` keeping a trailing empty element; null gives an empty list."""
+    return F.coalesce(F.split(c, ";"), F.array().cast("array<string>"))
 
 
 def article_title(title: Column, source_name: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.fixed import ANCHOR_LABELS, ARTICLE_LABELS, RETRIEVAL_TYPES
 from ..functions.match import strip_quotes
 from ..session import cut
 from .graph import undirected
-from .ranking import first_k
+from .ranking import first_k, first_k_distinct
 
 GRAM = 3
 SALTS = 8
@@ -124,6 +126,18 @@ def _check(hops: int) -> None:
         raise ValueError("hops must be from 1 to 5")
 
 
+def _merge(rows: DataFrame) -> DataFrame:
+    """Reached nodes with ``seen``, anchors so far, and ``fresh``, anchors that are new."""
+    merged = rows.groupBy("block", *NODE).agg(
+        F.bit_or("seen").alias("seen"), F.bit_or("got").alias("got")
+    )
+    seen, got = F.col("seen"), F.col("got")
+    return merged.select(
+        "block", *NODE, seen.bitwiseOR(got).alias("seen"),
+        got.bitwiseAND(F.bitwise_not(seen)).alias("fresh"),
+    )
+
+
 def expand(
     edges: DataFrame,
     anchors: DataFrame,
@@ -133,24 +147,57 @@ def expand(
 ) -> DataFrame:
     """Every target node within ``hops`` undirected steps of an anchor, with its distance.
 
-    ``edges`` should be a stored table, it is read once per hop. Anchors are expanded once
-    however many targets share them. The reached set is written after each hop.
+    Anchors travel in blocks of 64, each one bit of a number, so a node is joined and counted
+    once per block and not once per anchor, and the many paths to a node fall together in a
+    partial ``bit_or`` before the shuffle. The reached set is written after each hop. ``edges``
+    should be a stored table, it is read once per hop.
     """
     _check(hops)
     links = _links(edges, rel_types)
     is_target = F.col("label").isin(target_labels)
     numbered = _numbered(anchors)
-    reached = _start(numbered)
+    none = F.lit(0).cast("bigint")
+    reached = (
+        numbered.select(
+            F.expr("anchor_id div 64").alias("block"),
+            F.col("anchor_label").alias("label"),
+            F.col("anchor").alias("key"),
+            F.expr("shiftleft(1L, cast(anchor_id % 64 as int))").alias("fresh"),
+        )
+        .withColumn("seen", F.col("fresh"))
+    )
+    found = []
     for hop in range(1, hops + 1):
         last = hop == hops
-        frontier = reached.filter(F.col("hop") == hop - 1).drop("hop")
         usable = links.filter(F.col("far_label").isin(target_labels)) if last else links
         kept = reached.filter(is_target) if last else reached
-        reached = _settle(kept.unionByName(_step(frontier, usable, hop)))
+        step = (
+            reached.filter(F.col("fresh") != 0)
+            .join(usable, (F.col("label") == F.col("near_label")) & (F.col("key") == F.col("near")))
+            .select(
+                "block", F.col("far_label").alias("label"), F.col("far").alias("key"),
+                none.alias("seen"), F.col("fresh").alias("got"),
+            )
+        )
+        reached = _merge(kept.select("block", *NODE, "seen", none.alias("got")).unionByName(step))
         if not last:
             reached = cut(reached, f"hop{hop}")
-    found = reached.filter(is_target & (F.col("hop") > 0))
-    return found.join(numbered, "anchor_id").select(*ANCHOR, *NODE, "hop")
+        found.append(
+            reached.filter(is_target & (F.col("fresh") != 0)).select(
+                "block", *NODE, "fresh", F.lit(hop).alias("hop")
+            )
+        )
+    bits = F.filter(
+        F.sequence(F.lit(0), F.lit(63)),
+        lambda i: F.call_function("getbit", F.col("fresh"), i) == 1,
+    )
+    return (
+        reduce(DataFrame.unionByName, found)
+        .select("block", *NODE, "hop", F.explode(bits).alias("bit"))
+        .select((F.col("block") * 64 + F.col("bit")).alias("anchor_id"), *NODE, "hop")
+        .join(numbered, "anchor_id")
+        .select(*ANCHOR, *NODE, "hop")
+    )
 
 
 def nearest(
@@ -186,17 +233,16 @@ def nearest(
                 .agg(F.count(F.lit(1)).alias("n"))
                 .filter(F.col("n") >= limit)
             )
-            frontier = cut(
-                frontier.join(finished.select("anchor_id"), "anchor_id", "left_anti"),
-                f"frontier{hop}",
-            )
+            frontier = frontier.join(finished.select("anchor_id"), "anchor_id", "left_anti")
+            if frontier.isEmpty():
+                break
         here = frontier.select(
             F.col("label").alias("near_label"), F.col("key").alias("near")
         ).distinct()
-        ends = links.filter(to_target).join(here, ["near_label", "near"], "left_semi").distinct()
-        ends = first_k(
-            ends, ["near_label", "near"], [F.col("far"), F.col("far_label")], 2 * limit - 1
-        ).drop("rank")
+        ends = first_k_distinct(
+            links.filter(to_target).join(here, ["near_label", "near"], "left_semi"),
+            ["near_label", "near"], [F.col("far"), F.col("far_label")], 2 * limit - 1,
+        )
         found = _step(frontier, ends, hop)
         if hop < hops:
             found = found.unionByName(_step(frontier, links.filter(~to_target), hop))

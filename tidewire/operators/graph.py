@@ -1,6 +1,6 @@
 """Node and edge tables from records.
 
-``keyed`` below always means records whose four entity lists went through :func:`keyed`.
+``keyed_records`` are records whose four entity lists went through ``lists.keyed``.
 """
 
 from __future__ import annotations
@@ -8,31 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import (
-    article_title,
-    entity_list,
-    location_key,
-    normalize_name,
-    theme_key,
-)
+from ..functions.names import article_title, entity_list, whole
 from ..schemas import EDGE_COLUMNS, EDGE_KEY, NODE_KEY
 from .pairs import ASSOCIATED, pair_counts
 
 
-def keyed(records: DataFrame) -> DataFrame:
-    """Entity lists as distinct keys: names without titles, themes and places without offsets,
-    no empty entries. A record counts an entity once however often it names it."""
-    source = F.col("source")
-    return records.withColumns(
-        {
-            "persons": entity_list(F.col("persons"), normalize_name),
-            "organizations": entity_list(F.col("organizations"), normalize_name),
-            "locations": entity_list(F.col("locations"), location_key),
-            "themes": entity_list(F.col("themes"), lambda t: theme_key(t, source)),
-        }
-    )
-
-
 def accepted(records: DataFrame, key: str = "url") -> DataFrame:
     return records.filter(F.col(key).isNotNull() & (F.col(key) != ""))
 
@@ -102,17 +82,14 @@ def weather_nodes(records: DataFrame) -> DataFrame:
     )
 
 
-def _ends(arr: str, label: str) -> Column:
-    return F.transform(
-        F.col(arr), lambda x: F.struct(F.lit(label).alias("label"), x.alias("key"))
-    )
-
-
 def mentions(keyed_records: DataFrame) -> DataFrame:
     """One row per record and entity, from one pass over the lists."""
-    ends = F.concat(
-        _ends("persons", "Person"), _ends("organizations", "Organization"),
-        _ends("locations", "Location"), _ends("themes", "Theme"),
+    ends = F.expr(
+        """concat(
+          transform(persons, k -> struct('Person' as label, k as key)),
+          transform(organizations, k -> struct('Organization' as label, k as key)),
+          transform(locations, k -> struct('Location' as label, k as key)),
+          transform(themes, k -> struct('Theme' as label, k as key)))"""
     )
     return keyed_records.select("url", F.inline(ends))
 
@@ -144,15 +121,15 @@ def article_edges(keyed_records: DataFrame) -> DataFrame:
     )
 
 
-def association_edges(keyed_records: DataFrame) -> DataFrame:
+def association_edges(records: DataFrame) -> DataFrame:
     """Person to organisation, weighted by the number of records that name both."""
-    return pair_counts(keyed_records, [ASSOCIATED], min_weight=1)
+    return pair_counts(records, [ASSOCIATED], min_weight=1)
 
 
 def _plain_edges(records: DataFrame, src_label: str, parts: list[tuple[str, str, str]]) -> DataFrame:
     def ends(arr: str, rel: str, label: str) -> Column:
         return F.transform(
-            entity_list(F.col(arr), lambda x: x),
+            entity_list(arr, whole),
             lambda x: F.struct(
                 F.lit(rel).alias("rel_type"), F.lit(label).alias("dst_label"), x.alias("dst")
             ),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import EDGE_COLUMNS
+from .lists import keyed
 
 # A report whose lists make more pairs than this is cut into pieces that spread over tasks.
 PAIRS_PER_PIECE = 250_000
@@ -31,35 +32,48 @@ KNOWS = Family("KNOWS_OR_COOCCURRED_WITH", "Person", "persons", "Person", "perso
 ALL_FAMILIES = [ASSOCIATED, LOCATED, OPERATES, KNOWS]
 
 
-def pair_rows(keyed: DataFrame, families: list[Family], piece: int = PAIRS_PER_PIECE) -> DataFrame:
-    """One row per report, edge type and pair: ``rel_type, a, b``.
+def _family_lists(records: DataFrame, families: list[Family]) -> DataFrame:
+    """One row per report and family with both key lists; lists met with themselves are sorted."""
 
-    All families come from one pass over the reports, and pairs are made inside the row, so
+    def keys(f: Family, name: str) -> Column:
+        return F.array_sort(name) if f.left == f.right else F.col(name)
+
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(f.rel_type).alias("rel_type"),
+                F.lit(f.left == f.right).alias("same"),
+                keys(f, f.left).alias("l"),
+                keys(f, f.right).alias("r"),
+            )
+            for f in families
+        ]
+    )
+    return (
+        keyed(records)
+        .select("url", F.inline(rows))
+        .filter((F.size("l") > 0) & (F.size("r") > 0))
+    )
+
+
+def pair_rows(records: DataFrame, families: list[Family], piece: int = PAIRS_PER_PIECE) -> DataFrame:
+    """One row per record, edge type and pair: ``rel_type, a, b``.
+
+    All families come from one pass over the records, and pairs are made inside the row, so
     nothing is shuffled before the partial count. Pairs within one list are made once, with
-    ``a < b``. A report with very long lists is cut into pieces of bounded work first and only
-    those pieces are shuffled.
+    ``a < b``. A record whose raw lists are very long is cut into pieces of bounded work, and
+    only those pieces are shuffled.
     """
-    lists = keyed.select(
-        "url",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f.rel_type).alias("rel_type"),
-                        F.lit(f.left == f.right).alias("same"),
-                        (F.array_sort(f.left) if f.left == f.right else F.col(f.left)).alias("l"),
-                        (F.array_sort(f.right) if f.left == f.right else F.col(f.right)).alias("r"),
-                    )
-                    for f in families
-                ]
-            )
-        ),
-    ).filter((F.size("l") > 0) & (F.size("r") > 0))
-    work = F.size("l").cast("bigint") * F.size("r")
+    size = lambda name: F.coalesce(F.size(name), F.lit(0)).cast("bigint")
+    work = F.greatest(*[size(f.left) * size(f.right) for f in families], F.lit(0))
+    short = (
+        _family_lists(records.filter(work <= piece), families)
+        .withColumn("start", F.lit(0))
+        .withColumn("part", F.col("l"))
+    )
     step = F.greatest(F.lit(1), F.floor(F.lit(piece) / F.size("r"))).cast("int")
-    short = lists.filter(work <= piece).withColumn("start", F.lit(0)).withColumn("part", F.col("l"))
     long = (
-        lists.filter(work > piece)
+        _family_lists(records.filter(work > piece), families)
         .withColumn("step", step)
         .withColumn("start", F.explode(F.sequence(F.lit(0), F.size("l") - 1, F.col("step"))))
         .withColumn("part", F.slice("l", F.col("start") + 1, F.col("step")))
@@ -74,13 +88,15 @@ def pair_rows(keyed: DataFrame, families: list[Family], piece: int = PAIRS_PER_P
     )
 
 
-def pair_counts(keyed: DataFrame, families: list[Family] = ALL_FAMILIES, min_weight: int = 2) -> DataFrame:
-    """Edges weighted by the number of rows of ``keyed`` that hold both ends.
+def pair_counts(
+    records: DataFrame, families: list[Family] = ALL_FAMILIES, min_weight: int = 2
+) -> DataFrame:
+    """Edges weighted by the number of rows of ``records`` that hold both ends.
 
-    With one row per report (see ``latest_reports``) the weight counts distinct reports.
+    With one row per report (see ``graph.latest_reports``) the weight counts distinct reports.
     """
     counted = (
-        pair_rows(keyed, families)
+        pair_rows(records, families)
         .groupBy("rel_type", "a", "b")
         .agg(F.count(F.lit(1)).alias("weight"))
         .filter(F.col("weight") >= min_weight)

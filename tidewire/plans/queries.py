@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import STREAM_TERMS
-from ..operators import alerts, cards, evidence, expand, graph, inspect, pairs, ranking
+from ..operators import alerts, cards, evidence, expand, graph, inspect, lists, pairs, ranking
 from ..session import cut, scratch_path
 from ..sources import gkg, indicators, pages, store, topic, weather
 from ..streaming import enrich, growth
@@ -209,7 +209,7 @@ def alert_blocks(v: Views) -> DataFrame:
 
 @query
 def normalize_entities(v: Views) -> DataFrame:
-    return graph.mentions(graph.keyed(v.reports()))
+    return graph.mentions(lists.keyed(v.reports()))
 
 
 @query
@@ -219,7 +219,7 @@ def article_upsert(v: Views) -> DataFrame:
 
 @query
 def entity_nodes(v: Views) -> DataFrame:
-    return graph.entity_nodes(graph.keyed(v.reports()))
+    return graph.entity_nodes(lists.keyed(v.reports()))
 
 
 @query
@@ -236,19 +236,19 @@ def unique_keys(v: Views) -> DataFrame:
 
 @query
 def mention_edges(v: Views) -> DataFrame:
-    return graph.article_edges(graph.keyed(v.repeats())).filter("rel_type = 'MENTIONED_IN'")
+    return graph.article_edges(lists.keyed(v.repeats())).filter("rel_type = 'MENTIONED_IN'")
 
 
 @query
 def article_links(v: Views) -> DataFrame:
-    return graph.article_edges(graph.keyed(v.repeats())).filter(
+    return graph.article_edges(lists.keyed(v.repeats())).filter(
         F.col("rel_type").isin("HAS_THEME", "LOCATED_IN")
     ).drop("weight")
 
 
 @query
 def association_edges(v: Views) -> DataFrame:
-    return graph.association_edges(graph.keyed(v.repeats()))
+    return graph.association_edges(v.repeats())
 
 
 @query
@@ -263,7 +263,7 @@ def weather_edges(v: Views) -> DataFrame:
 
 def _cooccur(family: pairs.Family, min_weight: int) -> Callable[[Views], DataFrame]:
     def run(v: Views) -> DataFrame:
-        return pairs.pair_counts(graph.keyed(v.reports()), [family], min_weight)
+        return pairs.pair_counts(v.reports(), [family], min_weight)
 
     return run
 
@@ -283,14 +283,14 @@ for _name, (_family, _least) in COOCCUR.items():
 @query
 def cooccur_distinct_reports(v: Views) -> DataFrame:
     """All four families at the usual threshold; repeated reports count once."""
-    return pairs.pair_counts(graph.keyed(graph.latest_reports(v.repeats())), pairs.ALL_FAMILIES, 2)
+    return pairs.pair_counts(graph.latest_reports(v.repeats()), pairs.ALL_FAMILIES, 2)
 
 
 def _two_runs(v: Views) -> tuple[DataFrame, DataFrame]:
-    lists = graph.keyed(v.reports())
+    reports = v.reports()
     return (
-        pairs.pair_counts(v.earlier(lists), [pairs.ASSOCIATED, pairs.KNOWS], 2),
-        pairs.pair_counts(v.later(lists), [pairs.ASSOCIATED, pairs.KNOWS], 5),
+        pairs.pair_counts(v.earlier(reports), [pairs.ASSOCIATED, pairs.KNOWS], 2),
+        pairs.pair_counts(v.later(reports), [pairs.ASSOCIATED, pairs.KNOWS], 5),
     )
 
 
@@ -307,13 +307,14 @@ def weight_accumulate(v: Views) -> DataFrame:
 @query
 def write_counters(v: Views) -> DataFrame:
     """Nodes and edges that adding the later reports would create."""
-    lists = graph.keyed(v.reports())
+    reports = v.reports()
+    old, new = v.earlier(reports), v.later(reports)
     nodes = graph.created(
-        graph.entity_nodes(v.earlier(lists)), graph.entity_nodes(v.later(lists)), ["label", "key"]
+        graph.entity_nodes(lists.keyed(old)), graph.entity_nodes(lists.keyed(new)), ["label", "key"]
     )
     edges = graph.created(
-        graph.article_edges(v.earlier(lists)).unionByName(graph.association_edges(v.earlier(lists))),
-        graph.article_edges(v.later(lists)).unionByName(graph.association_edges(v.later(lists))),
+        graph.article_edges(lists.keyed(old)).unionByName(graph.association_edges(old)),
+        graph.article_edges(lists.keyed(new)).unionByName(graph.association_edges(new)),
         graph.EDGE_KEY,
     )
     return nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit("nodes").alias("created"), "n").unionByName(
@@ -367,13 +368,13 @@ def growth_alerts(v: Views) -> DataFrame:
 def _retrieval(v: Views, reports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored articles, anchor nodes and edges, as a retrieval job would find them."""
     stored = cut(reports, "reports")
-    lists = graph.keyed(stored)
-    return stored, graph.entity_nodes(lists), cut(v.retrieval_edges(stored), "edges")
+    nodes = cut(graph.entity_nodes(lists.keyed(stored)), "nodes")
+    return stored, nodes, cut(v.retrieval_edges(stored), "edges")
 
 
 @query
 def resolve_targets(v: Views) -> DataFrame:
-    return expand.resolve_targets(v.targets(), graph.entity_nodes(graph.keyed(v.reports())))
+    return expand.resolve_targets(v.targets(), graph.entity_nodes(lists.keyed(v.reports())))
 
 
 @query
@@ -386,7 +387,7 @@ def resolve_names(v: Views) -> DataFrame:
         .distinct()
         .withColumn("target_id", F.xxhash64("target"))
     )
-    return expand.resolve_targets(asked, graph.entity_nodes(graph.keyed(v.reports()))).drop("target_id")
+    return expand.resolve_targets(asked, graph.entity_nodes(lists.keyed(v.reports()))).drop("target_id")
 
 
 @query
@@ -468,7 +469,6 @@ def weather_cards(v: Views) -> DataFrame:
 def _cards(v: Views, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cards of all targets, keywords used where a target of several words found nothing."""
     stored, nodes, edges = _retrieval(v, reports)
-    nodes = cut(nodes, "nodes")
     articles = graph.article_nodes(stored)
     targets = v.targets()
 
@@ -669,6 +669,6 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Reports to keyed entities to scored pairs to the heaviest places."""
     v = Views(spark, folder)
     return alerts.heavy_relationships(
-        pairs.pair_counts(graph.keyed(v.reports()), pairs.ALL_FAMILIES, 2),
+        pairs.pair_counts(v.reports(), pairs.ALL_FAMILIES, 2),
         labels=["Location", "Organization"],
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.graph import (
     article_edges,
@@ -16,10 +17,10 @@ from ..operators.graph import (
     entity_nodes,
     indicator_edges,
     indicator_nodes,
-    keyed,
     weather_edges,
     weather_nodes,
 )
+from ..operators.lists import keyed
 from ..operators.pairs import KNOWS, LOCATED, OPERATES, pair_counts
 from ..schemas import GKG_COLUMNS
 from ..sources.indicators import flatten_responses
@@ -39,6 +40,8 @@ DOCUMENT_REGIONS = ["ononst", "inoran", "hehely"]
 ANSWER = "facts [1], more [3], again [1], none [99]"
 STORED_UNTIL = "1998-01-01"
 
+_schemas: dict[str, StructType] = {}
+
 
 class Views:
     """Views over one folder of tables."""
@@ -48,7 +51,11 @@ class Views:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table; its schema is read from the files once and then given."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _schemas:
+            _schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[path]).parquet(path)
 
     def reports(self) -> DataFrame:
         """One record per order; orders without lines have null lists."""
@@ -69,7 +76,9 @@ class Views:
             .join(self.table("nation").select("n_nationkey", "n_name"),
                   F.col("s_nationkey") == F.col("n_nationkey"))
         )
-        lists = lines.groupBy("l_orderkey").agg(
+        # A set per order shrinks nothing before the shuffle, so rows travel plain and the sets are
+        # made once, on the partitioning that the join with the orders uses again.
+        lists = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(
             F.array_sort(F.collect_set(person)).alias("persons"),
             F.array_sort(F.collect_set("p_brand")).alias("organizations"),
             F.array_sort(F.collect_set(F.concat(F.lit("1#"), "n_name", F.lit("#XX")))).alias(
@@ -251,15 +260,14 @@ class Views:
 
     def retrieval_edges(self, reports: DataFrame) -> DataFrame:
         """Edges that retrieval follows: article edges, associations, places of organisations."""
-        lists = keyed(reports)
         return (
-            article_edges(lists)
-            .unionByName(association_edges(lists))
-            .unionByName(pair_counts(lists, [OPERATES], 2))
+            article_edges(keyed(reports))
+            .unionByName(association_edges(reports))
+            .unionByName(pair_counts(reports, [OPERATES], 2))
         )
 
     def scored_edges(self, reports: DataFrame, min_weight: int = 2) -> DataFrame:
-        return pair_counts(keyed(reports), [LOCATED, OPERATES, KNOWS], min_weight)
+        return pair_counts(reports, [LOCATED, OPERATES, KNOWS], min_weight)
 
     def nodes(self, reports: DataFrame) -> DataFrame:
         """All nodes: ``label, key, title, date, tone, source, url, ingestion_timestamp``."""
