@@ -501,7 +501,10 @@ for _n in (1, 2, 3):
     reach(f"t{_n}", "anchors", "edges", _n, 25)
     sql(f"hop_expand_{_n}", ["anchors", f"reach_t{_n}"], f"""
       select target_id, anchor_label, anchor, url, hop
-      from anchors join reach_t{_n} using (anchor_label, anchor)""")
+      from anchors join reach_t{_n} using (anchor_label, anchor)""" if _n < 3 else f"""
+      select target_id, anchor_label, anchor, hop, count(*) as articles, min(url) as first_url,
+        max(url) as last_url
+      from anchors join reach_t{_n} using (anchor_label, anchor) group by all""")
 sql("top_articles_per_anchor", ["anchors", "near_t3"], """
   select target_id, anchor_label, anchor, url, hop, rank
   from anchors join near_t3 using (anchor_label, anchor)""")

@@ -21,6 +21,7 @@ def local_session(cores: str = "*", name: str = "tidewire", **conf: str) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
