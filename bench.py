@@ -22,7 +22,7 @@ HEADLINE = [
     "resolve_names", "hop_expand_1", "top_articles_per_anchor", "article_cards", "evidence_rows",
     "last_messages", "entity_summaries", "stream_enrich",
 ]
-SLOW = 15.0  # a query slower than this when warming up is timed once
+SLOW = 10.0  # a query slower than this when warming up is timed once
 
 
 def run(spark, name: str, folder: str) -> float:
@@ -34,7 +34,7 @@ def run(spark, name: str, folder: str) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = [n for n in os.environ.get("BENCH_ONLY", "").split(",") if n] or HEADLINE
     spark = local_session(cpus, "bench")
     seconds = {}

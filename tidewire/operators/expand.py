@@ -244,9 +244,11 @@ def nearest(
             ["near_label", "near"], [F.col("far"), F.col("far_label")], 2 * limit - 1,
         )
         found = _step(frontier, ends, hop)
-        if hop < hops:
+        if hop == hops:
+            reached = _settle(reached.filter(is_target).unionByName(found))
+        else:
             found = found.unionByName(_step(frontier, links.filter(~to_target), hop))
-        reached = cut(_settle(reached.unionByName(found)), f"nearest{hop}")
+            reached = cut(_settle(reached.unionByName(found)), f"nearest{hop}")
     ends = reached.filter(is_target & (F.col("hop") > 0))
     first = first_k(ends, ["anchor_id"], [F.col("hop"), F.col("key"), F.col("label")], limit)
     return first.join(numbered, "anchor_id").select(*ANCHOR, *NODE, "hop", "rank")
