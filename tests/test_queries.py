@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__
 from oracle_check import compare, connect
+from tidewire.plans.oracle import SQL
+from tidewire.plans.queries import REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
 LONG = {"keyword_fusion", "keyword_fusion_first_line", "evidence_rows", "cited_sources", "prompt_assembly",
@@ -23,10 +25,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(REGISTRY) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_equals_sql(spark, con, name):
     if name in LONG and not os.environ.get("TIDEWIRE_ALL"):
         pytest.skip("long")
