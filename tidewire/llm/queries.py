@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewire.llm import simhash
+from tidewire.llm import langid, packing, simhash, toxicity
 from tidewire.llm.common import load
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(load(spark, folder, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
 def op6_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, folder, "documents"))
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(load(spark, folder, "documents"), public_tokenizers.path(packing.VOCABULARY))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op4_toxicity": op4_toxicity,
     "op6_simhash_neardup": op6_simhash_neardup,
+    "op9_packing": op9_packing,
 }
 
 SQL: dict[str, str] = {}
