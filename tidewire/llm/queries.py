@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import langid, packing, simhash, toxicity
+from tidewire.llm import langid, packing, piecebpe, simhash, tokencount, toxicity
 from tidewire.llm.common import load
 
 
@@ -16,6 +16,15 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(load(spark, folder, "documents"))
 
 
+def op2_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    found = piecebpe.encode(load(spark, folder, "documents"), public_tokenizers.path(piecebpe.MODEL))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
@@ -24,6 +33,10 @@ def op6_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, folder, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.count_tokens(load(spark, folder, "documents"), public_tokenizers.path(tokencount.VOCABULARY))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(load(spark, folder, "documents"), public_tokenizers.path(packing.VOCABULARY))
     return pieces.select(
@@ -33,8 +46,10 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_piece_encoding": op2_piece_encoding,
     "op4_toxicity": op4_toxicity,
     "op6_simhash_neardup": op6_simhash_neardup,
+    "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
 }
 
