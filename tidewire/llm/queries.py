@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import langid, packing, piecebpe, simhash, tokencount, toxicity
+from tidewire.llm import collisions, langid, packing, piecebpe, simhash, tokencount, topk, toxicity
 from tidewire.llm.common import load
 
 
@@ -25,6 +25,10 @@ def op2_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_vector_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return collisions.near_duplicates(load(spark, folder, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
@@ -44,13 +48,19 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(load(spark, folder, "embeddings"), F.col("vec_id") % topk.EVERY == 0)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_piece_encoding": op2_piece_encoding,
+    "op3_vector_neardup": op3_vector_neardup,
     "op4_toxicity": op4_toxicity,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
+    "op10_topk": op10_topk,
 }
 
 SQL: dict[str, str] = {}
