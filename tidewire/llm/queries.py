@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import collisions, langid, packing, piecebpe, simhash, tokencount, topk, toxicity
+from tidewire.llm import collisions, langid, packing, piecebpe, simhash, tokencount, topk, toxicity, urlfilter
 from tidewire.llm.common import load
 
 
@@ -41,6 +41,10 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.count_tokens(load(spark, folder, "documents"), public_tokenizers.path(tokencount.VOCABULARY))
 
 
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urlfilter.judge(load(spark, folder, "pages")).drop("score")
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(load(spark, folder, "documents"), public_tokenizers.path(packing.VOCABULARY))
     return pieces.select(
@@ -59,6 +63,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op7_token_counts": op7_token_counts,
+    "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
 }
