@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import collisions, langid, packing, piecebpe, simhash, tokencount, topk, toxicity, urlfilter
+from tidewire.llm import collisions, langid, lattice, packing, piecebpe, simhash, tokencount, topk, toxicity, urlfilter
 from tidewire.llm.common import load
 
 
@@ -33,6 +33,10 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
 
+def op5_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.score_documents(load(spark, folder, "documents"), public_tokenizers.path(lattice.MODEL))
+
+
 def op6_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, folder, "documents"))
 
@@ -61,6 +65,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_encoding": op2_piece_encoding,
     "op3_vector_neardup": op3_vector_neardup,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_score": op5_lm_score,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import own
+from tidewire.llm.common import own, struct_array
+from tidewire.llm.vectors import matrix
 from tidewire.session import cut
 
 HOT, HOT_BYTES = 300_000, 64
@@ -74,41 +76,46 @@ def hot_terms(terms: DataFrame, most: int = HOT) -> DataFrame:
     return short.where(F.col("n") >= F.lit(float(2**band)))
 
 
-def row_sums(rows: DataFrame, split: Split, terms: DataFrame, width: int, keep: list[str], most: int = HOT) -> DataFrame:
-    """``keep`` of every row of ``rows(text, ...)`` and ``sums``, the sums of ``terms(term, n, values)``
-    over the row's terms. Every term of a row must be in ``terms``; ``values`` has ``width`` doubles."""
-    spark, row = rows.sparkSession, own("row")
-    hot = hot_terms(terms, most).select("term", "values").toArrow()
-    names = hot.column("term").to_pylist()
-    matrix = np.array(hot.column("values").to_pylist(), dtype=np.float64).reshape(len(names), width)
-    shared = spark.sparkContext.broadcast(({t: i for i, t in enumerate(names)}, matrix))
+def row_sums(
+    rows: DataFrame, split: Split, terms: DataFrame, values: list[Column], keep: list[str], most: int = HOT
+) -> DataFrame:
+    """``keep`` of every row of ``rows(text, ...)`` and ``sums``: over the row's terms, each time it occurs,
+    of every value. ``values`` are doubles over the columns of ``terms(term, n, ...)``, which holds every
+    term of the rows; they are made after the join, so only those columns travel."""
+    spark, row, width = rows.sparkSession, own("row"), len(values)
+    hot = hot_terms(terms, most).select("term", F.array(*values).alias("values")).toArrow()
+    shared = spark.sparkContext.broadcast(
+        ({t: i for i, t in enumerate(hot.column("term").to_pylist())}, matrix(hot.column("values"), width))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, values = shared.value
-        get = index.get
+        index, known = shared.value
+        get, unknown = index.get, repeat(-1)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                sums, rest = [], []
+                sums, ends, terms_left, counts_left = [], [0], [], []
                 for found in split(part.column(0).to_pylist()):
-                    where = np.array([get(t, -1) for t in found], dtype=np.int64)
-                    other = np.flatnonzero(where < 0)
-                    rest.append(list(Counter(found[i] for i in other.tolist()).items()))
-                    sums.append(values[where[where >= 0]].sum(axis=0))
-                kind = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))
-                lists = pa.array([[{"term": t, "n": n} for t, n in r] for r in rest], kind)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array([s.tolist() for s in sums], pa.list_(pa.float64())), lists],
-                    [*part.schema.names[1:], "sums", "rest"],
-                )
+                    where = np.fromiter(map(get, found, unknown), np.int64, len(found))
+                    rest = Counter([found[i] for i in np.flatnonzero(where < 0).tolist()])
+                    terms_left += rest.keys()
+                    counts_left += rest.values()
+                    ends.append(len(terms_left))
+                    sums.append(known[where[where >= 0]].sum(axis=0))
+                pairs = struct_array(["term", "n"], [pa.string(), pa.int64()], [terms_left, counts_left])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+                flat = pa.array(np.array(sums).ravel(), pa.float64())
+                added = pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], added, lists], [*part.schema.names[1:], "sums", "rest"])
 
     kept = rows.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     read = rows.select("text", *keep).mapInArrow(run, f"{schema}, sums array<double>, rest array<struct<term:string,n:long>>")
     read = cut(read.withColumn(row, F.monotonically_increasing_id()), "row-sums")
-    travelling = read.select(row, F.explode("rest").alias("rest")).select(row, "rest.*")
-    joined = travelling.join(terms.select("term", "values"), "term")
-    added = joined.groupBy(row).agg(*[F.sum(F.col("n") * F.col("values")[i]).alias(f"add{i}") for i in range(width)])
+    times = own("times")
+    travelling = read.select(row, F.explode("rest").alias("rest")).select(row, F.col("rest.term").alias("term"), F.col("rest.n").alias(times))
+    joined = travelling.join(terms, "term")
+    added = joined.groupBy(row).agg(*[F.sum(F.col(times) * v).alias(f"add{i}") for i, v in enumerate(values)])
     added = added.withColumnRenamed(row, own("of"))
     total = F.array(*[F.col("sums")[i] + F.coalesce(F.col(f"add{i}"), F.lit(0.0)) for i in range(width)])
     return read.drop("rest").join(added, F.col(row) == F.col(own("of")), "left").select(*keep, total.alias("sums"))

@@ -75,8 +75,8 @@ def _measure(path: str):
             for part in pieces(range(0, len(batch), 5000), 1):
                 rows = batch.slice(part[0], 5000)
                 found = library.encode_batch_fast(rows.column(0).to_pylist(), add_special_tokens=False)
-                values = pa.array([[float(len(e.ids))] for e in found], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, values], ["term", "n", "values"])
+                tokens = pa.array([len(e.ids) for e in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*rows.columns, tokens], ["term", "n", "tokens"])
 
     return run
 
@@ -87,7 +87,7 @@ def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
     rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     distinct = counted(rows, F.col("text"), split).groupBy("term").agg(F.sum("n").alias("n"))
-    terms = cut(distinct.mapInArrow(_measure(path), "term string, n long, values array<double>"), "pre-tokens")
+    terms = cut(distinct.mapInArrow(_measure(path), "term string, n long, tokens long"), "pre-tokens")
     tokens = F.col("sums")[0].cast("long")
-    summed = row_sums(rows, split, terms, 1, ["doc_id", "n_bytes"])
+    summed = row_sums(rows, split, terms, [F.col("tokens").cast("double")], ["doc_id", "n_bytes"])
     return summed.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))
