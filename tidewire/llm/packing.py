@@ -9,9 +9,9 @@ whose lengths are powers of two, so no id is dropped and nothing is padded.
 Long documents travel as rows of at most ``ROW_IDS`` ids. Ties on the curve are broken by the id, so
 copies spread over partitions like other rows.
 
-Ids come from the library. Words of common Latin texts are looked up in a table that each worker fills
-from the library, as the ids of a word don't depend on its neighbours; all other texts are encoded whole
-by the library.
+Ids come from the library. Chunks between white space of common Latin texts are looked up in a table that
+each worker fills from the library, as the ids of a word don't depend on its neighbours; all other texts
+are encoded whole by the library.
 
 Defined results: a null text is empty and has the end id alone; repeated rows are packed each; an empty
 table gives an empty one.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,35 +49,69 @@ _SPECIAL = r"<\|(?:startoftext|endoftext)\|>"
 _WORD = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
 )
-#: Texts that need the library as a whole.
-_OTHER = re.compile(f"[^\x00-ſ‐-‧‰-⁞₠-₿]|İ|{_SPECIAL}")
+#: Texts that need the library as a whole. The separators U+001C to U+001F are no white space to it.
+_OTHER = re.compile(f"[^\x00-\x1b\x20-ſ‐-‧‰-⁞₠-₿]|İ|{_SPECIAL}")
+_OTHER_ASCII = re.compile(f"[\x1c-\x1f]|{_SPECIAL}")
 
 _worker: dict = {}
 
 
-def _library(path: str):
-    if path not in _worker:
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in the vocabulary: itself, or the next from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Words(dict):
+    """Ids of chunks between white space, as little-endian 16-bit numbers; filled from the library."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _worker[path] = (Tokenizer.from_file(path), {})
-    return _worker[path]
+        self.library = Tokenizer.from_file(path)
+        self.tokenize = self.library.model.tokenize
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self.older.get(chunk)
+        if out is not None:
+            self[chunk] = out
+            return out
+        known, out = self.words, b""
+        for word in _WORD.findall(chunk):
+            ids = known.get(word)
+            if ids is None:
+                letters = word.encode().decode("latin-1").translate(self.letters)
+                ids = known[word] = array("H", [t.id for t in self.tokenize(letters)]).tobytes()
+            out += ids
+        self[chunk] = out
+        return out
+
+    def whole(self, text: str) -> bytes:
+        return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def forget(self) -> None:
+        """Bounds what is held: chunks not met since the last time go."""
+        if len(self) > REMEMBERED:
+            self.older = self.copy()
+            self.clear()
+            self.words.clear()
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
-    """The ids of every text as little-endian 16-bit numbers, without special ones around it."""
-    library, known = _library(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    words = [None if _OTHER.search(t) else _WORD.findall(t.lower()) for t in texts]
-    missing = list(set().union(*[w for w in words if w]).difference(known))
-    for word, found in zip(missing, library.encode_batch_fast(missing, add_special_tokens=False)):
-        known[word] = np.array(found.ids, dtype="<u2").tobytes()
-    get = known.__getitem__
+    """The ids of every text as 16-bit numbers, without special ones around it."""
+    if path not in _worker:
+        _worker[path] = Words(path)
+    words = _worker[path]
+    words.forget()
+    get = words.__getitem__
     return [
-        np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() if w is None
-        else b"".join(map(get, w))
-        for t, w in zip(texts, words)
+        words.whole(t) if (_OTHER_ASCII if t.isascii() else _OTHER).search(t) else b"".join(map(get, t.lower().split()))
+        for t in texts
     ]
 
 
