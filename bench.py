@@ -1,7 +1,8 @@
 """Times the headline queries and prints one line of JSON.
 
-Every query runs once to warm up and is then timed; one that is slow when warming up keeps that first
-time. Rows go to a sink that discards them, so the whole result is computed. Environment: BENCH_SF_DIR, BENCH_CPUS, BENCH_RUNS, BENCH_ONLY.
+Every query runs BENCH_RUNS times (3) and the median counts. Rows go to a sink that discards them, so the
+whole result is computed; what a run wrote to the scratch folder is deleted after it. Environment:
+BENCH_SF_DIR, BENCH_CPUS, BENCH_RUNS, BENCH_ONLY (names, or ``all``).
 """
 
 import json
@@ -11,7 +12,7 @@ import sys
 import time
 
 from tidewire.plans.queries import REGISTRY
-from tidewire.session import local_session
+from tidewire.session import clear_scratch, local_session
 
 HEADLINE = [
     "last_messages", "relevance_filter", "canonical_records", "record_store", "new_records_by_id",
@@ -22,32 +23,33 @@ HEADLINE = [
     "resolve_names", "hop_expand_1", "top_articles_per_anchor", "article_cards", "evidence_rows",
     "entity_summaries", "stream_enrich",
 ]
-SLOW = 10.0  # a query slower than this when warming up is not run again
 
 
 def run(spark, name: str, folder: str) -> float:
     start = time.perf_counter()
     REGISTRY[name](spark, folder).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    taken = time.perf_counter() - start
+    clear_scratch(spark)
+    return taken
 
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
-    names = [n for n in os.environ.get("BENCH_ONLY", "").split(",") if n] or HEADLINE
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    only = os.environ.get("BENCH_ONLY", "")
+    names = list(REGISTRY) if only == "all" else [n for n in only.split(",") if n] or HEADLINE
     spark = local_session(cpus, "bench")
     seconds = {}
     for name in names:
-        warm = run(spark, name, folder)
-        timed = [warm] if warm > SLOW else [run(spark, name, folder) for _ in range(runs)]
+        timed = [run(spark, name, folder) for _ in range(runs)]
         seconds[name] = round(statistics.median(timed), 3)
-        print(f"{name} {seconds[name]} (first {warm:.1f})", file=sys.stderr, flush=True)
+        print(f"{name} {seconds[name]} of {[round(t, 1) for t in timed]}", file=sys.stderr, flush=True)
     spark.stop()
     print(
         json.dumps(
             {
-                "metric": "total seconds of the headline queries",
+                "metric": f"total of the median seconds of {len(names)} queries",
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,

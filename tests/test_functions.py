@@ -134,7 +134,7 @@ def test_small_text_functions(spark):
     assert value(spark, match.card_source(F.col("c")), c="none") == "Unknown"
     assert value(spark, match.card_url(F.col("c")), c="a\nURL: http://x/y\nKEY") == "http://x/y"
     assert value(spark, match.headline(F.col("c")), c="first\nsecond") == "first"
-    assert value(spark, match.headline(F.col("c")), c="") == "Live Intelligence Report"
+    assert value(spark, match.headline(F.col("c")), c="") == "Untitled page"
     assert value(spark, match.truncate(F.col("c"), 3), c="abcd") == "abc... [TRUNCATED] ..."
     assert value(spark, match.truncate(F.col("c"), 4), c="abcd") == "abcd"
 

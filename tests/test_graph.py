@@ -7,8 +7,10 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidewire.operators import alerts, graph, lists, pairs
+from tidewire.functions.fixed import NO_ALERTS
+from tidewire.operators import alerts, build, graph, lists, pairs
 from tidewire.schemas import EDGE_COLUMNS, MESSAGE
+from tidewire.sources import store
 
 EDGES = "src_label string, src string, rel_type string, dst_label string, dst string, weight bigint"
 
@@ -107,11 +109,31 @@ def test_pairs_in_pieces_equal_brute_force(spark):
     rng = random.Random(3)
     rows = [tuple([f"{k}{rng.randrange(12)}" for _ in range(rng.randrange(9))] for k in "pol") for _ in range(60)]
     df = reports(spark, rows)
-    for piece in (1, 7, 250_000):
-        counted = pairs.pair_rows(df, pairs.ALL_FAMILIES, piece).groupBy("rel_type", "a", "b").count().filter("count >= 2")
+    for left, right in ((1, 1), (3, 2), (2, 5), (256, 1024)):
+        counted = pairs.pair_rows(df, pairs.ALL_FAMILIES, left, right).groupBy("rel_type", "a", "b").count().filter("count >= 2")
         assert {tuple(r) for r in counted.collect()} == brute_pairs(rows, 2)
 
 
+def test_long_lists_are_cut_on_both_sides(spark):
+    names = lambda k: [f"{k}{i:04d}" for i in range(5000)]
+    df = reports(spark, [(names("p"), names("o"), [])])
+    found = pairs.pair_rows(df, [pairs.ASSOCIATED, pairs.KNOWS]).groupBy("rel_type").count().collect()
+    assert {r["rel_type"]: r["count"] for r in found} == {"ASSOCIATED_WITH": 25_000_000, "KNOWS_OR_COOCCURRED_WITH": 5000 * 4999 // 2}
+
+
+def test_records_are_routed(spark):
+    rows = frame(spark, message(url="u", record_id="1", source="GDELT", persons=["A", "B"], organizations=["O"], locations=["1#K#X"]),
+                 message(url="i", record_id="wb", source="WorldBank", persons=["A", "B"], organizations=["World Bank"], locations=["K"], themes=["E"]),
+                 message(url="w", record_id=None, source="IMD", locations=["K"]), message(url=None, record_id="2", source="PIB"))
+    records = store.conform(rows)
+    routed = build.Routed(records)
+    made = {(r["src"], r["rel_type"], r["dst"]) for r in routed.edges().collect()}
+    assert ("wb", "MEASURED_IN", "K") in made and ("A", "MENTIONED_IN", "u") in made
+    assert not any("i" in (s, d) or "w" in (s, d) for s, _, d in made)
+    assert {(r["src"], r["dst"]) for r in routed.pairs(min_weight=1).collect()} == {("A", "O"), ("B", "O"), ("A", "K"), ("B", "K"), ("O", "K"), ("A", "B")}
+    assert sorted(r["reason"] for r in routed.rejected().collect()) == ["missing record_id", "missing url"]
+
+
 def test_pair_weights_are_bounded_and_oriented(spark):
     rng = random.Random(5)
     rows = [([f"p{rng.randrange(6)}" for _ in range(4)], [], []) for _ in range(30)]
@@ -146,7 +168,7 @@ def test_alert_bounds_and_snapshot(spark, tmp_path):
     now = F.lit(dt.datetime(2026, 1, 1))
     path = str(tmp_path / "snapshot")
     empty = alerts.read_snapshot(spark, path).first()
-    assert empty["active_threats"] == [] and empty["status"] == "No anomalies detected."
+    assert empty["active_threats"] == [] and empty["status"] == NO_ALERTS
     for _ in range(2):
         alerts.write_snapshot(alerts.to_alerts(heavy, "source_entity", "target_entity", "weight_score", now, False), now, path)
     back = alerts.read_snapshot(spark, path).collect()

@@ -67,8 +67,37 @@ def test_unseen_by_id(spark):
     stored = records(spark, [("a", "u", 0), (None, "v", 0)])
     new = records(spark, [("a", "1", 1), ("b", "2", 2), ("b", "3", 3), (None, "4", 4)])
     got = lambda strict: [(r["record_id"], r["n"]) for r in store.unseen_by_id(new, stored, [F.col("n")], strict).orderBy("n").collect()]
-    assert got(False) == [("b", 2)]
-    assert got(True) == [("b", 2), ("b", 3)]
+    assert got(False) == [("b", 2), (None, 4)]
+    assert got(True) == [("b", 2), ("b", 3), (None, 4)]
+
+
+def test_records_without_id_go_by_url(spark):
+    stored = records(spark, [(None, "v", 0), ("a", "w", 0)])
+    new = records(spark, [(None, "v", 1), (None, "w", 2), (None, "x", 3), ("", "x", 4), (None, None, 5), (None, "", 6), ("a", "y", 7)])
+    kept = store.unseen_by_id(new, stored, [F.col("n")]).orderBy("n").collect()
+    assert [r["n"] for r in kept] == [2, 3, 5, 6]
+    kept = store.unseen_by_url(new, stored, [F.col("n")]).orderBy("n").collect()
+    assert [r["n"] for r in kept] == [3, 5, 6, 7]
+
+
+def test_equal_titles_are_different_warnings(spark):
+    items = spark.createDataFrame([("Storm", "l1", None, "Tue, 17 Mar 2026"), ("Storm", "l1", None, "Wed, 18 Mar 2026"), ("Storm", "l2", None, None)],
+                                  weather.RSS_ITEM)
+    assert weather.rss_records(items, "http://feed").select("record_id").distinct().count() == 3
+
+
+def test_store_starts_empty_and_keeps_its_keys(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert store.read_store(spark, path).count() == 0
+    batch = spark.createDataFrame([("IMD", "a", "u"), (None, "b", None), ("PIB", None, "w"), ("PIB", None, None)], "source string, record_id string, url string")
+    for _ in range(2):
+        store.append_unseen(spark, batch, path)
+    got = sorted(((r["source"], r["record_id"], r["url"]) for r in store.read_store(spark, path).collect()), key=str)
+    assert got == sorted([("IMD", "a", "u"), (None, "b", None), ("PIB", None, "w")] + [("PIB", None, None)] * 2, key=str)
+    keys = {tuple(r) for r in store.known_keys(spark, path, "record_id").collect()}
+    store.renew_keys(spark, path)
+    assert {tuple(r) for r in store.known_keys(spark, path, "record_id").collect()} == keys and len(keys) == 3
+    assert "records" in store.read_store(spark, path).filter("source = 'IMD'").inputFiles()[0]
 
 
 def test_unseen_by_url(spark):
@@ -118,9 +147,9 @@ def test_portal_rows(spark):
                                "resource_id string, name string, themes array<string>, body string")
     got = {r["locations"][0]: r for r in indicators.portal_rows(df).collect()}
     assert set(got) == {"X", "D"}
-    assert got["X"]["value"] == 5.0 and got["X"]["record_id"] == "ndap-12345678-1"
+    assert got["X"]["value"] == 5.0 and got["X"]["record_id"] == "ndap-12345678-9-1"
     assert got["D"]["value_raw"] == "N/A" and got["D"]["value"] is None and got["D"]["date"] == "20200101"
-    assert got["D"]["record_id"].startswith("ndap-12345678-") and len(got["D"]["record_id"]) == 30
+    assert got["D"]["record_id"].startswith("ndap-12345678-9-") and len(got["D"]["record_id"]) == 80
 
 
 def test_alert_blocks(spark):

@@ -37,7 +37,7 @@ def test_repeated_batch_is_replaced(spark, tmp_path):
     writer(batch, 7)
     writer(batch, 7)
     writer(batch.limit(0), 8)
-    assert writer.counts == {7: 2}
+    assert writer.counts == {7: 2, 8: 0}
     assert enrich.read_enriched(spark, out).count() == 2
 
 
@@ -53,6 +53,25 @@ def test_daily_weights_are_emitted_once_closed(spark, tmp_path):
     assert got == [("2026-01-01", 2), ("2026-01-02", 1)]
 
 
+def test_daily_job_keeps_open_days_and_counts_late_events(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "pair string, ts timestamp"
+
+    def run(*days):
+        rows = spark.createDataFrame([("a", f"2026-01-{d:02d} 10:00:00") for d in days], "pair string, t string")
+        rows.select("pair", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        query = growth.daily_job(stream, ["pair"], out, state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return growth.late_rows(query)
+
+    read = lambda: sorted((r["day"].day, r["weight"]) for r in growth.read_daily(spark, out, ["pair"]).collect())
+    assert run(1, 1, 2, 4) == 0
+    assert read() == [(1, 2), (2, 1), (4, 1)]
+    assert run(4, 5, 1) == 1
+    assert read() == [(1, 2), (2, 1), (4, 2), (5, 1)]
+
+
 def test_rescan_renews_the_snapshot(spark, tmp_path):
     from tidewire.operators.alerts import read_snapshot
 

@@ -66,7 +66,7 @@ def card_source(card: Column) -> Column:
     return F.when(found == "", F.lit("Unknown")).otherwise(found)
 
 
-def headline(text: Column, default: str = "Live Intelligence Report") -> Column:
+def headline(text: Column, default: str = "Untitled page") -> Column:
     """First line cut to 100 characters."""
     line = F.left(F.substring_index(text, "\n", 1), F.lit(100))
     return F.when(text.isNull() | (text == ""), F.lit(default)).otherwise(line)

@@ -14,7 +14,6 @@ from .graph import undirected
 from .ranking import first_k, first_k_distinct
 
 GRAM = 3
-SALTS = 8
 ANCHOR = ["anchor_label", "anchor"]
 NODE = ["label", "key"]
 
@@ -35,41 +34,37 @@ def match_substring(names: DataFrame, needles: DataFrame) -> DataFrame:
 
     An equi-join instead of a comparison of everything with everything: a name can only contain
     a needle if it contains each three-letter piece of it, so both sides meet on the rarest
-    piece of the needle, and the full text decides. Needles of one or two letters are their own
-    piece. The piece is salted by name, so that a frequent piece spreads over tasks.
+    piece of the needle, and the full text decides. Names keep only pieces that some needle has;
+    these are written once, counted, and joined. Adaptive execution splits a piece that very many
+    names hold. Needles of one or two letters are their own piece; without any, those pieces are
+    not made.
     """
     low = names.withColumn("_low", F.lower("key"))
     wanted = needles.select("needle").filter(F.col("needle").isNotNull()).distinct()
 
+    def held(pieces: Column, used: DataFrame) -> DataFrame:
+        made = low.select(*names.columns, "_low", F.explode(pieces).alias("gram"))
+        return made.join(used.select("gram").distinct(), "gram", "left_semi")
+
+    def meet(sides: DataFrame, keys: DataFrame) -> DataFrame:
+        joined = sides.join(keys, "gram").filter(F.contains("_low", F.col("needle")))
+        return joined.select("needle", *names.columns)
+
     long = wanted.filter(F.length("needle") >= GRAM)
     pieces = long.select("needle", F.explode(_grams(F.col("needle"), GRAM)).alias("gram"))
-    used = pieces.select("gram").distinct()
-    held = low.select(F.explode(_grams(F.col("_low"), GRAM)).alias("gram"))
-    counts = held.join(used, "gram", "left_semi").groupBy("gram").agg(
-        F.count(F.lit(1)).alias("names")
-    )
+    sides = cut(held(_grams(F.col("_low"), GRAM), pieces), "pieces")
+    counts = sides.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
     rarest = (
         pieces.join(counts, "gram", "left")
         .groupBy("needle")
         .agg(F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)), "gram")).alias("gram"))
     )
+    found = meet(sides, rarest)
     short = wanted.filter(F.length("needle") < GRAM).select("needle", F.col("needle").alias("gram"))
-
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt")
-
-    def meet(keys: DataFrame, arrays: Column) -> DataFrame:
-        spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        sides = low.select(*names.columns, "_low", salt, F.explode(arrays).alias("gram"))
-        return (
-            sides.join(spread, ["gram", "salt"])
-            .filter(F.contains("_low", F.col("needle")))
-            .select("needle", *names.columns)
-        )
-
-    one_or_two = F.concat(
-        F.array(F.lit("")), _grams(F.col("_low"), 1), _grams(F.col("_low"), 2)
-    )
-    return meet(rarest, _grams(F.col("_low"), GRAM)).unionByName(meet(short, one_or_two))
+    if short.isEmpty():
+        return found
+    one_or_two = F.concat(F.array(F.lit("")), _grams(F.col("_low"), 1), _grams(F.col("_low"), 2))
+    return found.unionByName(meet(held(one_or_two, short), short))
 
 
 def resolve_targets(
@@ -224,6 +219,13 @@ def nearest(
     is_target = F.col("label").isin(target_labels)
     numbered = _numbered(anchors)
     reached = _start(numbered)
+    # Limited before any join, so a hub sends at most that many rows per task; stored once for all hops.
+    nearby = cut(
+        first_k_distinct(
+            links.filter(to_target), ["near_label", "near"], [F.col("far"), F.col("far_label")], 2 * limit - 1
+        ).distinct(),
+        "nearby",
+    )
     for hop in range(1, hops + 1):
         frontier = reached.filter(F.col("hop") == hop - 1).drop("hop")
         if hop > 1:
@@ -239,11 +241,7 @@ def nearest(
         here = frontier.select(
             F.col("label").alias("near_label"), F.col("key").alias("near")
         ).distinct()
-        ends = first_k_distinct(
-            links.filter(to_target).join(here, ["near_label", "near"], "left_semi"),
-            ["near_label", "near"], [F.col("far"), F.col("far_label")], 2 * limit - 1,
-        )
-        found = _step(frontier, ends, hop)
+        found = _step(frontier, nearby.join(here, ["near_label", "near"], "left_semi"), hop)
         if hop == hops:
             reached = _settle(reached.filter(is_target).unionByName(found))
         else:

@@ -29,14 +29,19 @@ def last_written(df: DataFrame, key: str, columns: list[str], order: list[str])
 
     An aggregate, so a key written very often is reduced before the shuffle.
     """
-    newest = F.max_by(F.struct(*columns), F.struct(*order)).alias("last")
+    # The row's own hash decides between writes of one time, so the answer is always the same.
+    total = F.struct(*order, F.xxhash64(F.to_json(F.struct(*columns))))
+    newest = F.max_by(F.struct(*columns), total).alias("last")
     return accepted(df, key).groupBy(key).agg(newest).select(key, "last.*")
 
 
+def with_article_title(records: DataFrame) -> DataFrame:
+    return records.withColumn("title", article_title(_or_null(records, "title"), F.col("source_name")))
+
+
 def article_nodes(records: DataFrame) -> DataFrame:
-    titled = records.withColumn("title", article_title(_or_null(records, "title"), F.col("source_name")))
     return last_written(
-        titled,
+        with_article_title(records),
         "url",
         ["title", "date", "tone", "source", "ingestion_timestamp"],
         ["ingestion_timestamp", "record_id"],
@@ -57,7 +62,7 @@ def latest_reports(records: DataFrame) -> DataFrame:
     )
 
 
-def indicator_nodes(records: DataFrame) -> DataFrame:
+def indicator_nodes(records: DataFrame, more: list[str] = []) -> DataFrame:
     filled = records.withColumn("indicator_name", F.coalesce("indicator_name", F.lit(""))).withColumn(
         "value_raw", F.coalesce("value_raw", F.lit(""))
     )
@@ -65,7 +70,7 @@ def indicator_nodes(records: DataFrame) -> DataFrame:
         filled,
         "record_id",
         ["title", "date", "indicator_name", "value_raw", "value", "url", "source",
-         "ingestion_timestamp"],
+         "ingestion_timestamp", *more],
         ["ingestion_timestamp", "title"],
     )
 
@@ -95,7 +100,8 @@ def mentions(keyed_records: DataFrame) -> DataFrame:
 
 
 def entity_nodes(keyed_records: DataFrame) -> DataFrame:
-    return mentions(keyed_records).select(*NODE_KEY).distinct()
+    """Entities of the records that become articles; records without a url give no nodes either."""
+    return mentions(accepted(keyed_records)).select(*NODE_KEY).distinct()
 
 
 def article_edges(keyed_records: DataFrame) -> DataFrame:

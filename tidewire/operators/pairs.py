@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..schemas import EDGE_COLUMNS
 from .lists import keyed
 
-# A report whose lists make more pairs than this is cut into pieces that spread over tasks.
-PAIRS_PER_PIECE = 250_000
+# Names of the left and of the right list that meet in one row.
+LEFT, RIGHT = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -56,35 +56,31 @@ def _family_lists(records: DataFrame, families: list[Family]) -> DataFrame:
     )
 
 
-def pair_rows(records: DataFrame, families: list[Family], piece: int = PAIRS_PER_PIECE) -> DataFrame:
+def pair_rows(records: DataFrame, families: list[Family], left: int = LEFT, right: int = RIGHT) -> DataFrame:
     """One row per record, edge type and pair: ``rel_type, a, b``.
 
-    All families come from one pass over the records, and pairs are made inside the row, so
-    nothing is shuffled before the partial count. Pairs within one list are made once, with
-    ``a < b``. A record whose raw lists are very long is cut into pieces of bounded work, and
-    only those pieces are shuffled.
+    All families come from one pass over the records. Both lists of every record are cut into ranges, so
+    a row pairs at most ``left`` by ``right`` names, and a record with very long lists becomes many such
+    rows. Pairs within one list are made once, with ``a < b``.
     """
-    size = lambda name: F.coalesce(F.size(name), F.lit(0)).cast("bigint")
-    work = F.greatest(*[size(f.left) * size(f.right) for f in families], F.lit(0))
-    short = (
-        _family_lists(records.filter(work <= piece), families)
-        .withColumn("start", F.lit(0))
-        .withColumn("part", F.col("l"))
+    ranges = (
+        _family_lists(records, families)
+        .withColumn("start", F.explode(F.sequence(F.lit(0), F.size("l") - 1, F.lit(left))))
+        .withColumn("from", F.explode(F.sequence(F.lit(0), F.size("r") - 1, F.lit(right))))
+        # A list met with itself: ranges that end before the left one starts hold no later name.
+        .filter(~F.col("same") | (F.col("from") + right > F.col("start")))
+        .select(
+            "rel_type", "same", "start", "from",
+            F.slice("l", F.col("start") + 1, F.lit(left)).alias("part"),
+            F.slice("r", F.col("from") + 1, F.lit(right)).alias("r"),
+        )
     )
-    step = F.greatest(F.lit(1), F.floor(F.lit(piece) / F.size("r"))).cast("int")
-    long = (
-        _family_lists(records.filter(work > piece), families)
-        .withColumn("step", step)
-        .withColumn("start", F.explode(F.sequence(F.lit(0), F.size("l") - 1, F.col("step"))))
-        .withColumn("part", F.slice("l", F.col("start") + 1, F.col("step")))
-        .drop("step")
-        .repartition("url", "rel_type", "start")
-    )
-    after = F.slice("r", F.col("start") + F.col("i") + 2, F.size("r"))
+    # Where in the right range the names after the left one start.
+    after = F.greatest(F.col("start") + F.col("i") + 1 - F.col("from"), F.lit(0))
+    later = F.slice("r", after + 1, F.lit(right))
     return (
-        short.unionByName(long)
-        .select("rel_type", "same", "start", "r", F.posexplode("part").alias("i", "a"))
-        .select("rel_type", "a", F.explode(F.when(F.col("same"), after).otherwise(F.col("r"))).alias("b"))
+        ranges.select("rel_type", "same", "start", "from", "r", F.posexplode("part").alias("i", "a"))
+        .select("rel_type", "a", F.explode(F.when(F.col("same"), later).otherwise(F.col("r"))).alias("b"))
     )
 
 

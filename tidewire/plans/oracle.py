@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.fixed import CARD_SEPARATOR, NAME_PREFIXES, STREAM_TERMS
-from .views import ANSWER, DOCUMENT_KEYWORDS, DOCUMENT_REGIONS, STORED_UNTIL, TARGETS
+from ..functions.fixed import CARD_SEPARATOR, DEEP_HEADER, NAME_PREFIXES, NO_CARDS, NO_DEEP, NO_LIVE, STREAM_TERMS
+from .views import ANSWER, DOCUMENT_KEYWORDS, DOCUMENT_REGIONS, LONG_TARGET, STORED_UNTIL, TARGETS
 
 
 def text(s: str) -> str:
@@ -263,6 +263,24 @@ sql("new_records_by_url", ["v_repeats"], f"""
   where n = 1 and url not in (select url from v_reports
     where ingestion_timestamp < timestamp '{STORED_UNTIL}')""")
 
+sql("store_appends", ["store"], """
+  select source, record_id, url, date, strftime(ingestion_timestamp, '%Y%m') as ingest_month from store""")
+sql("store_appends_by_url", ["store"], """
+  select source, count(*) as n, count(*) as urls from (select distinct source, url from store) group by source""")
+sql("rejected_records", ["v_reports", "v_weather"], """
+  select source, record_id as name, 'missing url' as reason from v_reports where status = 'P'
+  union all
+  select 'IMD', url, 'missing record_id' from v_weather where not len(locations) > 1""")
+sql("graph_from_store", ["ae", "m", "i_edges", "w_edges"], union(
+    "select * from ae", pair_sql("m", "ASSOCIATED_WITH", 1), "select *, cast(null as bigint) as weight from i_edges",
+    "select *, cast(null as bigint) as weight from w_edges"))
+sql("pairs_from_store", ["m"], union(*[pair_sql("m", r, 2) for r in FAMILIES]))
+sql("rss_repeats", [], """
+  select 'imd-rss-' || sha256(o_orderpriority || chr(10) || 'https://example.com/o/' || o_custkey || chr(10) ||
+    strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')) as record_id, o_orderpriority as title,
+    'https://example.com/o/' || o_custkey as url
+  from orders group by o_orderpriority, o_custkey, o_orderdate""")
+
 sql("request_grid", [], """
   select n_name as country, s as indicator_code, left(s, 1) || lower(s[2:]) as indicator_name
   from nation, (select unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) as s)""")
@@ -275,19 +293,18 @@ sql("latest_indicators", ["v_indicators"], """
     from v_indicators) where recency <= 5""")
 
 sql("portal_rows", [], """
-  select 'ndap-' || left(rid, 8) || '-' || l_linenumber as record_id,
+  select 'ndap-' || rid || '-' || l_linenumber as record_id,
     year(l_shipdate) || '0101' as date, 'https://ndap.niti.gov.in/dataset/' || rid as url,
     'Order ' || l_orderkey || ' — ' || place || ' (' || year(l_shipdate) || '): '
       || cast(l_quantity as int) as title,
     place || '|India' as locations, 'Order ' || l_orderkey as indicator_name,
     cast(cast(l_quantity as int) as varchar) as value_raw, l_quantity as value,
     cast(year(l_shipdate) as varchar) as year, 6 as n_columns
-  from (select *, case when length(cast(l_orderkey as varchar)) >= 8
-      then left(cast(l_orderkey as varchar), 8) else lpad(cast(l_orderkey as varchar), 8, '0') end as rid,
+  from (select *, printf('%08d', l_orderkey) as rid,
     case when l_returnflag = 'R' then l_linestatus else l_returnflag end as place from lineitem)""")
 
 sql("rss_items", [], """
-  select 'imd-rss-' || left(sha256(title), 16) as record_id,
+  select 'imd-rss-' || sha256(title || chr(10) || link || chr(10) || pub) as record_id,
     case when o_orderpriority <> '5-LOW' then strftime(o_orderdate, '%Y%m%d') else '20260101' end as date,
     case when o_orderstatus <> 'P' then 'https://example.com/o/' || o_orderkey
       else 'https://example.com/rss' end as url,
@@ -296,7 +313,9 @@ sql("rss_items", [], """
       case when contains(lower(body), 'nation_2') then ['NATION_2'] else [] end ||
       case when contains(lower(body), 'urgent') then ['Urgent'] else [] end, '|'), ''), 'India') as locations,
     body as alert_text, '-3' as tone
-  from (select *, 'Order ' || o_orderkey as title, o_orderpriority || ' from ' || n_name as body
+  from (select *, 'Order ' || o_orderkey as title, o_orderpriority || ' from ' || n_name as body,
+      case when o_orderstatus <> 'P' then 'https://example.com/o/' || o_orderkey else '' end as link,
+      case when o_orderpriority <> '5-LOW' then strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S GMT') else '' end as pub
     from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)""")
 
 # --- pages and text ------------------------------------------------------------------------
@@ -348,6 +367,10 @@ sql("page_fields", ["fields"], "select * from fields")
 sql("release_records", ["fields"], """
   select 'PIB' as source, url, title, content as original_content, false as is_translated,
     'English' as language from fields""")
+sql("new_records_without_id", ["fields"], """
+  select url, title, cast(null as varchar) as record_id from (
+    select *, row_number() over (partition by url order by title, content) as n from fields
+    where not starts_with(url, 'https://')) where n = 1""")
 _inner = r"((?:<[a-zA-Z][^<>]*>)*[^<]*(?:</[a-zA-Z][^<>]*>)*)"
 sql("page_blocks", [], "select * from (" + " union all ".join(
     f"select page_id, '{t}' as tag, {strip(resolve(r'''regexp_replace(x, '<[^>]*>', '', 'g')'''))} as text from ("
@@ -446,12 +469,10 @@ sql("pair_growth_daily", [], grown())
 sql("growth_alerts", [], f"""
   select case when weight > 15 then 'CRITICAL' else 'HIGH' end as severity,
     cast(user_id as varchar) as source_entity, event_type as target_entity, weight as weight_score,
-    'Rapid >50% anomalous interaction detected between ''' || user_id || ''' and ''' || event_type ||
-      ''' in the last 24h cycle.' as description, cast(epoch(day) as double) as timestamp
+    '''' || user_id || ''' and ''' || event_type || ''' met over half as often again as on the day before.' as description, cast(epoch(day) as double) as timestamp
   from ({grown()})""")
-# A day is emitted once the newest event is a day past its end.
-sql("stream_growth", [], grown(
-    "date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 1 day"))
+SQL["stream_growth"] = SQL["pair_growth_daily"]
+SQL["stream_rescan"] = SQL["alert_snapshot"]
 
 # --- retrieval -----------------------------------------------------------------------------
 
@@ -521,78 +542,106 @@ _DATE = "date[1:4] || '-' || date[5:6] || '-' || date[7:8]"
 _TITLE = "upper(left(lower(key), 1)) || lower(key)[2:]"
 
 
-def shown(m: str, label: str, n: int, out: str) -> str:
-    value = (
-        f"upper(left(k, 1)) || lower(k[2:])" if label == "Theme" else "k"
-    )
-    return f"""
-      select url, array_to_string(list({value} order by k)[1:{n}], ', ') as {out} from (
-        select distinct url, {"regexp_replace(key, ',[0-9]+$', '')" if label == "Theme" else "key"} as k
-        from {m} where label = '{label}') group by url"""
+def shown(column: str, n: int) -> str:
+    """The first entries of a record's list, cleaned, in the order of the list."""
+    if column == "themes":
+        key = "regexp_replace(case when source = 'GDELT' then split_part(x, ',', 1) else x end, ',[0-9]+$', '')"
+        key = f"replace(upper(left(lower({key}), 1)) || lower({key})[2:], '_', ' ')"
+    else:
+        key = name_key("x")
+    keys = f"list_transform({column}, lambda x: {key})"
+    firsts = f"list_filter({keys}, lambda k, i: list_position({keys}, k) = i)"
+    return f"coalesce(nullif(array_to_string(({firsts})[1:{n}], ', '), ''), 'None')"
 
 
-for _tag, _m, _view in (("", "m", "v_reports"), ("_linked", "ml", "v_linked")):
-    cte(f"cards{_tag}", [_m, _view], f"""
-      select url, 'TYPE: Article | SOURCE: ' || source || ' | DATE: ' || {_DATE} || ' | SENTIMENT: ' ||
+for _tag, _view in (("", "v_reports"), ("_linked", "v_linked")):
+    cte(f"cards{_tag}", [_view], f"""
+      select url, source, 'TYPE: Article | SOURCE: ' || source || ' | DATE: ' || {_DATE} || ' | SENTIMENT: ' ||
         case when tone is null then 'Unknown' when cast(split_part(tone, ',', 1) as double) > 1 then 'Positive'
           when cast(split_part(tone, ',', 1) as double) < -1 then 'Negative' else 'Neutral' end ||
-        chr(10) || 'URL: ' || url || chr(10) || 'KEY PERSONS: ' || coalesce(ps, 'None') || chr(10) ||
-        'ORGANIZATIONS: ' || coalesce(os, 'None') || chr(10) || 'THEMES: ' || coalesce(ts, 'None') as card
-      from {_view} left join ({shown(_m, 'Person', 5, 'ps')}) using (url)
-        left join ({shown(_m, 'Organization', 5, 'os')}) using (url)
-        left join ({shown(_m, 'Theme', 6, 'ts')}) using (url)""")
-sql("article_cards", ["cards"], "select * from cards")
-sql("indicator_cards", ["v_indicator_records"], f"""
-  select record_id, 'TYPE: Economic Indicator | TITLE: ' || title || chr(10) || 'DATE: ' || {_DATE} ||
+        chr(10) || 'URL: ' || url || chr(10) || 'KEY PERSONS: ' || {shown('persons', 5)} || chr(10) ||
+        'ORGANIZATIONS: ' || {shown('organizations', 5)} || chr(10) || 'THEMES: ' || {shown('themes', 6)} as card
+      from {_view}""")
+sql("article_cards", ["cards"], "select url, card from cards")
+cte("i_cards", ["v_indicator_records"], f"""
+  select record_id, url, 'TYPE: Economic Indicator | TITLE: ' || title || chr(10) || 'DATE: ' || {_DATE} ||
     ' | INDICATOR: ' || indicator_name || ' | VALUE: ' || cast(value as varchar) || chr(10) || 'URL: ' || url ||
-    chr(10) || 'THEMES: ' || array_to_string(list_sort(['Economics', upper(left(indicator_name, 1)) ||
-      lower(indicator_name[2:])]), ', ') as card from v_indicator_records""")
-sql("weather_cards", ["v_weather"], f"""
-  select record_id, 'TYPE: Weather Alert | TITLE: ' || title || chr(10) || 'DATE: ' || {_DATE} ||
+    chr(10) || 'THEMES: ' || array_to_string(['Economics', upper(left(indicator_name, 1)) ||
+      lower(indicator_name[2:])], ', ') as card from v_indicator_records""")
+sql("indicator_cards", ["i_cards"], "select record_id, card from i_cards")
+cte("w_cards", ["v_weather"], f"""
+  select record_id, url, 'TYPE: Weather Alert | TITLE: ' || title || chr(10) || 'DATE: ' || {_DATE} ||
     ' | ALERT TYPE: ' || alert_type || chr(10) || 'URL: ' || url || chr(10) || 'SUMMARY: ' ||
     left(alert_text, 280) as card from v_weather""")
+sql("weather_cards", ["w_cards"], "select record_id, card from w_cards")
+cte("all_links", ["ae", "m", "i_edges", "w_edges"], union(
+    f"select {_EDGE_COLUMNS} from ae", f"select {_EDGE_COLUMNS} from ({pair_sql('m', 'ASSOCIATED_WITH', 1)})",
+    "select * from i_edges", "select * from w_edges"))
+sql("mixed_cards", ["anchors", "all_links", "cards", "i_cards", "w_cards"], """
+  select target_id, label, key, 1 as hop, url, card, source from (
+    select distinct target_id, label, key from (
+      select *, row_number() over (partition by target_id, anchor_label, anchor order by key, label) as n from (
+        select distinct target_id, anchor_label, anchor, far_label as label, far as key from anchors join (
+          select src_label as near_label, src as near, dst_label as far_label, dst as far from all_links
+          union select dst_label, dst, src_label, src from all_links) on anchor_label = near_label and anchor = near
+        where far_label in ('Article', 'EconomicIndicator', 'WeatherAlert')))
+    where n <= 25)
+  join (select 'Article' as label, url as key, url, card, source from cards
+    union all select 'EconomicIndicator', record_id, url, card, 'WorldBank' from i_cards
+    union all select 'WeatherAlert', record_id, url, card, 'IMD' from w_cards) using (label, key)""")
 
 # Whole targets are part 0; the words of a target of several words that found nothing follow.
-cte("hits0", ["anchors", "near_t3"], """
-  select target_id, 0 as part, url, min(hop) as hop
-  from anchors join near_t3 using (anchor_label, anchor) group by target_id, url""")
-cte("words", ["v_targets", "hits0"], """
-  select target_id, row_number() over (partition by target_id order by pos) as part, word from (
-    select target_id, unnest(string_split(lower(target), ' ')) as word,
-      generate_subscripts(string_split(lower(target), ' '), 1) as pos
-    from v_targets where contains(target, ' ') and target_id not in (select target_id from hits0))
-  where word not in ('about', 'tell', 'the', 'in', 'what', 'is', '')""")
-cte("word_anchors", ["words", "entities"], """
-  select target_id, part, label as anchor_label, key as anchor
-  from words join entities on contains(lower(key), word) where part <= 3""")
-reach("words", "word_anchors", "edges", 3, 25)
-cte("hits1", ["word_anchors", "near_words"], """
-  select target_id, part, url, min(hop) as hop
-  from word_anchors join near_words using (anchor_label, anchor) group by target_id, part, url""")
+def fusion(tag: str, targets: str, anchors: str, near: str, n: int) -> None:
+    """CTEs of the hits of whole targets and of their first ``n`` words, and which words' hits stay."""
+    hits0, words, found, hits1 = f"hits0{tag}", f"words{tag}", f"word_anchors{tag}", f"hits1{tag}"
+    cte(hits0, [anchors, near], f"""
+      select target_id, 0 as part, url, min(hop) as hop
+      from {anchors} join {near} using (anchor_label, anchor) group by target_id, url""")
+    cte(words, [targets, hits0], f"""
+      select target_id, row_number() over (partition by target_id order by pos) as part, word from (
+        select target_id, unnest(string_split(lower(target), ' ')) as word,
+          generate_subscripts(string_split(lower(target), ' '), 1) as pos
+        from {targets} where contains(target, ' ') and target_id not in (select target_id from {hits0}))
+      where word not in ('about', 'tell', 'the', 'in', 'what', 'is', '')""")
+    cte(found, [words, "entities"], f"""
+      select target_id, part, label as anchor_label, key as anchor
+      from {words} join entities on contains(lower(key), word) where part <= {n}""")
+    reach(f"words{tag}", found, "edges", 3, 25)
+    cte(hits1, [found, f"near_words{tag}"], f"""
+      select target_id, part, url, min(hop) as hop
+      from {found} join near_words{tag} using (anchor_label, anchor) group by target_id, part, url""")
+    cte(f"leads{tag}", [hits1, "cards"], f"""
+      select target_id, part, split_part(card, chr(10), 1) as line from (
+        select *, row_number() over (partition by target_id, part order by hop, url) as n from {hits1})
+      join cards using (url) where n = 1""")
+    cte(f"lines{tag}", [hits1, "cards"], f"""
+      select distinct target_id, part, split_part(card, chr(10), 1) as line from {hits1} join cards using (url)""")
+    cte(f"keep0{tag}", [], "select 0 as target_id, 0 as part where false")
+    for k in range(1, n + 1):
+        cte(f"keep{k}{tag}", [f"leads{tag}", f"lines{tag}", f"keep{k - 1}{tag}"], f"""
+          select * from keep{k - 1}{tag} union all select target_id, part from leads{tag} d where part = {k} and not exists (
+            select 1 from lines{tag} l join keep{k - 1}{tag} k on k.target_id = l.target_id and k.part = l.part
+            where l.target_id = d.target_id and l.line = d.line)""")
+    cte(f"first_line{tag}", [hits0, hits1, f"keep{n}{tag}"], f"""
+      select target_id, part, hop, url from {hits0}
+      union all select target_id, part, hop, url from {hits1} join keep{n}{tag} using (target_id, part)""")
+
+
+fusion("", "v_targets", "anchors", "near_t3", 3)
+cte("long_target", [], f"select 1 as target_id, {text(LONG_TARGET)} as target")
+cte("long_anchors", ["long_target", "entities"], f"""
+  select target_id, target, label as anchor_label, key as anchor
+  from long_target join entities on contains(lower(key), {_needle})""")
+reach("long", "long_anchors", "edges", 3, 25)
+fusion("_long", "long_target", "long_anchors", "near_long", 5)
 cte("fused", ["hits0", "hits1"], """
   select target_id, part, hop, url from (
     select *, row_number() over (partition by target_id, url order by part, hop) as n
     from (select target_id, part, url, hop from hits0 union all select target_id, part, url, hop from hits1))
   where n = 1""")
 sql("keyword_fusion", ["fused"], "select * from fused")
-cte("leads", ["hits1", "cards"], """
-  select target_id, part, split_part(card, chr(10), 1) as line from (
-    select *, row_number() over (partition by target_id, part order by hop, url) as n from hits1)
-  join cards using (url) where n = 1""")
-cte("lines", ["hits1", "cards"], """
-  select distinct target_id, part, split_part(card, chr(10), 1) as line from hits1 join cards using (url)""")
-cte("keep1", ["leads"], "select target_id, part from leads where part = 1")
-cte("keep2", ["leads", "lines", "keep1"], """
-  select * from keep1 union all select target_id, part from leads d where part = 2 and not exists (
-    select 1 from lines l join keep1 k on k.target_id = l.target_id and k.part = l.part
-    where l.target_id = d.target_id and l.line = d.line)""")
-cte("keep3", ["leads", "lines", "keep2"], """
-  select * from keep2 union all select target_id, part from leads d where part = 3 and not exists (
-    select 1 from lines l join keep2 k on k.target_id = l.target_id and k.part = l.part
-    where l.target_id = d.target_id and l.line = d.line)""")
-sql("keyword_fusion_first_line", ["hits0", "hits1", "keep3"], """
-  select target_id, part, hop, url from hits0
-  union all select target_id, part, hop, url from hits1 join keep3 using (target_id, part)""")
+sql("keyword_fusion_first_line", ["first_line"], "select * from first_line")
+sql("keyword_fusion_five", ["first_line_long"], "select * from first_line_long")
 
 cte("streams", ["v_targets"], """
   select query_id, url, 0 as stream, row_number() over (partition by query_id order by page_id) as rank
@@ -619,16 +668,16 @@ cte("live", ["merged", "texts"], """
       '---' || chr(10) || chr(10) as block
   from merged join texts using (url)""")
 sql("live_cards", ["live"], "select * from live")
-cte("evidence", ["fused", "cards", "live"], r"""
-  select target_id, row_number() over (partition by target_id order by part, hop, url) as id, url, card,
-    regexp_extract(card, 'SOURCE:\s*([^\s|]+)', 1) as source from (
-    select target_id, part, hop, url, card from fused join cards using (url)
-    union all select target_id, 9, position, url, card from live)""")
+cte("evidence", ["fused", "cards", "live"], """
+  select target_id, row_number() over (partition by target_id order by live, part, hop, url) as id, url, card,
+    source, live from (
+    select target_id, false as live, part, hop, url, card, source from fused join cards using (url)
+    union all select target_id, true, 0, position, url, card, domain from live)""")
 sql("evidence_rows", ["evidence"], "select * from evidence")
 sql("cited_sources", ["evidence"], """
   select target_id, id, source, url from (
     select *, row_number() over (partition by target_id order by id) as n from evidence
-    where (id in (1, 3, 99) or contains(card, 'Live')) and url <> '') where n <= 5""")
+    where (id in (1, 3, 99) or live) and url <> '') where n <= 5""")
 
 
 def deep(n: int) -> str:
@@ -639,7 +688,7 @@ def deep(n: int) -> str:
         select target_id, url, min(hop) as hop from anchors_linked join near_{tag}
           using (anchor_label, anchor) group by target_id, url)) where rank <= {n}""")
     cte(f"context_{tag}", [f"top_{tag}", "texts", "v_targets"], f"""
-      select target_id, coalesce('### STRATEGIC ARTICLE CONTENT STORE' || chr(10) || chr(10) ||
+      select target_id, coalesce({text(DEEP_HEADER)} || chr(10) || chr(10) ||
         string_agg('SOURCE URL: ' || url || chr(10) || 'CONTENT:' || chr(10) || left(coalesce(text, ''), 5000) ||
           {text(CARD_SEPARATOR)}, '' order by rank), 'NO_DEEP_CONTEXT_FOUND') as context
       from v_targets left join top_{tag} using (target_id) left join texts using (url) group by target_id""")
@@ -649,10 +698,10 @@ def deep(n: int) -> str:
 sql("deep_context", [deep(3)], "select * from context_deep3")
 sql("prompt_assembly", [deep(1), "evidence", "live", "v_targets"], f"""
   select target_id, 'Report what the sources below state about: ' || target || chr(10) || chr(10) || '[live]' ||
-    chr(10) || coalesce(l, 'No live data found.') || chr(10) || chr(10) || '[articles]' || chr(10) ||
-    case when context = 'NO_DEEP_CONTEXT_FOUND' then 'No graph context found.' when length(context) > 5000
+    chr(10) || coalesce(l, {text(NO_LIVE)}) || chr(10) || chr(10) || '[articles]' || chr(10) ||
+    case when context = 'NO_DEEP_CONTEXT_FOUND' then {text(NO_DEEP)} when length(context) > 5000
       then left(context, 5000) || '... [TRUNCATED] ...' else context end ||
-    chr(10) || chr(10) || '[cards]' || chr(10) || coalesce(c, 'No graph ontology cards found.') ||
+    chr(10) || chr(10) || '[cards]' || chr(10) || coalesce(c, {text(NO_CARDS)}) ||
     chr(10) || chr(10) || 'Cite cards by number, like [1].' as prompt
   from v_targets
     left join (select target_id, string_agg(block, '' order by position) as l from live group by all) using (target_id)
@@ -690,6 +739,8 @@ cte("summaries", ["v_reports"], f"""
 sql("entity_summaries", ["summaries"], "select record_id, ai_insight from summaries")
 sql("stream_enrich", ["summaries"], """
   select record_id, url, source, source_name, date, tone, ai_insight from summaries""")
+for _name in ("stream_replay", "stream_new_files"):
+    SQL[_name] = SQL["stream_enrich"]
 sql("parse_messages", [], """
   select 'record' as kind, count(*) as n, count(*) as n_ids from orders
   union all select 'dead', count(*), 0 from documents""")

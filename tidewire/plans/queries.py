@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import STREAM_TERMS
-from ..operators import alerts, cards, evidence, expand, graph, inspect, lists, pairs, ranking
+from ..operators import alerts, build, cards, evidence, expand, graph, inspect, lists, pairs, ranking
 from ..session import cut, scratch_path
 from ..sources import gkg, indicators, pages, store, topic, weather
 from ..streaming import enrich, growth
@@ -18,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 PAIR = ["user_id", "event_type"]
+ENRICHED = ["record_id", "url", "source", "source_name", "date", "tone", "ai_insight"]
 PAGE_MARKER = "/t"
 PAGE_BASE = "https://example.com"
 ACCENTED = ("\\u00C0", "\\u017F")
@@ -100,6 +101,58 @@ def new_records_by_url(v: Views) -> DataFrame:
     )
 
 
+@query
+def new_records_without_id(v: Views) -> DataFrame:
+    """Releases have no id, so their urls tell them apart: those not stored yet, given twice."""
+    stamp = F.lit("2026-01-01").cast("timestamp")
+    found = store.conform(pages.release_records(v.table("pages"), "h1", "ad", stamp))
+    stored = found.filter(F.startswith("url", F.lit("https://")))
+    order = [F.col("ingestion_timestamp"), F.col("title"), F.col("original_content")]
+    return store.unseen_by_id(found.unionByName(found), stored, order).select("url", "title", "record_id")
+
+
+def _appended(v: Views, key: str) -> DataFrame:
+    """The feeds appended to a new store, the later part of them twice."""
+    path = scratch_path(v.spark, "store")
+    feed = cut(_store(v), "feed")
+    store.append_unseen(v.spark, v.earlier(feed), path, key)
+    store.append_unseen(v.spark, feed, path, key)
+    store.append_unseen(v.spark, v.later(feed), path, key)
+    return store.read_store(v.spark, path)
+
+
+@query
+def store_appends(v: Views) -> DataFrame:
+    return _appended(v, "record_id").select("source", "record_id", "url", "date", "ingest_month")
+
+
+@query
+def store_appends_by_url(v: Views) -> DataFrame:
+    return _appended(v, "url").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("url").alias("urls")
+    )
+
+
+@query
+def rejected_records(v: Views) -> DataFrame:
+    """Reports in progress without their url, and alerts without their id, cannot become nodes."""
+    reports = v.reports().withColumn("url", F.when(F.col("status") != "P", F.col("url")))
+    warnings = v.weather().withColumn("record_id", F.when(F.size("locations") > 1, F.col("record_id")))
+    routed = build.Routed(store.combine(reports, v.indicators(), warnings))
+    return routed.rejected().select("source", F.coalesce("record_id", "url").alias("name"), "reason")
+
+
+@query
+def graph_from_store(v: Views) -> DataFrame:
+    """All edges of the store's records, each built by its route."""
+    return build.Routed(cut(_store(v), "store")).edges()
+
+
+@query
+def pairs_from_store(v: Views) -> DataFrame:
+    return build.Routed(cut(_store(v), "store")).pairs()
+
+
 @query
 def route_by_source(v: Views) -> DataFrame:
     return store.route(_store(v)).select("record_id", "source", "route")
@@ -161,6 +214,21 @@ def rss_items(v: Views) -> DataFrame:
     return records.select("record_id", "date", "url", "title", _joined("locations"), "alert_text", "tone")
 
 
+@query
+def rss_repeats(v: Views) -> DataFrame:
+    """Warnings with few titles on many days: each is a record of its own."""
+    items = v.table("orders").select(
+        F.col("o_orderpriority").alias("title"),
+        F.concat(F.lit("https://example.com/o/"), F.col("o_custkey").cast("string")).alias("link"),
+        F.lit(None).cast("string").alias("description"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("pubDate"),
+    )
+    records = store.conform(weather.rss_records(
+        items, "https://example.com/rss", ["Urgent"], F.lit("20260101"), F.lit("2026-01-01").cast("timestamp")
+    ))
+    return store.unseen_by_id(records, records.limit(0), [F.col("url")]).select("record_id", "title", "url")
+
+
 # --- pages and text ------------------------------------------------------------------------
 
 
@@ -287,7 +355,7 @@ def cooccur_distinct_reports(v: Views) -> DataFrame:
 
 
 def _two_runs(v: Views) -> tuple[DataFrame, DataFrame]:
-    reports = v.reports()
+    reports = cut(v.reports(), "reports")
     return (
         pairs.pair_counts(v.earlier(reports), [pairs.ASSOCIATED, pairs.KNOWS], 2),
         pairs.pair_counts(v.later(reports), [pairs.ASSOCIATED, pairs.KNOWS], 5),
@@ -307,7 +375,7 @@ def weight_accumulate(v: Views) -> DataFrame:
 @query
 def write_counters(v: Views) -> DataFrame:
     """Nodes and edges that adding the later reports would create."""
-    reports = v.reports()
+    reports = cut(v.reports(), "reports")
     old, new = v.earlier(reports), v.later(reports)
     nodes = graph.created(
         graph.entity_nodes(lists.keyed(old)), graph.entity_nodes(lists.keyed(new)), ["label", "key"]
@@ -324,7 +392,7 @@ def write_counters(v: Views) -> DataFrame:
 
 @query
 def graph_counts(v: Views) -> DataFrame:
-    reports = v.reports()
+    reports = cut(v.reports(), "reports")
     edges = v.retrieval_edges(reports).unionByName(v.feed_edges())
     by_type = edges.groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
     return graph.node_counts(v.nodes(reports)).select(
@@ -374,7 +442,7 @@ def _retrieval(v: Views, reports: DataFrame) -> tuple[DataFrame, DataFrame, Data
 
 @query
 def resolve_targets(v: Views) -> DataFrame:
-    return expand.resolve_targets(v.targets(), graph.entity_nodes(lists.keyed(v.reports())))
+    return expand.resolve_targets(v.targets(), cut(graph.entity_nodes(lists.keyed(v.reports())), "nodes"))
 
 
 @query
@@ -387,7 +455,8 @@ def resolve_names(v: Views) -> DataFrame:
         .distinct()
         .withColumn("target_id", F.xxhash64("target"))
     )
-    return expand.resolve_targets(asked, graph.entity_nodes(lists.keyed(v.reports()))).drop("target_id")
+    nodes = cut(graph.entity_nodes(lists.keyed(v.reports())), "nodes")
+    return expand.resolve_targets(asked, nodes).drop("target_id")
 
 
 @query
@@ -459,41 +528,49 @@ def nearest_by_part(v: Views) -> DataFrame:
 @query
 def article_cards(v: Views) -> DataFrame:
     """A card for every article."""
-    stored, _, edges = _retrieval(v, v.reports())
-    articles = graph.article_nodes(stored)
-    return cards.article_cards(articles.select("url"), articles, edges)
+    stored = cut(v.reports(), "reports")
+    return cards.article_cards(stored.select("url").distinct(), stored).select("url", "card")
 
 
 @query
 def indicator_cards(v: Views) -> DataFrame:
-    records = v.indicators()
-    nodes = graph.indicator_nodes(records)
-    return cards.indicator_cards(nodes, graph.indicator_edges(records)).select("record_id", "card")
+    return cards.indicator_cards(v.indicators()).select("record_id", "card")
 
 
 @query
 def weather_cards(v: Views) -> DataFrame:
-    return cards.weather_cards(graph.weather_nodes(v.weather())).select("record_id", "card")
+    return cards.weather_cards(v.weather()).select("record_id", "card")
+
+
+@query
+def mixed_cards(v: Views) -> DataFrame:
+    """Articles, indicators and alerts near the targets, each with its own card."""
+    records = cut(_store(v), "store")
+    routed = build.Routed(records)
+    nodes = cut(routed.entities(), "nodes")
+    edges = cut(routed.edges(), "edges")
+    near = cut(cards.mixed_hits(v.targets(), nodes, edges, hops=1), "hits")
+    return cards.mixed_cards(near, records).select(
+        "target_id", "label", "key", F.col("hop").cast("bigint").alias("hop"), "url", "card", "source"
+    )
 
 
-def _cards(v: Views, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _cards(v: Views, reports: DataFrame, targets: DataFrame | None = None, n: int = 3) -> tuple[DataFrame, DataFrame]:
     """Cards of all targets, keywords used where a target of several words found nothing."""
     stored, nodes, edges = _retrieval(v, reports)
-    articles = graph.article_nodes(stored)
-    targets = v.targets()
+    targets = v.targets() if targets is None else targets
 
     def of(asked: DataFrame) -> DataFrame:
-        hits = cards.hits(asked, nodes, edges)
-        return cards.article_cards(hits, articles, edges)
+        return cards.article_cards(cut(cards.hits(asked, nodes, edges), "hits"), stored)
 
-    whole = cut(of(targets).select("target_id", F.lit(0).alias("part"), "hop", "url", "card"), "cards")
+    whole = cut(of(targets).select("target_id", F.lit(0).alias("part"), "hop", "url", "card", "source"), "cards")
     lacking = evidence.needs_keywords(targets, whole)
-    words = evidence.keyword_requests(lacking)
+    words = evidence.keyword_requests(lacking, n)
     asked = words.select(F.concat_ws(":", "target_id", "part").alias("target_id"), "target")
     place = F.split("target_id", ":")
     more = of(asked).select(
         F.get(place, F.lit(0)).cast("bigint").alias("target_id"),
-        F.get(place, F.lit(1)).cast("int").alias("part"), "hop", "url", "card",
+        F.get(place, F.lit(1)).cast("int").alias("part"), "hop", "url", "card", "source",
     )
     return whole, cut(more, "keyword_cards")
 
@@ -514,6 +591,15 @@ def keyword_fusion_first_line(v: Views) -> DataFrame:
     )
 
 
+@query
+def keyword_fusion_five(v: Views) -> DataFrame:
+    """A target of more words than usual, each of which may bring its cards."""
+    whole, more = _cards(v, v.reports(), v.long_target(), 5)
+    return evidence.fuse(whole, more, compat="first_line").select(
+        "target_id", F.col("part").cast("bigint").alias("part"), F.col("hop").cast("bigint").alias("hop"), "url"
+    )
+
+
 def _ranked_urls(v: Views) -> tuple[DataFrame, DataFrame]:
     """Two rankings of pages per target number: oldest first, longest first.
 
@@ -653,14 +739,48 @@ def stream_enrich(v: Views) -> DataFrame:
     topic.publish_files(v.reports().select(*fields), source)
     job = enrich.enrichment(topic.subscribe_files(v.spark, source, 4), out, checkpoint, available_now=True)
     job.start().awaitTermination()
-    return enrich.read_enriched(v.spark, out).select(
-        "record_id", "url", "source", "source_name", "date", "tone", "ai_insight"
-    )
+    return enrich.read_enriched(v.spark, out).select(*ENRICHED)
+
+
+@query
+def stream_replay(v: Views) -> DataFrame:
+    """One batch written twice, as after a restart, leaves its rows once."""
+    out = scratch_path(v.spark, "enriched")
+    fields = [f.name for f in topic.MESSAGE.fields]
+    messages = cut(topic.to_messages(v.reports().select(*fields)), "messages")
+    writer = enrich.BatchWriter(out)
+    writer(messages, 0)
+    writer(messages, 0)
+    return enrich.read_enriched(v.spark, out).select(*ENRICHED)
+
+
+@query
+def stream_new_files(v: Views) -> DataFrame:
+    """Files that arrive between two runs of one job are read once, those of the first run not again."""
+    source, out, checkpoint = (scratch_path(v.spark, n) for n in ("topic", "enriched", "state"))
+    fields = [f.name for f in topic.MESSAGE.fields]
+    for part in (v.earlier, v.later):
+        topic.publish_files(part(v.reports()).select(*fields), source)
+        job = enrich.enrichment(topic.subscribe_files(v.spark, source), out, checkpoint, available_now=True)
+        job.start().awaitTermination()
+    return enrich.read_enriched(v.spark, out).select(*ENRICHED)
+
+
+@query
+def stream_rescan(v: Views) -> DataFrame:
+    """The alert snapshot after a scan of some edges and another one once all are stored."""
+    edges, path = scratch_path(v.spark, "edges"), scratch_path(v.spark, "snapshot")
+    scored = cut(v.scored_edges(v.reports()), "scored")
+    scan = growth.rescan(edges, path, F.lit("2026-01-01").cast("timestamp"))
+    for batch_id, rel_types in enumerate((["LOCATED_AT"], ["OPERATES_IN", "KNOWS_OR_COOCCURRED_WITH"])):
+        scored.filter(F.col("rel_type").isin(rel_types)).write.mode("append").parquet(edges)
+        scan(scored, batch_id)
+    return alerts.read_snapshot(v.spark, path).select("last_scan", F.inline("active_threats"))
 
 
 @query
 def stream_growth(v: Views) -> DataFrame:
-    """Daily weights emitted by a stream over the events, then compared day by day."""
+    """Daily weights kept by a stream over the events, open days too, then compared day by day."""
     events = v.table("events")
     source = (
         v.spark.readStream.schema(events.schema)
@@ -669,10 +789,8 @@ def stream_growth(v: Views) -> DataFrame:
         .withColumn("ts", F.col("ts").cast("timestamp"))
     )
     out, checkpoint = (scratch_path(v.spark, n) for n in ("daily", "state"))
-    growth.daily_weights(source, PAIR).writeStream.outputMode("append").format("parquet").option(
-        "path", out
-    ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return alerts.growth(v.spark.read.parquet(out), PAIR)
+    growth.daily_job(source, PAIR, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return alerts.growth(growth.read_daily(v.spark, out, PAIR), PAIR)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

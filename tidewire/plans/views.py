@@ -34,6 +34,7 @@ TARGETS = [
     "zzz",
     "tell about the economy nation_1 brand#2",
 ]
+LONG_TARGET = "tell zzz about brand#2 nation_1 brand#2 supplier#00000001 nation_3"
 # Words that occur in the documents, standing in for alert keywords and regions.
 DOCUMENT_KEYWORDS = ["thatin", "rewh", "tion"]
 DOCUMENT_REGIONS = ["ononst", "inoran", "hehely"]
@@ -214,7 +215,7 @@ class Views:
             .groupBy("l_orderkey")
             .agg(F.collect_list(row).alias("records"))
             .select(
-                F.lpad(F.col("l_orderkey").cast("string"), 8, "0").alias("resource_id"),
+                F.format_string("%08d", "l_orderkey").alias("resource_id"),
                 F.concat(F.lit("Order "), F.col("l_orderkey").cast("string")).alias("name"),
                 F.array(F.lit("Economics")).alias("themes"),
                 F.to_json(
@@ -253,6 +254,10 @@ class Views:
             list(enumerate(TARGETS, 1)), "target_id bigint, target string"
         )
 
+    def long_target(self) -> DataFrame:
+        """One target of five keywords, no name holding all of them."""
+        return self.spark.createDataFrame([(1, LONG_TARGET)], "target_id bigint, target string")
+
     def answers(self) -> DataFrame:
         return self.targets().select("target_id", F.lit(ANSWER).alias("answer"))
 

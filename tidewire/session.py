@@ -38,18 +38,25 @@ def scratch_root(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
     temporary folder: on a cluster that folder would be a different one on every machine.
     """
+    app = spark.conf.get("spark.app.id", "local")
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return shared.rstrip("/")
+        return f"{shared.rstrip('/')}/tidewire-{app}"
     master = spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = spark.conf.get("spark.app.id", "local")
     if app not in _local_scratch:
         _local_scratch[app] = tempfile.mkdtemp(prefix="tidewire-")
     return _local_scratch[app]
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what :func:`cut` wrote for this application. For the end of a job, or between jobs: no
+    DataFrame that was made before can be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 

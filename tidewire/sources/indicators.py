@@ -99,7 +99,7 @@ def portal_rows(responses: DataFrame, ingested_at: Column | None = None) -> Data
     free = F.filter(F.map_keys(row), lambda k: ~k.isin(PORTAL_RESERVED))
     value = F.coalesce(F.try_element_at(row, F.get(free, F.lit(0))), F.lit("N/A"))
     row_id = F.coalesce(
-        F.try_element_at(row, F.lit("_id")), F.left(F.sha2(F.to_json(row), 256), F.lit(16))
+        F.try_element_at(row, F.lit("_id")), F.sha2(F.to_json(row), 256)
     )
     return (
         responses.withColumn("answer", answer)
@@ -111,9 +111,7 @@ def portal_rows(responses: DataFrame, ingested_at: Column | None = None) -> Data
         )
         .select(
             F.lit("NDAP").alias("source"),
-            F.concat_ws("-", F.lit("ndap"), F.left("resource_id", F.lit(8)), "rid").alias(
-                "record_id"
-            ),
+            F.concat_ws("-", F.lit("ndap"), "resource_id", "rid").alias("record_id"),
             period_start(F.col("year")).alias("date"),
             F.concat(F.lit("https://ndap.niti.gov.in/dataset/"), "resource_id").alias("url"),
             F.format_string("%s — %s (%s): %s", "name", "place", "year", "value_raw").alias("title"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import RECORD
+from ..session import cut
 
 
 def conform(feed: DataFrame) -> DataFrame:
@@ -27,8 +28,28 @@ def combine(*feeds: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [conform(f) for f in feeds])
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table, or no rows where nothing was written yet."""
+    if _there(spark, path):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+_MONTH = T.StructField("ingest_month", T.StringType())
+_KEYS = T.StructType([T.StructField("key", T.StringType()), T.StructField("by", T.StringType()), T.StructField("bucket", T.IntegerType())])
+KEY_BUCKETS = 64
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORD).parquet(path)
+    """All records; a store that was never written to has none. ``source`` and ``ingest_month`` are
+    folders, so a filter on either leaves the other folders unread."""
+    rows = _read(spark, f"{path}/records", T.StructType([*RECORD.fields, _MONTH]))
+    return rows.select(*[f.name for f in RECORD.fields], _MONTH.name)
 
 
 def import_json(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +70,51 @@ def import_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append(records: DataFrame, path: str) -> None:
-    conform(records).write.mode("append").parquet(path)
+    """Adds records and the keys they are known by.
+
+    Records go first: if the keys are lost with the job, ``renew_keys`` brings them back.
+    """
+    rows = cut(conform(records), "batch")
+    month = F.date_format("ingestion_timestamp", "yyyyMM")
+    rows.withColumn(_MONTH.name, month).hint("rebalance", "source").write.mode("append").partitionBy(
+        "source", _MONTH.name
+    ).parquet(f"{path}/records")
+    _keys(rows).write.mode("append").partitionBy("by", "bucket").parquet(f"{path}/keys")
+
+
+def renew_keys(spark: SparkSession, path: str) -> None:
+    """The key table again, from the records."""
+    _keys(read_store(spark, path)).write.mode("overwrite").partitionBy("by", "bucket").parquet(f"{path}/keys")
+
+
+def _keys(records: DataFrame) -> DataFrame:
+    """What records are known by: ``key, by, bucket``, once each."""
+    known = F.inline(F.array(
+        F.struct(record_key().alias("key"), F.lit("record_id").alias("by")),
+        F.struct(_filled("url").alias("key"), F.lit("url").alias("by")),
+    ))
+    return (
+        records.select(known).filter("key is not null").distinct().withColumn("bucket", _bucket())
+        .repartition("by", "bucket")
+    )
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def known_keys(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """Keys that the store holds, of one kind: ``key, bucket``."""
+    return _read(spark, f"{path}/keys", _KEYS).filter(F.col("by") == by).select("key", "bucket")
+
+
+def _filled(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(""))
+
+
+def record_key() -> Column:
+    """What tells records apart: the id, or the url where a feed gives no id."""
+    return F.coalesce(_filled("record_id"), _filled("url"))
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -59,32 +124,43 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def _unseen(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    known = stored.select(F.col(key).alias("_known")).distinct()
-    return incoming.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+def _unseen(incoming: DataFrame, known: DataFrame, order: list[Column], repeats: bool) -> DataFrame:
+    """Rows of ``incoming`` whose ``key`` is null or not in ``known(key, bucket)``; of rows with one key
+    the first, unless repeats stay. Rows without a key are all kept, as nothing says they are the same."""
+    keyed = incoming.filter("key is not null")
+    once = keyed if repeats else first_per(keyed, ["key"], order)
+    fresh = once.withColumn("bucket", _bucket()).join(known, ["bucket", "key"], "left_anti").drop("bucket")
+    return fresh.unionByName(incoming.filter("key is null")).drop("key")
+
+
+def _as_known(stored: DataFrame, key: Column) -> DataFrame:
+    return stored.select(key.alias("key")).distinct().withColumn("bucket", _bucket())
 
 
 def unseen_by_id(
     incoming: DataFrame, stored: DataFrame, order: list[Column], strict: bool = False
 ) -> DataFrame:
-    """Records whose id is not stored; a null id matches a stored null id.
+    """Records that are not stored, by id, or by url where there is no id.
 
     Repeats inside the batch are dropped too, unless ``strict`` asks to keep them.
     """
-    batch = incoming if strict else first_per(incoming, ["record_id"], order)
-    return _unseen(batch, stored, "record_id")
+    return _unseen(incoming.withColumn("key", record_key()), _as_known(stored, record_key()), order, strict)
 
 
 def unseen_by_url(incoming: DataFrame, stored: DataFrame, order: list[Column]) -> DataFrame:
     """First record of every url that no source has stored."""
-    return _unseen(first_per(incoming, ["url"], order), stored, "url")
+    return _unseen(incoming.withColumn("key", _filled("url")), _as_known(stored, _filled("url")), order, False)
 
 
 def append_unseen(spark: SparkSession, incoming: DataFrame, path: str, key: str = "record_id") -> None:
-    """Append what the store does not hold yet, by ``record_id`` or by ``url``."""
+    """Append what the store does not hold yet, by ``record_id`` or by ``url``.
+
+    Only the key table is read, and of it the batch's buckets where Spark can prune them; the records are not.
+    """
     order = [F.col("ingestion_timestamp").asc_nulls_last(), F.xxhash64(F.to_json(F.struct("*")))]
-    pick = unseen_by_url if key == "url" else unseen_by_id
-    append(pick(conform(incoming), read_store(spark, path), order), path)
+    own = _filled("url") if key == "url" else record_key()
+    batch = conform(incoming).withColumn("key", own)
+    append(_unseen(batch, known_keys(spark, path, key), order, False), path)
 
 
 def route(records: DataFrame) -> DataFrame:

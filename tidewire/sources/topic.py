@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import MESSAGE
 
-TOPIC = "raw_strategic_news"
+TOPIC = "news-records"
 
 
 def to_messages(records: DataFrame) -> DataFrame:
@@ -30,26 +30,25 @@ def publish_files(records: DataFrame, path: str) -> None:
 
 
 def subscribe(
-    spark: SparkSession, servers: str, topic: str = TOPIC, offsets_per_trigger: int = 100
+    spark: SparkSession, servers: str, topic: str = TOPIC, offsets_per_trigger: int | None = None
 ) -> DataFrame:
-    return (
+    """All that is there per trigger, unless a number of offsets is given."""
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
-        .option("maxOffsetsPerTrigger", offsets_per_trigger)
-        .load()
-        .select(F.col("value").cast("string").alias("value"))
     )
+    if offsets_per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", offsets_per_trigger)
+    return reader.load().select(F.col("value").cast("string").alias("value"))
 
 
-def subscribe_files(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    return (
-        spark.readStream.format("text")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .load(path)
-        .select("value")
-    )
+def subscribe_files(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.format("text")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(path).select("value")
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def bulletin_records(
     The id follows from day and text, unless the rows bring a ``record_id`` of their own.
     """
     day = F.date_format(F.current_timestamp(), "yyyyMMdd") if day is None else day
-    by_text = F.concat_ws("-", F.lit("imd"), day, F.left(F.sha2("text", 256), F.lit(16)))
+    by_text = F.concat_ws("-", F.lit("imd"), day, F.sha2("text", 256))
     record_id = F.col("record_id") if "record_id" in alerts.columns else by_text
     return alerts.select(
         F.lit("IMD").alias("source"),
@@ -85,7 +85,10 @@ def rss_records(
     today: Column | None = None,
     ingested_at: Column | None = None,
 ) -> DataFrame:
-    """Records from feed items. The title is required, every other part has a default."""
+    """Records from feed items. The title is required, every other part has a default.
+
+    The id follows from title, link and date, so the same warning on another day is another record.
+    """
     today = F.date_format(F.current_timestamp(), "yyyyMMdd") if today is None else today
     named = (
         items.filter(F.col("title").isNotNull())
@@ -93,9 +96,11 @@ def rss_records(
         .withColumn("body", F.coalesce(strip_space(F.col("description")), F.lit("")))
     )
     affected = matching(F.concat("title", "body"), regions)
+    parts = [F.coalesce(F.trim(c), F.lit("")) for c in ("title", "link", "pubDate")]
+    told = F.concat_ws("\n", *parts)
     return named.select(
         F.lit("IMD").alias("source"),
-        F.concat(F.lit("imd-rss-"), F.left(F.sha2("title", 256), F.lit(16))).alias("record_id"),
+        F.concat(F.lit("imd-rss-"), F.sha2(told, 256)).alias("record_id"),
         rss_date(F.col("pubDate"), today).alias("date"),
         F.coalesce(F.trim("link"), F.lit(feed_url)).alias("url"),
         "title",

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.alerts import heavy_relationships, to_alerts, write_snapshot
 
 
 def daily_weights(events: DataFrame, pair: list[str], ts: str = "ts", late: str = "1 day") -> DataFrame:
-    """Events per pair and day. A day is emitted once, when the watermark has passed its end;
-    state holds the open days only."""
+    """Events per pair and day. State holds the days that the watermark has not closed."""
     return (
         events.withWatermark(ts, late)
         .groupBy(*pair, F.window(ts, "1 day"))
@@ -19,16 +19,47 @@ def daily_weights(events: DataFrame, pair: list[str], ts: str = "ts", late: str
     )
 
 
-def rescan(edges_path: str, snapshot_path: str):
+def daily_job(
+    events: DataFrame, pair: list[str], path: str, checkpoint: str, ts: str = "ts", late: str = "1 day"
+) -> DataStreamWriter:
+    """Keeps the daily weights of a stream under ``path``, open days included.
+
+    Every batch writes the weights that it changed to a folder of its own, replaced as a whole, so a
+    repeated batch changes nothing. Start it with a trigger; read it with :func:`read_daily`.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        daily_weights(events, pair, ts, late)
+        .writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    )
+
+
+def read_daily(spark: SparkSession, path: str, pair: list[str]) -> DataFrame:
+    """The newest weight of every pair and day."""
+    newest = F.max_by("weight", "batch_id").alias("weight")
+    return spark.read.parquet(path).groupBy(*pair, "day").agg(newest)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Events that came after the watermark had closed their day, over the progress still known."""
+    return sum(
+        state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"]
+    )
+
+
+def rescan(edges_path: str, snapshot_path: str, now: Column | None = None):
     """A ``foreachBatch`` function that renews the alert snapshot from the stored edges."""
 
     def scan(batch: DataFrame, batch_id: int) -> None:
-        now = F.current_timestamp()
+        at = F.current_timestamp() if now is None else now
         edges = batch.sparkSession.read.parquet(edges_path)
         heavy = heavy_relationships(edges)
         write_snapshot(
-            to_alerts(heavy, "source_entity", "target_entity", "weight_score", now, grown=False),
-            now,
+            to_alerts(heavy, "source_entity", "target_entity", "weight_score", at, grown=False),
+            at,
             snapshot_path,
         )
 
