@@ -1,0 +1,98 @@
+import math
+
+import numpy as np
+import pytest
+from test_components import expected
+
+from tidewire.llm import collisions
+
+KIND = "vec_id long, embedding array<float>, label int, cid long, e string, links long"
+
+
+def brute(rows):
+    good = []
+    for k, (i, v) in enumerate(rows):
+        ok = v is not None and all(x is not None and math.isfinite(x) for x in v) and any(x != 0 for x in v)
+        good.append(np.array(v, dtype=np.float32).astype(float) if ok else None)
+    links = []
+    for a, x in enumerate(good):
+        for b in range(a):
+            y = good[b]
+            if x is not None and y is not None and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9:
+                links.append((b, a))
+    group = expected([*links, *((k, k) for k in range(len(rows)))])
+    least, out = {}, []
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[k]] = min(least.get(group[k], i), i)
+    for k, (i, _) in enumerate(rows):
+        n = sum(k in pair for pair in links)
+        component = i if good[k] is None else least.get(group[k])
+        out.append((i, n, component, i is not None and i == component))
+    return sorted(out, key=str)
+
+
+def found(spark, rows):
+    frame = spark.createDataFrame([(i, v, 1, 2, "e", 3) for i, v in rows], KIND)
+    result = collisions.near_duplicates(frame)
+    assert result.columns == ["vec_id", "n_links", "component_id", "kept"]
+    return sorted(map(tuple, result.collect()), key=str)
+
+
+def clustered(rng, groups, each, width, spread):
+    out = []
+    for _ in range(groups):
+        centre = rng.standard_normal(width)
+        out += [centre + spread * np.linalg.norm(centre) / math.sqrt(width) * rng.standard_normal(width) for _ in range(each)]
+    return [(i, v.tolist()) for i, v in enumerate(out)]
+
+
+@pytest.mark.parametrize("groups,each,spread", [(60, 4, 0.25), (2, 90, 0.3), (150, 1, 0)])
+def test_equal_to_all_pairs(spark, monkeypatch, groups, each, spread):
+    monkeypatch.setattr(collisions, "CELL", 16)
+    monkeypatch.setattr(collisions, "BLOCK", 12)
+    monkeypatch.setattr(collisions, "ROWS", 5)
+    rows = clustered(np.random.default_rng(groups), groups, each, 24, spread)
+    got, want = found(spark, rows), brute(rows)
+    reached = sum(r[1] for r in got) / max(1, sum(r[1] for r in want))
+    assert reached >= 0.9 or not any(r[1] for r in want)
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    if reached == 1 or not any(r[1] for r in want):
+        assert got == want
+
+
+def test_recall_at_the_least_cosine():
+    rng = np.random.default_rng(6)
+    sample = rng.standard_normal((2048, 64))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    index = collisions.Index(sample, 200_000)
+    other = rng.standard_normal((3000, 64))
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = index._partners(other, rng)
+    met = (index.codes(other) == index.codes(near)).any(axis=1)
+    enough = index.collisions(index.steps(other), index.steps(near)) >= index.enough
+    assert (met & enough).mean() > 0.98
+    far = index.collisions(index.steps(other), index.steps(np.roll(other, 1, axis=0))) >= index.enough
+    assert far.mean() < 0.2
+
+
+def test_copies_and_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [1.0, 0.0, 0.0]) for i in (9, 5, 7, 5)] + [
+        (1, None), (2, [0.0, 0.0, 0.0]), (3, [nan, 1.0, 0.0]), (4, [inf, 0.0, 0.0]), (None, [0.0, 1.0, 0.0]), (6, [0.0, 2.0, 0.1]),
+        (None, [0.0, 0.0, 1.0]), (8, []), (10, [None, 1.0, 1.0]), (11, [1.0]), (12, [2.0]), (13, [-1.0]), (14, [1e-30, 0.0, 0.0]),
+        (15, [1e30, -0.0, 0.0]), (None, None),
+    ]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_no_rows(spark):
+    assert found(spark, []) == []
+    assert found(spark, [(1, None)]) == [(1, 0, 1, True)]
+
+
+def test_query(spark, folder):
+    from tidewire.llm.queries import REGISTRY
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    assert sorted(map(tuple, REGISTRY["op3_vector_neardup"](spark, folder).collect()), key=str) == brute(rows)
