@@ -20,7 +20,6 @@ learned from. Without training rows N is 0 and pieces weigh by the vocabulary al
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +40,13 @@ SHARED_WORDS, SHARED_PIECES, LEAST_PIECE = 0.02, 20.0, 1e-9
 #: Words whose lattices are laid out at once.
 AT_ONCE = 4000
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _worker: dict = {}
 
 
-def split(texts: list[str]) -> list[list[str]]:
-    """A text's words with A-Z in lower case, and the end as the empty word."""
-    return [_WORD.findall(t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) + [""] for t in texts]
+def split(texts: list[bytes]) -> list[list[bytes]]:
+    """A text's words with A-Z in lower case, and the end as the empty word. Of bytes, ``lower`` changes
+    those letters only, and ``split`` parts at the blanks U+0009 to U+000D and U+0020 only."""
+    return [[*t.lower().split(), b""] for t in texts]
 
 
 class Pieces:
@@ -115,7 +114,7 @@ class Pieces:
         lengths.append(np.ones(len(number), dtype=np.int64))
         pieces.append(self.size + number)
         start, length, piece = map(np.concatenate, (starts, lengths, pieces))
-        spelled = [np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8) + (self.size - 256) for c in lone.tolist()]
+        spelled = [np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64) + (self.size - 256) for c in lone.tolist()]
         return Lattices(start + owner[start], length, piece, place[start], first + np.arange(len(texts)), sizes, spelled)
 
 
@@ -125,14 +124,14 @@ class Lattices:
     def __init__(self, start, length, piece, place, first, sizes, spelled):
         self.first, self.last, self.spelled = first, first + sizes, spelled
         self.nodes = int(sizes.sum() + len(sizes))
-        self._by_end = self._levels(start, start + length, piece, place + length, start + length)
-        self._by_start = self._levels(start, start + length, piece, -place, start)
+        self._arcs = start, start + length, piece
+        self._places = place, place + length
         self.owner = np.repeat(np.arange(len(sizes)), sizes + 1)
 
-    @staticmethod
-    def _levels(start, end, piece, level, joint):
-        order = np.lexsort((joint, level))
-        start, end, piece, level, joint = (x[order] for x in (start, end, piece, level, joint))
+    def _levels(self, level: np.ndarray, joint: np.ndarray) -> list[tuple]:
+        """The arcs in order of ``level``, and inside a level those that meet in a node together."""
+        order = np.argsort(level * self.nodes + joint, kind="stable")
+        start, end, piece, level, joint = (x[order] for x in (*self._arcs, level, joint))
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(level)) + 1, [len(level)]))
         out = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -155,7 +154,7 @@ class Lattices:
     def forward(self, weights: np.ndarray) -> np.ndarray:
         """Log sums (node, model) over all ways from a word's first node."""
         ways = np.zeros((self.nodes, weights.shape[1]))
-        for start, _, piece, heads, joint in self._by_end:
+        for start, _, piece, heads, joint in self._levels(self._places[1], self._arcs[1]):
             ways[joint] = self._sum(ways[start] + weights[piece], heads)
         return ways
 
@@ -163,7 +162,8 @@ class Lattices:
         """(word, piece, expected uses) of all arcs under the only model."""
         back = np.zeros((self.nodes, 1))
         total = ways[self.last]
-        for start, end, piece, heads, joint in self._by_start:
+        # From the last place back.
+        for start, end, piece, heads, joint in self._levels(self._places[0].max(initial=0) - self._places[0], self._arcs[0]):
             x = weights[piece] + back[end]
             back[joint] = self._sum(x, heads)
             word = self.owner[start]
@@ -191,14 +191,15 @@ def _expect(path: str, models: int):
             for some in _by_length(words):
                 lattices = pieces.lay_out([words[i] for i in some])
                 weights = lattices.weights(pieces.start[:, None])
-                for word, piece, use in lattices.expected(weights, lattices.forward(weights)):
-                    by_model = use[:, None] * met[some][word]
-                    plain = piece < pieces.size
-                    for m in range(models):
-                        uses[:, m] += np.bincount(piece[plain], by_model[plain, m], pieces.size)
-                    for p, u in zip(piece[~plain] - pieces.size, by_model[~plain]):
-                        for byte in lattices.spelled[p]:
-                            uses[byte] += u
+                found = list(lattices.expected(weights, lattices.forward(weights)))
+                word, piece, use = (np.concatenate(x) for x in zip(*found))
+                by_model = use[:, None] * met[some][word]
+                size = pieces.size + len(lattices.spelled)
+                each = np.stack([np.bincount(piece, by_model[:, m], size) for m in range(models)], axis=1)
+                uses += each[: pieces.size]
+                for spelled, u in zip(lattices.spelled, each[pieces.size :]):
+                    for byte in spelled:
+                        uses[byte] += u
         piece, model = np.nonzero(uses)
         yield pa.RecordBatch.from_arrays(
             [pa.array(piece.astype(np.int32)), pa.array(model.astype(np.int32)), pa.array(uses[piece, model])], ["piece", "model", "uses"]
@@ -242,7 +243,7 @@ def score(docs: DataFrame, path: str, held_out: Column, id_column: str = "doc_id
     part = F.when(trained, part).otherwise(-1)
 
     met = [F.sum(F.when(F.col("part") == m, F.col("n")).otherwise(0)) for m in range(models)]
-    words = counted(rows, F.col("text"), split, F.coalesce(part, F.lit(-1))).groupBy("term").agg(F.sum("n").alias("n"), F.array(*met).alias("c"))
+    words = counted(rows, F.col("text"), split, F.coalesce(part, F.lit(-1)), raw=True).groupBy("term").agg(F.sum("n").alias("n"), F.array(*met).alias("c"))
     words = cut(words, "words")
     of = [F.col("c")[m] for m in range(models)]
     count = sum(of[1:], of[0])
@@ -270,7 +271,7 @@ def score(docs: DataFrame, path: str, held_out: Column, id_column: str = "doc_id
             F.when(whole > 0, F.greatest(F.log10(whole), by_pieces) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(F.log10(whole) - by_pieces))))
             .otherwise(by_pieces)
         )
-    found = row_sums(rows.withColumn("held_out", F.coalesce("held", F.lit(False))), split, scored, values, ["doc_id", "held_out"])
+    found = row_sums(rows.withColumn("held_out", F.coalesce("held", F.lit(False))), split, scored, values, ["doc_id", "held_out"], raw=True)
     shares = [float(np.log10(documents[m] / max(sum(documents), 1))) if sum(documents) else 0.0 for m in live]
     ways = [F.col("sums")[3 + i] + share for i, share in enumerate(shares)]
     top = F.greatest(*ways) if len(ways) > 1 else ways[0]

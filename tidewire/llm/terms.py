@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import own, struct_array
+from tidewire.llm.common import own
 from tidewire.llm.vectors import matrix
 from tidewire.session import cut
 
@@ -25,10 +25,19 @@ HOT, HOT_BYTES = 300_000, 64
 #: Distinct terms that a task holds before it hands them on.
 HELD = 200_000
 
-Split = Callable[[list[str]], list[list[str]]]
+#: From texts to their terms; both are str, or both UTF-8 bytes where ``raw`` says so.
+Split = Callable[[list], list[list]]
 
 
-def _count(split: Split, groups: bool):
+def _texts(column: pa.Array, raw: bool) -> list:
+    return (column.cast(pa.binary()) if raw else column).to_pylist()
+
+
+def _strings(terms: list, raw: bool) -> pa.Array:
+    return pa.array(terms, pa.large_binary()).cast(pa.large_string()).cast(pa.string()) if raw else pa.array(terms, pa.string())
+
+
+def _count(split: Split, groups: bool, raw: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Counter] = {}
 
@@ -36,7 +45,7 @@ def _count(split: Split, groups: bool):
             for group, counter in held.items():
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(counter.keys(), pa.large_string()).cast(pa.string()),
+                        _strings(list(counter), raw),
                         pa.array([group] * len(counter), pa.int32()),
                         pa.array(counter.values(), pa.int64()),
                     ],
@@ -48,7 +57,7 @@ def _count(split: Split, groups: bool):
             for at in range(0, len(batch), 500):
                 rows = batch.slice(at, 500)
                 kinds = rows.column(1).to_pylist() if groups else [0] * len(rows)
-                for kind, terms in zip(kinds, split(rows.column(0).to_pylist())):
+                for kind, terms in zip(kinds, split(_texts(rows.column(0), raw))):
                     held.setdefault(kind, Counter()).update(terms)
                 if sum(map(len, held.values())) > HELD:
                     yield from out()
@@ -57,10 +66,10 @@ def _count(split: Split, groups: bool):
     return run
 
 
-def counted(docs: DataFrame, text: Column, split: Split, part: Column | None = None) -> DataFrame:
+def counted(docs: DataFrame, text: Column, split: Split, part: Column | None = None, raw: bool = False) -> DataFrame:
     """(term, part, n): occurrences of every term of all rows, summed per task; ``part`` is a small int."""
     columns = [text.alias("text")] + ([part.cast("int").alias("part")] if part is not None else [])
-    return docs.select(*columns).mapInArrow(_count(split, part is not None), "term string, part int, n long")
+    return docs.select(*columns).mapInArrow(_count(split, part is not None, raw), "term string, part int, n long")
 
 
 def hot_terms(terms: DataFrame, most: int = HOT) -> DataFrame:
@@ -77,7 +86,7 @@ def hot_terms(terms: DataFrame, most: int = HOT) -> DataFrame:
 
 
 def row_sums(
-    rows: DataFrame, split: Split, terms: DataFrame, values: list[Column], keep: list[str], most: int = HOT
+    rows: DataFrame, split: Split, terms: DataFrame, values: list[Column], keep: list[str], most: int = HOT, raw: bool = False
 ) -> DataFrame:
     """``keep`` of every row of ``rows(text, ...)`` and ``sums``: over the row's terms, each time it occurs,
     of every value. ``values`` are doubles over the columns of ``terms(term, n, ...)``, which holds every
@@ -85,7 +94,7 @@ def row_sums(
     spark, row, width = rows.sparkSession, own("row"), len(values)
     hot = hot_terms(terms, most).select("term", F.array(*values).alias("values")).toArrow()
     shared = spark.sparkContext.broadcast(
-        ({t: i for i, t in enumerate(hot.column("term").to_pylist())}, matrix(hot.column("values"), width))
+        ({t: i for i, t in enumerate(_texts(hot.column("term"), raw))}, matrix(hot.column("values"), width))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,14 +104,17 @@ def row_sums(
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 sums, ends, terms_left, counts_left = [], [0], [], []
-                for found in split(part.column(0).to_pylist()):
+                for found in split(_texts(part.column(0), raw)):
                     where = np.fromiter(map(get, found, unknown), np.int64, len(found))
-                    rest = Counter([found[i] for i in np.flatnonzero(where < 0).tolist()])
-                    terms_left += rest.keys()
-                    counts_left += rest.values()
+                    other = where < 0
+                    if other.any():
+                        rest = Counter([found[i] for i in np.flatnonzero(other).tolist()])
+                        terms_left += rest.keys()
+                        counts_left += rest.values()
+                        where = where[~other]
                     ends.append(len(terms_left))
-                    sums.append(known[where[where >= 0]].sum(axis=0))
-                pairs = struct_array(["term", "n"], [pa.string(), pa.int64()], [terms_left, counts_left])
+                    sums.append(known.take(where, axis=0).sum(axis=0))
+                pairs = pa.StructArray.from_arrays([_strings(terms_left, raw), pa.array(counts_left, pa.int64())], ["term", "n"])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
                 flat = pa.array(np.array(sums).ravel(), pa.float64())
                 added = pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width), pa.int32()), flat)
