@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import collisions, langid, lattice, packing, piecebpe, simhash, tokencount, topk, toxicity, urlfilter
 from tidewire.llm.common import load
+from tidewire.llm.oracle import SQL as SQL
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,5 +73,3 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
 }
-
-SQL: dict[str, str] = {}
