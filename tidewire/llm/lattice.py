@@ -259,7 +259,7 @@ def score(docs: DataFrame, path: str, held_out: Column, id_column: str = "doc_id
     logs = spark.sparkContext.broadcast(_piece_logs(_pieces(path), uses, models))
     scored = cut(words.mapInArrow(_spell(path, logs, models), "term string, n long, c array<long>, spelled array<float>"), "spelled")
 
-    values = [F.lit(1.0), (count > 0).cast("double"), F.log10((count + 1.0) / F.lit(float(total + facts.v + 1)))]
+    values = [(count > 0).cast("double"), F.log10((count + 1.0) / F.lit(float(total + facts.v + 1)))]
     documents = [facts[f"docs{m}"] or 0 for m in range(models)]
     live = [m for m in range(models) if documents[m]] or [0]
     for m in live:
@@ -273,12 +273,12 @@ def score(docs: DataFrame, path: str, held_out: Column, id_column: str = "doc_id
         )
     found = row_sums(rows.withColumn("held_out", F.coalesce("held", F.lit(False))), split, scored, values, ["doc_id", "held_out"], raw=True)
     shares = [float(np.log10(documents[m] / max(sum(documents), 1))) if sum(documents) else 0.0 for m in live]
-    ways = [F.col("sums")[3 + i] + share for i, share in enumerate(shares)]
+    ways = [F.col("sums")[2 + i] + share for i, share in enumerate(shares)]
     top = F.greatest(*ways) if len(ways) > 1 else ways[0]
     mixed = F.log10(sum((F.pow(F.lit(10.0), w - top) for w in ways), F.lit(0.0))) + top
     return found.select(
-        "doc_id", "held_out", F.round(F.col("sums")[0]).cast("long").alias("n_tokens"), F.round(F.col("sums")[1]).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), F.col("sums")[2].alias("base_score"), mixed.alias("score"),
+        "doc_id", "held_out", F.col("terms").alias("n_tokens"), F.round(F.col("sums")[0]).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), F.col("sums")[1].alias("base_score"), mixed.alias("score"),
     )
 
 

@@ -69,7 +69,9 @@ def _count(split: Split, groups: bool, raw: bool):
 def counted(docs: DataFrame, text: Column, split: Split, part: Column | None = None, raw: bool = False) -> DataFrame:
     """(term, part, n): occurrences of every term of all rows, summed per task; ``part`` is a small int."""
     columns = [text.alias("text")] + ([part.cast("int").alias("part")] if part is not None else [])
-    return docs.select(*columns).mapInArrow(_count(split, part is not None, raw), "term string, part int, n long")
+    rows = docs.select(*columns).mapInArrow(_count(split, part is not None, raw), "term string, part int, n long")
+    # The tasks have summed already; a second sum before the shuffle would only widen the rows.
+    return rows.repartition("term")
 
 
 def hot_terms(terms: DataFrame, most: int = HOT) -> DataFrame:
@@ -88,8 +90,8 @@ def hot_terms(terms: DataFrame, most: int = HOT) -> DataFrame:
 def row_sums(
     rows: DataFrame, split: Split, terms: DataFrame, values: list[Column], keep: list[str], most: int = HOT, raw: bool = False
 ) -> DataFrame:
-    """``keep`` of every row of ``rows(text, ...)`` and ``sums``: over the row's terms, each time it occurs,
-    of every value. ``values`` are doubles over the columns of ``terms(term, n, ...)``, which holds every
+    """``keep`` of every row of ``rows(text, ...)``, ``terms``, how many it has, and ``sums``: over the row's
+    terms, each time it occurs, of every value. ``values`` are doubles over the columns of ``terms(term, n, ...)``, which holds every
     term of the rows; they are made after the join, so only those columns travel."""
     spark, row, width = rows.sparkSession, own("row"), len(values)
     hot = hot_terms(terms, most).select("term", F.array(*values).alias("values")).toArrow()
@@ -103,7 +105,7 @@ def row_sums(
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                sums, ends, terms_left, counts_left = [], [0], [], []
+                sums, sizes, ends, terms_left, counts_left = [], [], [0], [], []
                 for found in split(_texts(part.column(0), raw)):
                     where = np.fromiter(map(get, found, unknown), np.int64, len(found))
                     other = where < 0
@@ -113,21 +115,24 @@ def row_sums(
                         counts_left += rest.values()
                         where = where[~other]
                     ends.append(len(terms_left))
+                    sizes.append(len(found))
                     sums.append(known.take(where, axis=0).sum(axis=0))
                 pairs = pa.StructArray.from_arrays([_strings(terms_left, raw), pa.array(counts_left, pa.int64())], ["term", "n"])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
                 flat = pa.array(np.array(sums).ravel(), pa.float64())
                 added = pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], added, lists], [*part.schema.names[1:], "sums", "rest"])
+                columns = [*part.columns[1:], pa.array(sizes, pa.int64()), added, lists]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[1:], "terms", "sums", "rest"])
 
     kept = rows.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    read = rows.select("text", *keep).mapInArrow(run, f"{schema}, sums array<double>, rest array<struct<term:string,n:long>>")
+    read = rows.select("text", *keep).mapInArrow(run, f"{schema}, terms long, sums array<double>, rest array<struct<term:string,n:long>>")
     read = cut(read.withColumn(row, F.monotonically_increasing_id()), "row-sums")
     times = own("times")
     travelling = read.select(row, F.explode("rest").alias("rest")).select(row, F.col("rest.term").alias("term"), F.col("rest.n").alias(times))
-    joined = travelling.join(terms, "term")
+    # Terms are unique and dealt evenly, so a partition of them is a small table to look up; nothing is sorted.
+    joined = travelling.join(terms.hint("shuffle_hash"), "term")
     added = joined.groupBy(row).agg(*[F.sum(F.col(times) * v).alias(f"add{i}") for i, v in enumerate(values)])
     added = added.withColumnRenamed(row, own("of"))
     total = F.array(*[F.col("sums")[i] + F.coalesce(F.col(f"add{i}"), F.lit(0.0)) for i in range(width)])
-    return read.drop("rest").join(added, F.col(row) == F.col(own("of")), "left").select(*keep, total.alias("sums"))
+    return read.drop("rest").join(added, F.col(row) == F.col(own("of")), "left").select(*keep, "terms", total.alias("sums"))
