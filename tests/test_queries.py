@@ -1,6 +1,5 @@
-"""Every query beside its SQL on the smallest tables. TIDEWIRE_ALL=1 adds the long ones."""
+"""Every query beside its SQL on the smallest tables."""
 
-import os
 from pathlib import Path
 
 import pytest
@@ -11,8 +10,6 @@ from tidewire.plans.oracle import SQL
 from tidewire.plans.queries import REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
-LONG = {"keyword_fusion", "keyword_fusion_first_line", "evidence_rows", "cited_sources", "prompt_assembly",
-        "hop_expand_1", "hop_expand_2", "deep_context", "article_cards", "graph_counts", "unique_keys"}
 # Their thresholds select nothing on tables this small.
 EMPTY_HERE = {"cooccur_person_org", "cooccur_org_loc"}
 
@@ -30,8 +27,6 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_equals_sql(spark, con, name):
-    if name in LONG and not os.environ.get("TIDEWIRE_ALL"):
-        pytest.skip("long")
     result = compare(__spark_entry__.queries()[name](spark, FOLDER), con, __spark_entry__.oracle_sql()[name])
     assert result == ("no rows on either side" if name in EMPTY_HERE else "")
 

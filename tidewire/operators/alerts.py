@@ -78,8 +78,10 @@ def to_alerts(
     )
 
 
-def snapshot(alerts: DataFrame, scanned_at: Column) -> DataFrame:
-    """One row of JSON with the alerts, heaviest first. Meant for a short top list."""
+def snapshot(alerts: DataFrame, scanned_at: Column, most: int = 1000) -> DataFrame:
+    """One row of JSON with the alerts, heaviest first. It is for a short top list: more than ``most``
+    alerts are an error, as one row would hold them all."""
+    alerts = alerts.limit(most + 1)
     rows = F.array_sort(
         F.collect_list(
             F.struct(
@@ -88,7 +90,10 @@ def snapshot(alerts: DataFrame, scanned_at: Column) -> DataFrame:
             )
         )
     )
-    return alerts.agg(rows.alias("rows")).select(
+    too_many = F.raise_error(F.lit(f"more than {most} alerts for one snapshot"))
+    found = alerts.agg(rows.alias("rows"))
+    found = found.withColumn("rows", F.when(F.size("rows") > most, too_many).otherwise(F.col("rows")))
+    return found.select(
         F.to_json(
             F.struct(
                 F.transform("rows", lambda r: r["alert"]).alias("active_threats"),

@@ -27,6 +27,11 @@ MESSAGE = _struct(
     ("ingestion_timestamp", S),
 )
 
+# What the enrichment job writes; batch and kind are folders.
+ENRICHED = T.StructType(
+    [T.StructField("value", S), *MESSAGE.fields, *_struct(("reason", S), ("ai_insight", S), ("batch_id", T.LongType()), ("kind", S)).fields]
+)
+
 # The record store: the message fields plus what single sources add.
 RECORD = T.StructType(
     MESSAGE.fields[:-1]

@@ -42,7 +42,7 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 _MONTH = T.StructField("ingest_month", T.StringType())
 _KEYS = T.StructType([T.StructField("key", T.StringType()), T.StructField("by", T.StringType()), T.StructField("bucket", T.IntegerType())])
-KEY_BUCKETS = 64
+KEY_BUCKETS = 16
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

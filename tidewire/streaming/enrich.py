@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.reports import entity_summary
+from ..schemas import ENRICHED
 from ..sources.topic import mark_dead, parse_messages
 
 
@@ -56,8 +57,8 @@ def enrichment(
 
 
 def read_enriched(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter("kind = 'record'").drop("kind", "value", "reason")
+    return spark.read.schema(ENRICHED).parquet(path).filter("kind = 'record'").drop("kind", "value", "reason")
 
 
 def read_dead(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter("kind = 'dead'").select("value", "reason", "batch_id")
+    return spark.read.schema(ENRICHED).parquet(path).filter("kind = 'dead'").select("value", "reason", "batch_id")
