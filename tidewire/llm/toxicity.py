@@ -2,8 +2,9 @@
 
 A text becomes a short dense vector: densities of two lexicons, how near their words stand to words of
 the second person, and rates of capitals, punctuation and disguised words. Gradient-boosted trees over
-these features give a margin, isotonic regression on rows kept from boosting turns it into a
-probability. One lexicon is fixed, the other is learned from the sample's labels.
+these features give a margin, the mean over forests that each leave out a part of the sample; isotonic
+regression on the margins of the left-out rows turns it into a probability. One lexicon is fixed, the
+other is learned from the sample's labels.
 
 All labels used come from a sample of at most ``SAMPLE`` labelled documents outside the held-out part,
 drawn by a hash of the id; the text of these alone is gathered. Scores are one column function over
@@ -31,6 +32,10 @@ from tidewire.session import cut
 #: Bound of the labelled rows that are learned from, and size of the learned lexicon.
 SAMPLE, LEARNED = 16_000, 256
 TREES, DEPTH, RATE, BINS, SMOOTH = 80, 3, 0.15, 64, 1.0
+#: Parts of the sample, each left out by one forest.
+PARTS = 4
+#: A learned word needs so many toxic texts, log-odds, and log-odds in units of their deviation.
+LEAST_TEXTS, LEAST_ODDS, SURE = 5, 2.0, 3.2
 THRESHOLD = 0.3
 #: Words this near to a second-person word count as aimed at the reader.
 WINDOW = 6
@@ -38,18 +43,19 @@ WINDOW = 6
 # General insults of four languages, and words of the second person.
 INSULTS = frozenset(
     "idiot idiots stupid moron morons dumb dumbass fool loser losers pathetic worthless disgusting scum trash garbage "
-    "clown jerk ugly filthy vile bastard bitch asshole shit crap retard imbecile vermin pig coward liar hate kill die "
+    "clown jerk ugly filthy vile bastard bitch asshole shit crap retard imbecile vermin coward "
     "imbécile crétin connard salaud ordure débile minable nul dégoûtant abruti raclure "
     "dumm dummkopf trottel arschloch abschaum widerlich erbärmlich wertlos verlierer müll schwein "
     "idiota idiotas estúpido estúpida imbécil basura asqueroso inútil patético escoria perdedor payaso".split()
 )
 SECOND_PERSON = frozenset(
-    "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch euer "
-    "sie tú ti tus usted ustedes vosotros".split()
+    "you your yours yourself u ur tu te toi ton ta tes vous votre vos dich dir dein deine deiner euch euer "
+    "tú ti tus usted ustedes vosotros".split()
 )
 _DISGUISE = str.maketrans("@$!10345*", "asiioeas ")
 
 _WORDS = re.compile(r"[^\W\d_]+")
+_SIGN_BEFORE_LETTER = re.compile(r"[@$!*#0-9](?=[^\W\d_])")
 _MIXED = re.compile(r"[^\W\d_]+(?:[@$!*#0-9]+[^\W\d_]+)+")
 _SPACED = re.compile(r"\b(?:[^\W\d_][ .\-]){3,}[^\W\d_]\b")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
@@ -64,20 +70,24 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
     lower = text.lower()
     words = _WORDS.findall(lower)
     n = max(len(words), 1)
-    fixed = [i for i, w in enumerate(words) if w in INSULTS]
-    found = [(i, learned[w]) for i, w in enumerate(words) if w in learned]
-    second = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON], dtype=np.int64)
-    hits = np.array(sorted({*fixed, *(i for i, _ in found)}), dtype=np.int64)
-    near, nearest = 0, 0.0
-    if len(second) and len(hits):
-        at = np.searchsorted(second, hits)
-        gap = np.minimum(np.abs(second[np.minimum(at, len(second) - 1)] - hits), np.abs(second[np.maximum(at - 1, 0)] - hits))
-        near, nearest = int((gap <= WINDOW).sum()), 1.0 / (1.0 + float(gap.min()))
-    mixed = _MIXED.findall(lower)
+    marked = INSULTS.union(learned)
+    fixed, found, near, nearest = [], [], 0, 0.0
+    second = sum(map(SECOND_PERSON.__contains__, words))
+    if not marked.isdisjoint(words):
+        hits = [i for i, w in enumerate(words) if w in marked]
+        fixed = [i for i in hits if words[i] in INSULTS]
+        found = [(i, learned[words[i]]) for i in hits if words[i] in learned]
+        if second:
+            to = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
+            at = np.searchsorted(to, hits)
+            gap = np.minimum(np.abs(to[np.minimum(at, len(to) - 1)] - hits), np.abs(to[np.maximum(at - 1, 0)] - hits))
+            near, nearest = int((gap <= WINDOW).sum()), 1.0 / (1.0 + float(gap.min()))
+    mixed = _MIXED.findall(lower) if _SIGN_BEFORE_LETTER.search(lower) else []
     plain = [w.translate(_DISGUISE).replace(" ", "") for w in mixed]
     plain += [re.sub(r"[ .\-]", "", m) for m in _SPACED.findall(lower)]
-    stretched = [_STRETCHED.sub(r"\1", w) for w in words if _STRETCHED.search(w)] if _STRETCHED.search(lower) else []
-    unmasked = sum(w in INSULTS or w in learned for w in plain) + sum(w in INSULTS or w in learned for w in stretched)
+    if _STRETCHED.search(lower):
+        plain += [_STRETCHED.sub(r"\1", w) for w in words if _STRETCHED.search(w)]
+    unmasked = sum(map(marked.__contains__, plain))
     chars = max(len(text), 1)
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     capitals = int(((data >= 65) & (data <= 90)).sum())
@@ -88,7 +98,7 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
         len(fixed) / n, min(len(fixed), 50), len({words[i] for i in fixed}),
         len(found) / n, min(len(found), 50), len({words[i] for i, _ in found}),
         max(weights, default=0.0), sum(weights) / n, min(sum(weights), 200.0),
-        len(second) / n, near / n, nearest,
+        second / n, near / n, nearest,
         capitals / max(letters, 1), len(_SHOUTED.findall(text)) / n,
         text.count("!") / chars, text.count("?") / chars, sum(map(text.count, ".,;:")) / chars,
         len(mixed) / n, min(unmasked, 50),
@@ -144,8 +154,19 @@ def _grow(binned: np.ndarray, edges: list[np.ndarray], gradient: np.ndarray, hes
     return tree
 
 
-def boost(rows: np.ndarray, labels: np.ndarray) -> tuple[float, list[Tree]]:
-    """Starting margin and trees of a logistic model, grown by Newton steps on binned features."""
+@dataclass
+class Forest:
+    """Boosted trees; the margin is the start and the sum of their values."""
+
+    start: float
+    trees: list[Tree]
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        return self.start + sum((t(rows) for t in self.trees), np.zeros(len(rows)))
+
+
+def boost(rows: np.ndarray, labels: np.ndarray) -> Forest:
+    """A logistic model, grown by Newton steps on binned features."""
     edges = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, BINS)[1:-1])) for f in range(rows.shape[1])]
     # A feature that is nearly always zero still needs its larger values told apart.
     edges = [np.unique(np.append(e, np.quantile(c[c > 0], (0.0, 0.25, 0.5, 0.75)) - 1e-12 if (c > 0).any() else []))[: BINS - 1] for e, c in zip(edges, rows.T)]
@@ -157,40 +178,41 @@ def boost(rows: np.ndarray, labels: np.ndarray) -> tuple[float, list[Tree]]:
         p = 1 / (1 + np.exp(-margin))
         trees.append(_grow(binned, edges, p - labels, p * (1 - p)))
         margin += trees[-1](rows)
-    return start, trees
+    return Forest(start, trees)
 
 
 def isotonic(margins: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and values of the non-decreasing steps that fit the labels best."""
+    """Ends and values of the non-decreasing steps that fit the labels best, both ends of a step in a row."""
     order = np.argsort(margins, kind="stable")
-    blocks: list[list[float]] = []
-    for x, y in zip(margins[order], labels[order]):
-        blocks.append([float(x), float(y), 1.0])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            x2, y2, n2 = blocks.pop()
-            x1, y1, n1 = blocks.pop()
-            blocks.append([(x1 * n1 + x2 * n2) / (n1 + n2), y1 + y2, n1 + n2])
-    return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
+    blocks: list[tuple[float, float, float, int]] = []  # first and last margin, sum of labels, rows
+    for x, y in zip(margins[order].tolist(), labels[order].tolist()):
+        blocks.append((x, x, y, 1))
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            _, last, y2, n2 = blocks.pop()
+            first, _, y1, n1 = blocks.pop()
+            blocks.append((first, last, y1 + y2, n1 + n2))
+    return np.array([e for b in blocks for e in b[:2]]), np.repeat([b[2] / b[3] for b in blocks], 2)
 
 
 @dataclass
 class Model:
+    """The mean margin of some forests, and the steps that turn it into a probability."""
+
     learned: dict[str, float]
-    start: float
-    trees: list[Tree]
-    centres: np.ndarray
+    forests: list[Forest]
+    ends: np.ndarray
     levels: np.ndarray
 
     def margins(self, rows: np.ndarray) -> np.ndarray:
-        return self.start + sum((t(rows) for t in self.trees), np.zeros(len(rows)))
+        return sum(f(rows) for f in self.forests) / len(self.forests)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         margins = self.margins(rows)
         plain = 1 / (1 + np.exp(-margins))
-        if not len(self.centres):
+        if not len(self.ends):
             return plain
         # The last hundredth keeps the order inside a step.
-        return np.clip(0.99 * np.interp(margins, self.centres, self.levels) + 0.01 * plain, 0.0, 1.0)
+        return np.clip(0.99 * np.interp(margins, self.ends, self.levels) + 0.01 * plain, 0.0, 1.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -207,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     kinds = {int(r.toxic > 0) for r in found}
     if len(kinds) < 2:
         share = float(kinds == {1})
-        return Model({}, 30.0 if share else -30.0, [], np.empty(0), np.empty(0))
+        return Model({}, [Forest(30.0 if share else -30.0, [])], np.empty(0), np.empty(0))
     lexicon = _lexicon(texts)
     rows = [
         (r.doc_id, np.frombuffer(r["row"], np.float64), int(r.toxic > 0))
@@ -215,12 +237,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ]
     rows.sort(key=lambda r: (hash((r[0] * 2654435761) % (1 << 32)), r[1].tobytes(), r[2]))
     x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], dtype=float)
-    apart = np.arange(len(y)) % 4 == 0
-    if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
-        apart = np.zeros(len(y), dtype=bool)
-    model = Model(lexicon, *boost(x[~apart], y[~apart]), np.empty(0), np.empty(0))
-    if apart.any():
-        model.centres, model.levels = isotonic(model.margins(x[apart]), y[apart])
+    forests, margins, judged = [], np.zeros(len(y)), np.zeros(len(y), dtype=bool)
+    for part in range(PARTS):
+        apart = np.arange(len(y)) % PARTS == part
+        if len(set(y[~apart])) == 2:
+            forests.append(boost(x[~apart], y[~apart]))
+            margins[apart] = forests[-1](x[apart])
+            judged |= apart
+    model = Model(lexicon, forests or [boost(x, y)], np.empty(0), np.empty(0))
+    if len(set(y[judged])) == 2:
+        model.ends, model.levels = isotonic(margins[judged], y[judged])
     return model
 
 
@@ -234,7 +260,9 @@ def _lexicon(texts: DataFrame) -> dict[str, float]:
         F.sum("toxic").alias("t"), F.count("*").alias("n")
     )
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1))
-    strong = counts.where(F.col("t") >= max(3, toxic // 100)).withColumn("odds", odds).where("odds >= 2.0")
+    deviation = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") - F.col("t") + 0.5))
+    strong = counts.where(F.col("t") >= max(LEAST_TEXTS, toxic // 100)).withColumn("odds", odds)
+    strong = strong.where((F.col("odds") >= LEAST_ODDS) & (F.col("odds") >= SURE * deviation))
     return {r.word: r.odds for r in strong.orderBy(F.desc(F.col("odds") * F.col("t")), "word").limit(LEARNED).collect()}
 
 
