@@ -9,9 +9,9 @@ whose lengths are powers of two, so no id is dropped and nothing is padded.
 Long documents travel as rows of at most ``ROW_IDS`` ids. Ties on the curve are broken by the id, so
 copies spread over partitions like other rows.
 
-Ids come from the library. Chunks between white space of common Latin texts are looked up in a table that
-each worker fills from the library, as the ids of a word don't depend on its neighbours; all other texts
-are encoded whole by the library.
+Ids are those of the tokenizers library. No id depends on what is beyond white space, so each distinct
+chunk between white space is encoded once and remembered: its words by the vocabulary's merges, a chunk of
+other letters than common Latin ones by the library as it is.
 
 Defined results: a null text is empty and has the end id alone; repeated rows are packed each; an empty
 table gives an empty one.
@@ -19,6 +19,7 @@ table gives an empty one.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +40,8 @@ VOCABULARY = "word_bpe_49k.json"
 SEQUENCE, END_ID, ROW_IDS = 2048, 1, 16_384
 #: Hash buckets of a document vector, dimensions it is projected to, bits of the curve in each.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 12
-#: Words that a worker remembers.
-REMEMBERED = 400_000
+#: Chunks that a worker remembers, and documents whose chunks are told apart at once.
+REMEMBERED, AT_ONCE = 400_000, 4000
 
 # Letters, numbers and white space up to U+017F; the vocabulary's special strings.
 _LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
@@ -49,9 +51,9 @@ _SPECIAL = r"<\|(?:startoftext|endoftext)\|>"
 _WORD = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
 )
-#: Texts that need the library as a whole. The separators U+001C to U+001F are no white space to it.
+_WORD_OR_END = re.compile("\n|" + _WORD.pattern)
+#: Chunks that need the library as a whole. The separators U+001C to U+001F are no white space to it.
 _OTHER = re.compile(f"[^\x00-\x1b\x20-ſ‐-‧‰-⁞₠-₿]|İ|{_SPECIAL}")
-_OTHER_ASCII = re.compile(f"[\x1c-\x1f]|{_SPECIAL}")
 
 _worker: dict = {}
 
@@ -63,56 +65,91 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Words(dict):
-    """Ids of chunks between white space, as little-endian 16-bit numbers; filled from the library."""
+#: Stands for the mark of a word's end in byte sequences; no UTF-8 text holds it.
+_WORD_END = b"\xff"
+
+
+def _merger(path: str, suffix: str = "</w>"):
+    """A function from a word's bytes to its ids, by the vocabulary's merges.
+
+    Ids rise in the order of the merges, the bytes with the end mark first, so merging always the pair of
+    the smallest id, leftmost first, merges as the vocabulary says.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    vocabulary, special = content["model"]["vocab"], {t["content"] for t in content["added_tokens"]}
+    byte_of = {letter: b for b, letter in _byte_letters().items()}
+    ranks = {}
+    for piece, i in vocabulary.items():
+        spelled = piece.removesuffix(suffix)
+        if piece not in special:
+            raw = bytes(byte_of[c] for c in spelled)
+            if _WORD_END not in raw:
+                ranks[raw + _WORD_END if spelled != piece else raw] = i
+    ranks[_WORD_END] = len(vocabulary)
+    merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return lambda word: merge(word.encode() + _WORD_END)
+
+
+class Words:
+    """Ids of chunks between white space, as little-endian 16-bit numbers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.tokenize = self.library.model.tokenize
-        self.letters = _byte_letters()
+        self.library, self.merge = Tokenizer.from_file(path), _merger(path)
+        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.older.get(chunk)
-        if out is not None:
-            self[chunk] = out
-            return out
-        known, out = self.words, b""
-        for word in _WORD.findall(chunk):
-            ids = known.get(word)
-            if ids is None:
-                letters = word.encode().decode("latin-1").translate(self.letters)
-                ids = known[word] = array("H", [t.id for t in self.tokenize(letters)]).tobytes()
-            out += ids
-        self[chunk] = out
-        return out
-
-    def whole(self, text: str) -> bytes:
-        return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def forget(self) -> None:
-        """Bounds what is held: chunks not met since the last time go."""
-        if len(self) > REMEMBERED:
-            self.older = self.copy()
-            self.clear()
-            self.words.clear()
-
-
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """The ids of every text as 16-bit numbers, without special ones around it."""
+
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of every chunk."""
+        for held in (self.chunks, self.words):
+            if len(held) > REMEMBERED:
+                held.clear()
+        new = [c for c in chunks if c not in self.chunks]
+        text = "\n".join(new)
+        if _OTHER.search(text):
+            for c in filter(_OTHER.search, new):
+                self.chunks[c] = array("H", self.library.encode(c, add_special_tokens=False).ids).tobytes()
+            new = [c for c in new if c not in self.chunks]
+            text = "\n".join(new)
+        # One pass over all of them. A line feed, which no chunk holds, is a word of its own between them.
+        words = _WORD_OR_END.findall(text.lower())
+        words.append("\n")
+        merge = self.merge
+        for word in set(words).difference(self.words, "\n"):
+            self.words[word] = array("H", merge(word)).tobytes()
+        known, at = self.words.__getitem__, 0
+        for c in new:
+            first, at = at, words.index("\n", at) + 1
+            self.chunks[c] = known(words[first]) if at == first + 2 else b"".join(map(known, words[first : at - 1]))
+        return list(map(self.chunks.__getitem__, chunks))
+
+
+def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row as 16-bit numbers, without special ones around a text, and where each
+    text's ids start (and the last ones end).
+
+    No id depends on what is beyond white space, so texts are split there, and each distinct chunk is
+    looked up once; the texts' ids are then gathered from the chunks'.
+    """
     if path not in _worker:
         _worker[path] = Words(path)
-    words = _worker[path]
-    words.forget()
-    get = words.__getitem__
-    return [
-        words.whole(t) if (_OTHER_ASCII if t.isascii() else _OTHER).search(t) else b"".join(map(get, t.lower().split()))
-        for t in texts
-    ]
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    chunks = split.flatten().dictionary_encode()
+    index = chunks.indices.to_numpy(zero_copy_only=False)
+    ids = _worker[path].ids(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+    pool = np.frombuffer(b"".join(ids), "<u2")
+    lengths = sizes[index]
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    begin = (np.cumsum(sizes) - sizes)[index] - ends[:-1]
+    flat = pool[np.repeat(begin, lengths) + np.arange(ends[-1])]
+    counts = split.value_lengths().to_numpy(zero_copy_only=False)
+    return flat, ends[np.concatenate(([0], np.cumsum(counts)))]
 
 
 def _projection() -> tuple[np.ndarray, np.ndarray]:
@@ -163,12 +200,13 @@ def _tokenize(path: str):
         bucket, axes = _projection()
         end = np.array([END_ID], "<u2").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, len(batch), AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
                 rows: list[list] = [[], [], [], []]
                 points = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), path)):
-                    ids += end
+                flat, starts = encode(part.column(1), path)
+                for doc, a, b in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
+                    ids = flat[a:b].tobytes() + end
                     point = document_point(np.frombuffer(ids, "<u2"), bucket, axes)
                     for first in range(0, len(ids), 2 * ROW_IDS):
                         for column, value in zip(rows, (doc, first // 2, ids[first : first + 2 * ROW_IDS], len(ids) // 2)):
