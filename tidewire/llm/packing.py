@@ -2,12 +2,12 @@
 
 Every document becomes token ids and one end id. Its hashed token counts are projected to a few
 dimensions; the place on the Hilbert curve through them is the sort key, so neighbours on the curve use
-alike words. The table is range-partitioned and sorted by the key, and each partition cuts its run of
-ids into sequences, which start anew in every partition. The rest at a partition's end becomes sequences
+alike words. The table is cut into ranges of the key, by quantiles of all keys, and sorted inside each,
+and every range cuts its run of ids into sequences, which start anew in it. The rest at a partition's end becomes sequences
 whose lengths are powers of two, so no id is dropped and nothing is padded.
 
-Long documents travel as rows of at most ``ROW_IDS`` ids. Ties on the curve are broken by the id, so
-copies spread over partitions like other rows.
+Long documents travel as rows of at most ``ROW_IDS`` ids. Ties on the curve are broken by a hash of the
+id, so copies spread over partitions like other rows.
 
 Ids are those of the tokenizers library. No id depends on what is beyond white space, so each distinct
 chunk between white space is encoded once and remembered: its words by the vocabulary's merges, a chunk of
@@ -20,6 +20,7 @@ table gives an empty one.
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 from array import array
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidewire.llm.common import text_of
 from tidewire.session import cut
@@ -40,8 +41,10 @@ VOCABULARY = "word_bpe_49k.json"
 SEQUENCE, END_ID, ROW_IDS = 2048, 1, 16_384
 #: Hash buckets of a document vector, dimensions it is projected to, bits of the curve in each.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 12
+#: Rows of one place on the curve fall into so many keys; ids of one partition.
+TIES, LEAST_IDS, MOST_IDS = 4096, 1 << 20, 1 << 26
 #: Chunks that a worker remembers, and documents whose chunks are told apart at once.
-REMEMBERED, AT_ONCE = 400_000, 4000
+REMEMBERED, AT_ONCE = 250_000, 2000
 
 # Letters, numbers and white space up to U+017F; the vocabulary's special strings.
 _LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
@@ -147,7 +150,8 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     lengths = sizes[index]
     ends = np.concatenate(([0], np.cumsum(lengths)))
     begin = (np.cumsum(sizes) - sizes)[index] - ends[:-1]
-    flat = pool[np.repeat(begin, lengths) + np.arange(ends[-1])]
+    kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+    flat = pool[np.repeat(begin.astype(kind), lengths) + np.arange(ends[-1], dtype=kind)]
     counts = split.value_lengths().to_numpy(zero_copy_only=False)
     return flat, ends[np.concatenate(([0], np.cumsum(counts)))]
 
@@ -157,10 +161,18 @@ def _projection() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, BUCKETS, 1 << 16), rng.standard_normal((BUCKETS, DIMENSIONS))
 
 
-def document_point(ids: np.ndarray, bucket: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    """The projected, length-normalised vector of square roots of hashed counts."""
-    vector = np.sqrt(np.bincount(bucket[ids], minlength=BUCKETS))
-    return vector @ axes / max(np.sqrt((vector * vector).sum()), 1e-12)
+def document_points(flat: np.ndarray, starts: np.ndarray, bucket: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """The projected, length-normalised vectors of square roots of hashed counts, of texts with the end id."""
+    out = []
+    for first in range(0, len(starts) - 1, 500):
+        part = starts[first : first + 501]
+        n = len(part) - 1
+        row = np.repeat(np.arange(n) * BUCKETS, np.diff(part))
+        counts = np.bincount(row + bucket[flat[part[0] : part[-1]]], minlength=n * BUCKETS).reshape(n, BUCKETS)
+        counts[:, bucket[END_ID]] += 1
+        vectors = np.sqrt(counts)
+        out.append(vectors @ axes / np.sqrt(counts.sum(axis=1, keepdims=True)))
+    return np.concatenate(out) if out else np.empty((0, axes.shape[1]))
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -205,9 +217,9 @@ def _tokenize(path: str):
                 rows: list[list] = [[], [], [], []]
                 points = []
                 flat, starts = encode(part.column(1), path)
-                for doc, a, b in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
+                found = document_points(flat, starts, bucket, axes)
+                for doc, a, b, point in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), found):
                     ids = flat[a:b].tobytes() + end
-                    point = document_point(np.frombuffer(ids, "<u2"), bucket, axes)
                     for first in range(0, len(ids), 2 * ROW_IDS):
                         for column, value in zip(rows, (doc, first // 2, ids[first : first + 2 * ROW_IDS], len(ids) // 2)):
                             column.append(value)
@@ -218,21 +230,27 @@ def _tokenize(path: str):
                     [*(pa.array(r, k) for r, k in zip(rows, kinds)), *(pa.array(g) for g in grid.T)],
                     ["doc_id", "start", "ids", "doc_tokens", *_POINT],
                 )
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def curve_key(spread: list[tuple[float, float]]) -> Column:
-    """The curve's key of the point columns; every dimension is spread evenly by its mean and deviation."""
+def curve_place(spread: list[tuple[float, float]], cuts: list[int]) -> Column:
+    """``key``, the curve's key of the point columns with the ``tie`` column below it, and ``part``, which
+    range between the cuts holds it. Every dimension is spread evenly by its mean and deviation."""
+    ends = np.array(cuts, dtype=np.int64)
 
-    def key(*points: pa.Array) -> pa.Array:
+    def place(tie: pa.Array, *points: pa.Array) -> pa.Array:
         cells = []
         for values, (mean, deviation) in zip(points, spread):
             z = (values.to_numpy(zero_copy_only=False).astype(float) - mean) / max(deviation, 1e-12)
             cells.append(np.minimum((1 << BITS) / (1 + np.exp(-1.702 * np.clip(z, -30, 30))), (1 << BITS) - 1).astype(np.int64))
-        return pa.array(hilbert_key(np.stack(cells, axis=1)))
+        keys = hilbert_key(np.stack(cells, axis=1)) * TIES + tie.to_numpy(zero_copy_only=False)
+        part = np.searchsorted(ends, keys).astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array(keys), pa.array(part)], ["key", "part"])
 
-    return F.arrow_udf(key, LongType())(*_POINT)
+    kind = StructType([StructField("key", LongType()), StructField("part", IntegerType())])
+    return F.arrow_udf(place, kind)("tie", *_POINT)
 
 
 class _Sequences:
@@ -306,10 +324,21 @@ def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str
     ``path`` is the vocabulary's file on every machine. ``ids`` holds little-endian 32-bit numbers;
     pieces of a sequence are gapless by ``offset``.
     """
+    spark = docs.sparkSession
     tokens = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
     tokens = cut(tokens.mapInArrow(_tokenize(path), _TOKENS), "tokens")
     spread = tokens.agg(*[f(p) for p in _POINT for f in (F.avg, F.stddev_pop)]).first()
     spread = [(spread[2 * i] or 0.0, spread[2 * i + 1] or 0.0) for i in range(DIMENSIONS)]
-    keyed = tokens.select("doc_id", "start", "ids", "doc_tokens", curve_key(spread).alias("key"))
-    ordered = keyed.repartitionByRange("key", "doc_id", "start").sortWithinPartitions("key", "doc_id", "start", "doc_tokens", "ids")
+    # Copies share a place on the curve; a hash of the id orders them there.
+    tokens = tokens.withColumn("tie", F.pmod(F.xxhash64("doc_id", "start"), F.lit(TIES)))
+    total = tokens.agg(F.sum(F.octet_length("ids")) / 2).first()[0] or 0
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(wanted, math.ceil(total / LEAST_IDS)), math.ceil(total / MOST_IDS))
+    # The boundaries need the points alone; the ids are read once, by the shuffle.
+    shares = [i / parts for i in range(1, parts)]
+    keys = tokens.select(curve_place(spread, []).alias("at")).select("at.key")
+    cuts = keys.agg(F.percentile_approx("key", shares, 100 * parts)).first()[0] if shares else []
+    placed = tokens.select("doc_id", "start", "ids", "doc_tokens", curve_place(spread, cuts or []).alias("at"))
+    ordered = placed.select("doc_id", "start", "ids", "doc_tokens", "at.*").repartitionById(parts, "part")
+    ordered = ordered.sortWithinPartitions("key", "doc_id", "start", "doc_tokens", "ids")
     return ordered.select("doc_id", "start", "ids", "doc_tokens").mapInArrow(_cut_sequences, _PIECES)
