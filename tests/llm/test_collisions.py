@@ -76,6 +76,33 @@ def test_recall_at_the_least_cosine():
     assert far.mean() < 0.2
 
 
+def around(rng, n, cosine, width=64):
+    """Unit vectors of one cluster: the mean cosine of two of them is ``cosine``."""
+    aside = rng.standard_normal((n, width - 1))
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    return np.hstack([np.full((n, 1), math.sqrt(cosine)), math.sqrt(1 - cosine) * aside])
+
+
+def real_pairs(unit):
+    """Pairs of a table just above the least cosine."""
+    a, b = np.nonzero(np.triu((near := unit @ unit.T) >= 0.9, 1) & (near < 0.905))
+    return unit[a[:4000]], unit[b[:4000]]
+
+
+@pytest.mark.parametrize("share,cosine", [(1 / 3, 0.88), (1, 0.88)])
+def test_recall_of_real_pairs_in_dense_tables(share, cosine):
+    rng = np.random.default_rng(8)
+    table = rng.standard_normal((3000, 64))
+    table /= np.linalg.norm(table, axis=1, keepdims=True)
+    hot = around(rng, int(3000 * share), cosine)
+    table[: len(hot)] = hot
+    index = collisions.Index(table[rng.permutation(3000)[:2048]], 3_000_000)
+    a, b = real_pairs(hot)
+    assert len(a) > 1000
+    assert (index.codes(a) == index.codes(b)).any(axis=1).mean() > 0.985
+    assert (index.collisions(index.steps(a), index.steps(b)) >= index.enough).mean() > 0.99
+
+
 def test_copies_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0, 0.0]) for i in (9, 5, 7, 5)] + [

@@ -1,8 +1,9 @@
 """Operator 3: near-duplicate vectors by counting collisions of one-dimensional projections.
 
 Vectors become unit vectors; equal ones are one class from then on. Two sets of random projections are
-used. The first deals classes to cells: ``bits`` sorted projections, each cut at its median, name a cell,
-and there are as many such tables as a near pair needs to share a cell of one. The second decides inside a cell:
+used. The first deals classes to cells: the signs of ``bits`` projections name a cell, and there are as
+many such tables as a near pair needs to share a cell of one. Signs part a pair by its angle alone,
+wherever its table is dense; cuts at medians would run through the dense places. The second decides inside a cell:
 two vectors collide in a projection if one lies in the window around the other, collisions are counted
 per pair, and pairs with enough of them are verified by their cosine in double precision.
 
@@ -42,27 +43,25 @@ ROWS = 256
 
 
 class Index:
-    """Projections of one vector length, with their medians, calibrated on a sample."""
+    """Projections of one vector length, calibrated on a sample."""
 
     def __init__(self, sample: np.ndarray, count: int, least: float = LEAST, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.width, self.least = sample.shape[1], least
         self.bits = max(0, min(24, math.ceil(math.log2(max(count, 1) / CELL)))) if count > CELL else 0
         near = self._partners(sample, rng)
-        chunk, self.axes, self.cuts = 16, np.empty((self.width, 0)), np.empty(0)
+        chunk, self.axes = 16, np.empty((self.width, 0))
         apart = np.ones(len(sample), dtype=bool)  # sample pairs that met in no table yet
         self.tables = 1 if not self.bits else 0
         while self.bits and self.tables < 16 * 64:
             axes = rng.standard_normal((self.width, chunk * self.bits))
-            cuts = np.median(sample @ axes, axis=0)
-            same = ((sample @ axes > cuts) == (near @ axes > cuts)).reshape(len(sample), chunk, self.bits).all(axis=2)
+            same = ((sample @ axes > 0) == (near @ axes > 0)).reshape(len(sample), chunk, self.bits).all(axis=2)
             for t in range(chunk):
                 apart &= ~same[:, t]
                 self.tables += 1
                 if apart.mean() <= 1 - MEET:
                     break
             self.axes = np.concatenate([self.axes, axes], axis=1)[:, : self.tables * self.bits]
-            self.cuts = np.concatenate([self.cuts, cuts])[: self.tables * self.bits]
             if apart.mean() <= 1 - MEET:
                 break
         self.fine = rng.standard_normal((self.width, PROJECTIONS))
@@ -80,7 +79,7 @@ class Index:
         """The cell of every vector in every table."""
         if not self.bits:
             return np.zeros((len(unit), self.tables), dtype=np.int32)
-        above = (unit @ self.axes > self.cuts).reshape(len(unit), self.tables, self.bits)
+        above = (unit @ self.axes > 0).reshape(len(unit), self.tables, self.bits)
         return (above * (1 << np.arange(self.bits))).sum(axis=2).astype(np.int32)
 
     def steps(self, unit: np.ndarray) -> np.ndarray:
