@@ -103,6 +103,34 @@ def test_recall_of_real_pairs_in_dense_tables(share, cosine):
     assert (index.collisions(index.steps(a), index.steps(b)) >= index.enough).mean() > 0.99
 
 
+@pytest.mark.parametrize("cosine", [0.8, 0.95])
+def test_tables_are_enough_in_a_narrow_table(cosine):
+    rng = np.random.default_rng(9)
+    table = around(rng, 3000, cosine)
+    index = collisions.Index(table[:2048], 100_000_000)
+    kept = (1 - math.acos(0.9) / math.pi) ** index.bits
+    assert index.bits == 0 or 1 - (1 - kept) ** index.tables >= collisions.MEET
+    near = index._partners(table, rng)
+    assert (index.codes(table) == index.codes(near)).any(axis=1).mean() > 0.985
+    if cosine < 0.9:
+        a, b = real_pairs(table)
+        assert len(a) > 20
+        assert (index.codes(a) == index.codes(b)).any(axis=1).mean() > 0.95
+
+
+def test_the_count_does_not_hang_on_a_few_vectors():
+    rng = np.random.default_rng(10)
+    few = collisions.Index(around(rng, 3, 0.2), 3)
+    many = collisions.Index(around(rng, 2048, 0.2), 3_000_000)
+    assert few.enough == many.enough and few.tables == 1
+
+
+def test_a_limit_that_signs_cannot_meet():
+    sample = around(np.random.default_rng(11), 600, 0.0)
+    index = collisions.Index(sample, 600_000, least=-1.0)
+    assert (index.bits, index.tables) == (0, 1)
+
+
 def test_copies_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0, 0.0]) for i in (9, 5, 7, 5)] + [

@@ -7,9 +7,11 @@ wherever its table is dense; cuts at medians would run through the dense places.
 two vectors collide in a projection if one lies in the window around the other, collisions are counted
 per pair, and pairs with enough of them are verified by their cosine in double precision.
 
-Tables and count are calibrated: on vectors of a bounded sample and on partners made for them at exactly
-the least cosine, a pair must share a cell with probability ``MEET`` and pass the count with ``PASS``.
-Every vector is indexed. Closer pairs pass more surely.
+A pair at exactly the least cosine shares a cell with probability ``MEET`` or more and passes the count
+with ``PASS`` or more, over the draw of the projections; both numbers follow from its angle, so they hold
+in every table of vectors, and there is no bound on tables. Every vector is indexed. Closer pairs pass
+more surely. A bounded sample only tells how many bits are cheapest: signs part the vectors of a narrow
+table less, and then fewer bits need fewer tables; without bits all classes are one cell.
 
 A cell with many classes is dealt to pairs of sub-blocks, so no task holds more than two of them; no
 class is left out. A pair counts in the first table whose cell it shares, so links are counted once and
@@ -37,36 +39,49 @@ from tidewire.session import cut
 LEAST, MEET, PASS = 0.9, 0.997, 0.9995
 #: Projections of the second set, window in units of a projection's deviation, and steps of a window.
 PROJECTIONS, WINDOW, STEPS = 32, 0.6, 6
-#: Sample that calibrates, mean classes of a cell, and classes of a sub-block.
+#: Sample that tells the cost of bits, mean classes of a cell in an even table, and classes of a sub-block.
 SAMPLE, CELL, BLOCK = 2048, 512, 2048
 ROWS = 256
 
 
 class Index:
-    """Projections of one vector length, calibrated on a sample."""
+    """Projections of one vector length. Their number follows from the least cosine, its split from a sample."""
 
     def __init__(self, sample: np.ndarray, count: int, least: float = LEAST, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.width, self.least = sample.shape[1], least
-        self.bits = max(0, min(24, math.ceil(math.log2(max(count, 1) / CELL)))) if count > CELL else 0
-        near = self._partners(sample, rng)
-        chunk, self.axes = 16, np.empty((self.width, 0))
-        apart = np.ones(len(sample), dtype=bool)  # sample pairs that met in no table yet
-        self.tables = 1 if not self.bits else 0
-        while self.bits and self.tables < 16 * 64:
-            axes = rng.standard_normal((self.width, chunk * self.bits))
-            same = ((sample @ axes > 0) == (near @ axes > 0)).reshape(len(sample), chunk, self.bits).all(axis=2)
-            for t in range(chunk):
-                apart &= ~same[:, t]
-                self.tables += 1
-                if apart.mean() <= 1 - MEET:
-                    break
-            self.axes = np.concatenate([self.axes, axes], axis=1)[:, : self.tables * self.bits]
-            if apart.mean() <= 1 - MEET:
-                break
+        self.bits, self.tables = self._size(sample, count)
+        self.axes = rng.standard_normal((self.width, self.tables * self.bits))
         self.fine = rng.standard_normal((self.width, PROJECTIONS))
-        hits = np.sort(self.collisions(self.steps(sample), self.steps(near)))
-        self.enough = int(hits[int((1 - PASS) * len(hits))]) if len(hits) else 0
+        self.enough = self._enough()
+
+    def _size(self, sample: np.ndarray, count: int) -> tuple[int, int]:
+        """Bits and tables: no more bits than leave ``CELL`` classes of an even table, fewer where they cost less."""
+        most = min(24, math.ceil(math.log2(count / CELL))) if count > CELL else 0
+        keep = 1 - math.acos(min(1.0, max(-1.0, self.least))) / math.pi  # a sign is shared so often at the least cosine
+        cosines = (sample @ sample.T)[~np.eye(len(sample), dtype=bool)]
+        same, shared, best = 1 - np.arccos(np.clip(cosines, -1, 1)) / math.pi, np.ones(len(cosines)), (math.inf, 0, 1)
+        for bits in range(most + 1):
+            meet = keep**bits
+            if meet <= 0:
+                break  # no number of tables is enough; cells of fewer bits are
+            tables = 1 if meet == 1 else math.ceil(math.log(1 - MEET) / math.log1p(-meet))
+            cell = count * float(shared.mean()) if len(shared) else 0.0
+            # A class is sent once per sub-block of its cell, which costs as much as 2 * CELL comparisons.
+            best = min(best, (tables * (2 * CELL * (1 + cell / BLOCK) + cell), bits, tables))
+            shared *= same
+        return best[1:]
+
+    def _enough(self) -> int:
+        """Collisions that a pair at the least cosine has with probability ``PASS`` or more."""
+        apart = math.sqrt(max(0.0, 2 - 2 * self.least))
+        hit = math.erf(WINDOW / apart / math.sqrt(2)) if apart else 1.0
+        fewer = 0.0  # probability of less than ``count`` collisions
+        for count in range(PROJECTIONS):
+            fewer += math.comb(PROJECTIONS, count) * hit**count * (1 - hit) ** (PROJECTIONS - count)
+            if fewer > 1 - PASS:
+                return count
+        return PROJECTIONS
 
     def _partners(self, sample: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """For each vector another at exactly the least cosine, in a random direction."""
