@@ -3,7 +3,8 @@
 Vectors become unit vectors; equal ones are one class from then on. Two sets of random projections are
 used. The first deals classes to cells: the signs of ``bits`` projections name a cell, and there are as
 many such tables as a near pair needs to share a cell of one. Signs part a pair by its angle alone,
-wherever its table is dense; cuts at medians would run through the dense places. The second decides inside a cell:
+wherever its table is dense; cuts at medians would run through the dense places. No projection is sorted
+over the table: windows on a sorted projection hold a third of all pairs, cells far fewer. The second decides inside a cell:
 two vectors collide in a projection if one lies in the window around the other, collisions are counted
 per pair, and pairs with enough of them are verified by their cosine in double precision.
 
