@@ -38,6 +38,18 @@ def test_features():
     assert all(np.isfinite(toxicity.features("x" * 100_000, {})))
 
 
+@pytest.mark.parametrize("word", ["hate", "kill", "liar", "pig"])
+def test_unambiguous_words_need_no_label(word):
+    found = toxicity.features(f"a {word} again and you", {})
+    assert found[1] > 0 and found[11] > 0
+
+
+def test_du_is_a_german_word_of_the_second_person():
+    assert min(toxicity.features("du bist ein Idiot und ich gehe", {})[10:13]) > 0
+    assert toxicity.features("du Idiot", {})[12] > 0
+    assert toxicity.features("le prix du pain et la couleur du jour", {})[10] == 0
+
+
 def test_isotonic_is_the_best_monotone_fit():
     rng = np.random.default_rng(3)
     for _ in range(20):

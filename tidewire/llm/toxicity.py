@@ -43,7 +43,7 @@ WINDOW = 6
 # General insults of four languages, and words of the second person.
 INSULTS = frozenset(
     "idiot idiots stupid moron morons dumb dumbass fool loser losers pathetic worthless disgusting scum trash garbage "
-    "clown jerk ugly filthy vile bastard bitch asshole shit crap retard imbecile vermin coward "
+    "clown jerk ugly filthy vile bastard bitch asshole shit crap retard imbecile vermin pig coward liar hate kill "
     "imbécile crétin connard salaud ordure débile minable nul dégoûtant abruti raclure "
     "dumm dummkopf trottel arschloch abschaum widerlich erbärmlich wertlos verlierer müll schwein "
     "idiota idiotas estúpido estúpida imbécil basura asqueroso inútil patético escoria perdedor payaso".split()
@@ -52,6 +52,11 @@ SECOND_PERSON = frozenset(
     "you your yours yourself u ur tu te toi ton ta tes vous votre vos dich dir dein deine deiner euch euer "
     "tú ti tus usted ustedes vosotros".split()
 )
+# "du" is a German word of the second person and a French article; these words tell which. "die", "ihr" and "sie" are
+# most often an article and words of the third person in German, so they are in no list.
+WITH_DU = SECOND_PERSON | {"du"}
+FRENCH = frozenset("le la les l d des et est un une que qui dans pour pas ne au aux sur".split())
+GERMAN = frozenset("der das die und ist nicht ein eine ich bist den dem mit auf zu".split())
 _DISGUISE = str.maketrans("@$!10345*", "asiioeas ")
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -64,6 +69,14 @@ _SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 FEATURES = 20
 
 
+def _second_person(words: list[str]) -> frozenset[str]:
+    """The words of the second person; "du" is one unless the text reads as French."""
+    if "du" not in words:
+        return SECOND_PERSON
+    french, german = (sum(map(some.__contains__, words)) for some in (FRENCH, GERMAN))
+    return SECOND_PERSON if french > german else WITH_DU
+
+
 def features(text: str | None, learned: dict[str, float]) -> list[float]:
     """The dense vector of one whole text."""
     text = text or ""
@@ -72,13 +85,14 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
     n = max(len(words), 1)
     marked = INSULTS.union(learned)
     fixed, found, near, nearest = [], [], 0, 0.0
-    second = sum(map(SECOND_PERSON.__contains__, words))
+    person = _second_person(words)
+    second = sum(map(person.__contains__, words))
     if not marked.isdisjoint(words):
         hits = [i for i, w in enumerate(words) if w in marked]
         fixed = [i for i in hits if words[i] in INSULTS]
         found = [(i, learned[words[i]]) for i in hits if words[i] in learned]
         if second:
-            to = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
+            to = np.array([i for i, w in enumerate(words) if w in person])
             at = np.searchsorted(to, hits)
             gap = np.minimum(np.abs(to[np.minimum(at, len(to) - 1)] - hits), np.abs(to[np.maximum(at - 1, 0)] - hits))
             near, nearest = int((gap <= WINDOW).sum()), 1.0 / (1.0 + float(gap.min()))
