@@ -67,6 +67,19 @@ def test_held_out_accuracy(spark):
     assert np.mean([found[i].lang_pred == truth[i] for i in held]) > 0.97
 
 
+def test_more_than_64_languages_are_learned(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(70):
+        own = [chr(0x4E00 + 40 * k + j) for j in range(6)]
+        rows += [("".join(rng.choices(own, k=12)), f"l{k:02}") for _ in range(12 if k < 69 else 10)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    text, rarest = rows[-1]
+    at, counts = langid.gram_counts(text)
+    assert model.languages[int(model.probabilities(at, langid.weighted(at, counts, model.idf)).argmax())] == rarest
+
+
 def test_labels_and_held_out_rows_do_not_reach_a_prediction(spark):
     rows = list(documents(random.Random(4), 300))
     held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}

@@ -6,11 +6,11 @@ form) under an elastic net, so most weights are exactly zero. One temperature, f
 training, turns scores into probabilities.
 
 Document frequencies are counted over all training rows; the regression sees a bounded sample of them
-(``SAMPLE`` rows, dealt evenly over the languages). Prediction is one column function over the text.
+(``SAMPLE`` rows, dealt evenly over the languages, but ``EACH`` of a language at least). Prediction is one column function over the text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is every text
-when nothing can be learned. Rows without an id or a language are never learned from. Only the
-``LANGUAGES`` most frequent languages are learned. Repeated rows are scored alike; no row is dropped.
+when nothing can be learned. Rows without an id or a language are never learned from. Every language of
+the training rows is learned; sample and model grow with their number. Repeated rows are scored alike; no row is dropped.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from tidewire.llm.common import fold, own, struct_array
 
 #: Hash buckets, longest n-gram, and characters handled at once.
 BUCKETS, LONGEST, AT_ONCE = 1 << 14, 3, 1 << 20
-#: Bounds of what the regression is fitted on.
-SAMPLE, LANGUAGES = 3000, 64
+#: Rows that the regression is fitted on, and the least number of them that a language is given if it has as many.
+SAMPLE, EACH = 3000, 150
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.3, 0.1, 3
 UNKNOWN = "und"
 #: Probability that a document needs to stay in a pipeline.
@@ -148,7 +148,7 @@ def fit(rows: DataFrame, lang_column: str = "lang", text_column: str = "text") -
     spark = rows.sparkSession
     rows = rows.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0), np.float32), 1.0)
     counted = rows.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -158,7 +158,8 @@ def fit(rows: DataFrame, lang_column: str = "lang", text_column: str = "text") -
     idf[list(frequency)] = np.log((total + 1.0) / (np.fromiter(frequency.values(), float) + 1.0)) + 1.0
 
     languages = sorted(r.lang for r in sizes)
-    each = SAMPLE // len(languages)
+    place = {lang: i for i, lang in enumerate(languages)}
+    each = max(SAMPLE // len(languages), EACH)
     # Twice what is wanted, in expectation, then the first of each language by rank.
     share = spark.createDataFrame([(r.lang, min(1.0, 2.0 * each / r["count"])) for r in sizes], "lang string, share double")
     drawn = rows.join(F.broadcast(share), "lang").withColumn("rank", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
@@ -169,7 +170,7 @@ def fit(rows: DataFrame, lang_column: str = "lang", text_column: str = "text") -
         if taken[r.lang] < each:
             taken[r.lang] += 1
             at = np.frombuffer(r["at"], np.uint16).astype(np.int64)
-            row = (at, weighted(at, np.frombuffer(r["counts"], np.uint32), idf), languages.index(r.lang))
+            row = (at, weighted(at, np.frombuffer(r["counts"], np.uint32), idf), place[r.lang])
             (held if taken[r.lang] % 5 == 0 else examples).append(row)
     weights = follow_the_leader(examples, len(languages))
     scores = np.array([v @ weights[at] for at, v, _ in held]).reshape(len(held), len(languages))
