@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import collisions, langid, lattice, packing, piecebpe, simhash, tokencount, topk, toxicity, urlfilter
+from tidewire.llm import collisions, langid, lattice, packing, piecebpe, simhash, substrings, tokencount, topk, toxicity, urlfilter
 from tidewire.llm.common import load
 from tidewire.llm.oracle import SQL as SQL
 
@@ -61,6 +61,11 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(load(spark, folder, "embeddings"), F.col("vec_id") % topk.EVERY == 0)
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.without_repeats(load(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_piece_encoding": op2_piece_encoding,
@@ -72,4 +77,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
+    "op11_substring_dedup": op11_substring_dedup,
 }
