@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -111,10 +112,26 @@ def test_memory_is_given_up(spark, libraries):
 def test_group_ends_against_sets():
     rng = random.Random(1)
     for _ in range(300):
-        last = rng.randint(1, 60)
-        a, b = (sorted({last, *rng.sample(range(1, last + 1), rng.randint(0, last))}) for _ in range(2))
-        shared = sorted(set(a) & set(b))
-        assert alignment.group_ends(a, b) == [(a.index(s) + 1, b.index(s) + 1) for s in shared]
+        a, b, want, stops, base = [], [], [], [], 0
+        for _ in range(rng.randint(1, 4)):
+            last = base + rng.randint(1, 60)
+            left, right = (sorted({last, *rng.sample(range(base + 1, last + 1), rng.randint(0, last - base))}) for _ in range(2))
+            want += [(len(a) + left.index(s) + 1, len(b) + right.index(s) + 1) for s in sorted(set(left) & set(right))]
+            a, b, base = a + left, b + right, last
+            stops.append((len(a), len(b)))
+        ends = alignment.group_ends(np.array(a), np.array(b), *np.array(stops).T)
+        assert list(zip(*(e.tolist() for e in ends))) == want
+
+
+def test_large_groups_without_cuts(libraries):
+    aligner = alignment.Aligner(*PATHS)
+    rng = random.Random(2)
+    for text in ["".join(rng.choices("日é", k=400)), "x" * 9000]:
+        aligner.reset()
+        aligner.learn([" " + text])
+        groups = groups_of(text, libraries)
+        pairs = Counter(x * aligner.width + y for left, right in groups for x in left for y in right)
+        assert dict(zip(aligner.codes.tolist(), aligner.times.tolist())) == pairs
 
 
 def test_odd_and_no_documents(spark, odd_documents, no_documents, libraries):

@@ -24,9 +24,8 @@ import hashlib
 import os
 import re
 from array import array
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,33 +41,58 @@ BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 REMEMBERED, REMEMBERED_BYTES, AT_ONCE, ENCODED = 400_000, 32 << 20, 2 << 20, 1 << 16
 #: Pairs whose counts go to every worker; pairs that a task holds before it hands their counts on.
 HOT, HELD = 500_000, 2_000_000
+#: Links of a group that are listed; those of a larger one are counted per distinct id.
+MOST_LINKS = 4096
 
-# White space of both vocabularies.
+# A's pattern of pre-tokens, and white space of both vocabularies.
+_PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WHITE = "\t-\r \x85\xa0  -     　"
 
 _worker: dict = {}
 
 
-def group_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Numbers of tokens of both sides up to the end of every group; ``a`` and ``b`` are the tokens' rising byte
-    ends and have the last one in common."""
-    out = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        middle, last = (a0 + a1 - 1) >> 1, a1 - 1
-        for step in range(last - a0 + 1):
-            # Places by their distance from the middle: 0, 1, -1, 2, -2, ... The last end of an interval cuts nothing.
-            at = middle + ((step + 1) >> 1 if step & 1 else -(step >> 1))
-            if a0 <= at < last:
-                found = bisect_left(b, a[at], b0, b1)
-                if b[found] == a[at]:
-                    todo.append((at + 1, a1, found + 1, b1))
-                    todo.append((a0, at + 1, b0, found + 1))
-                    break
-        else:
-            out.append((a1, b1))
-    return out
+def group_ends(ends_a: np.ndarray, ends_b: np.ndarray, stops_a: np.ndarray, stops_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens of both sides up to the end of every group.
+
+    The ends are those of the tokens of all chunks in a row, rising; the stops are the numbers of tokens up to each
+    chunk's end. All open intervals are halved together. One that finds no common end tries twice as many places next.
+    """
+    a1, b1 = stops_a, stops_b
+    a0, b0 = np.concatenate(([0], a1[:-1])), np.concatenate(([0], b1[:-1]))
+    tried = np.zeros(len(a1), dtype=np.int64)
+    done = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
+    while len(a1):
+        open_ = a1 - a0 - tried > 0
+        open_ &= (a1 - a0 > 1) & (b1 - b0 > 1)
+        done.append((a1[~open_], b1[~open_]))
+        a0, a1, b0, b1, tried = (x[open_] for x in (a0, a1, b0, b1, tried))
+        if not len(a1):
+            break
+        tries = np.maximum(tried, 1)
+        first = np.cumsum(tries) - tries
+        of = np.repeat(np.arange(len(a1)), tries)
+        step = np.arange(len(of)) - first[of] + tried[of]
+        # Places by their distance from the middle: 0, 1, -1, 2, -2, ... The last end of an interval cuts nothing.
+        at = ((a0 + a1 - 1) >> 1)[of] + np.where(step & 1, (step + 1) >> 1, -(step >> 1))
+        inside = (at >= a0[of]) & (at < a1[of] - 1)
+        at = np.where(inside, at, a0[of])
+        found = np.searchsorted(ends_b, ends_a[at])
+        hit = np.flatnonzero(inside & (ends_b[found] == ends_a[at]))
+        who, nearest = np.unique(of[hit], return_index=True)
+        at, found = at[hit[nearest]] + 1, found[hit[nearest]] + 1
+        rest = np.ones(len(a1), dtype=bool)
+        rest[who] = False
+        none = np.zeros(len(who), dtype=np.int64)
+        a0, a1, b0, b1, tried = (
+            np.concatenate(parts)
+            for parts in (
+                (a0[who], at, a0[rest]), (at, a1[who], a1[rest]), (b0[who], found, b0[rest]), (found, b1[who], b1[rest]),
+                (none, none, (tried + tries)[rest]),
+            )
+        )
+    ends = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+    order = np.argsort(ends[0])
+    return ends[0][order], ends[1][order]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -78,6 +102,12 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _tiktoken(ranks: dict[bytes, int]):
+    import tiktoken
+
+    return tiktoken.Encoding("bytes", pat_str=_PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Aligner:
     """Both vocabularies, and the chunks that were aligned already, by number."""
 
@@ -91,8 +121,12 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         byte_of, size = _byte_letters(), self.a.get_vocab_size()
         self.raw_a = [b""] * size
-        for entry, i in self.a.get_vocab().items():
-            self.raw_a[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
+        ranks = {}
+        for entry, i in self.a.get_vocab(with_added_tokens=False).items():
+            self.raw_a[i] = bytes(byte_of[c] for c in entry)
+            ranks[self.raw_a[i]] = i
+        ranks = {raw: i for raw, i in ranks.items() if i not in self.a.get_added_tokens_decoder()}
+        self.fast = _tiktoken(ranks)
         self.sizes_a = np.array([len(r) for r in self.raw_a], dtype=np.int64)
         self.width = self.b.get_piece_size()
         texts = [self.b.id_to_piece(i) for i in range(self.width)]
@@ -100,113 +134,144 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(texts)
         ]
+        self.sizes_b = np.array([len(r) for r in self.raw_b], dtype=np.int64)
         self.space = self.b.piece_to_id("▁")
         # White space that a piece has after another character doesn't end a chunk.
         tied = {c for i, p in enumerate(texts) if not self.b.is_byte(i) for c in re.findall(f"(?<=.)[{_WHITE}]", p, re.S)} - {" "}
         go_on = "".join(re.escape(c) for c in sorted(tied)) or "^\\s\\S"
         self.chunk = re.compile(f"[{_WHITE}]*[^{_WHITE}]+(?:[{go_on}][{_WHITE}]*[^{_WHITE}]*)*|[{_WHITE}]+")
-        self.alone = re.compile(f"[^{_WHITE}]\\Z")
+        self.library_only = re.compile(f"[^\x00-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|[{_WHITE}]\\Z")
+        self.spelled = [f"{i}{mark}" for i in range(max(size, self.width)) for mark in (",", "|", ";", "")]
         self.reset()
 
     def reset(self) -> None:
+        none = np.empty(0, dtype=np.int64)
         self.number: dict[str, int] = {}
         self.size = 0
-        self.stats = array("q")  # of every chunk: A tokens, B tokens, groups, links, and whether its bytes came out
-        self.codes, self.times = array("q"), array("q")  # of every chunk its pairs and how often each is linked
-        self.ends = array("q", [0])
+        self.stats = np.empty((0, 5), dtype=np.int64)  # of every chunk: A and B tokens, groups, links, whether its bytes came out
+        self.codes, self.times = none, none  # of every chunk its pairs and how often each is linked
+        self.ends = np.zeros(1, dtype=np.int64)
         self.groups: list[str] = []
         self.sums: np.ndarray | None = None
 
-    def _ids_a(self, chunks: list[str]) -> Iterator[list[int]]:
-        """Ids of every chunk; as chunks are independent of each other, many are encoded as one text."""
-        plain = [bool(self.alone.search(c)) for c in chunks]
-        first = 0
+    def _ids_a(self, chunks: list[str], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, and how many there are up to each chunk's end.
+
+        Chunks are independent of each other, so a row of them is encoded as one text: by a library that merges the same ranks,
+        but for letters other than common Latin ones and chunks that end in white space.
+        """
+        out, first, bytes_first = [np.empty(0, dtype=np.int64)], 0, 0
+        alone = [bool(self.library_only.search(c)) for c in chunks]
         while first < len(chunks):
-            last, size = first, 0
-            while last < len(chunks) and size < ENCODED:
+            last, size = first + 1, len(chunks[first])
+            while last < len(chunks) and size < ENCODED and not alone[last] and not alone[first]:
                 size += len(chunks[last])
                 last += 1
-                if not plain[last - 1]:
-                    break
-            part = chunks[first:last]
-            ids = self.a.encode("".join(part), add_special_tokens=False).ids
-            ends = np.cumsum(self.sizes_a[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in part]), side="right").tolist()
-            for start, stop in zip([0, *stops], stops):
-                yield ids[start:stop]
+            text = "".join(chunks[first:last])
+            ids = self.a.encode(text, add_special_tokens=False).ids if alone[first] else self.fast.encode_to_numpy(text, disallowed_special=())
+            out.append(np.asarray(ids, dtype=np.int64))
             first = last
+        ids = np.concatenate(out)
+        return ids, np.searchsorted(np.cumsum(self.sizes_a[ids]), bounds, side="right")
 
-    def _ids_b(self, chunks: list[str]) -> Iterator[list[int]]:
-        """Ids of every chunk. The space that the library puts in front is the chunk's own or goes again."""
+    def _ids_b(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of B. The space that the library puts in front is the chunk's own or goes again."""
         spaced = [c[0] == " " for c in chunks]
+        out, stops = array("q"), []
         for ids, own_space in zip(self.b.encode([c[1:] if s else c for c, s in zip(chunks, spaced)], num_threads=1), spaced):
             # The library gives nothing for nothing, so a chunk of one space has no ids yet.
-            yield (ids or [self.space]) if own_space else ids[1:]
+            out.extend((ids or [self.space]) if own_space else ids[1:])
+            stops.append(len(out))
+        return np.array(out, dtype=np.int64), np.array(stops, dtype=np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        for chunk, a, b in zip(chunks, self._ids_a(chunks), self._ids_b(chunks)):
+        if not chunks:
+            return
+        encoded = [c.encode() for c in chunks]
+        bounds = np.cumsum([len(e) for e in encoded])
+        a, stops_a = self._ids_a(chunks, bounds)
+        b, stops_b = self._ids_b(chunks)
+        starts_a, starts_b = np.concatenate(([0], stops_a[:-1])), np.concatenate(([0], stops_b[:-1]))
+        whole = np.ones(len(chunks), dtype=bool)
+        for ids, raw, stops, sizes in ((a, self.raw_a, stops_a, self.sizes_a), (b, self.raw_b, stops_b, self.sizes_b)):
+            spelled = [raw[i] for i in ids.tolist()]
+            done = np.concatenate(([0], np.cumsum(sizes[ids])))
+            if b"".join(spelled) != b"".join(encoded) or not np.array_equal(done[stops], bounds):
+                starts = np.concatenate(([0], stops[:-1]))
+                whole &= [b"".join(spelled[i:j]) == e for i, j, e in zip(starts.tolist(), stops.tolist(), encoded)]
+        # Chunks whose bytes don't come out have no tokens.
+        if not whole.all():
+            a, b = a[np.repeat(whole, stops_a - starts_a)], b[np.repeat(whole, stops_b - starts_b)]
+        n_a, n_b = np.where(whole, stops_a - starts_a, 0), np.where(whole, stops_b - starts_b, 0)
+        groups, links, codes, times, of, texts = self._aligned(a, b, n_a, n_b)
+        for chunk, text in zip(chunks, texts):
             self.number[chunk] = len(self.groups)
+            self.groups.append(text)
             self.size += len(chunk)
-            raw_a, raw_b = [self.raw_a[i] for i in a], [self.raw_b[i] for i in b]
-            data = chunk.encode()
-            if b"".join(raw_a) != data or b"".join(raw_b) != data:
-                self.stats.extend([0, 0, 0, 0, 0])
-                self.ends.append(len(self.codes))
-                self.groups.append("")
-                continue
-            ends_a, ends_b = _ends(raw_a), _ends(raw_b)
-            pairs: Counter[int] = Counter()
-            texts, links, i, j = [], 0, 0, 0
-            found = group_ends(ends_a, ends_b)
-            for p, q in found:
-                left, right = a[i:p], b[j:q]
-                texts.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                links += (p - i) * (q - j)
-                if q - j == p - i == 1:
-                    pairs[left[0] * self.width + right[0]] += 1
-                else:
-                    counts = Counter(right)
-                    for x, m in Counter(left).items():
-                        for y, n in counts.items():
-                            pairs[x * self.width + y] += m * n
-                i, j = p, q
-            self.stats.extend([len(a), len(b), len(found), links, 1])
-            self.codes.extend(pairs.keys())
-            self.times.extend(pairs.values())
-            self.ends.append(len(self.codes))
-            self.groups.append(";".join(texts))
+        self.stats = np.concatenate([self.stats, np.stack([n_a, n_b, groups, links, whole], axis=1).astype(np.int64)])
+        self.codes, self.times = np.concatenate([self.codes, codes]), np.concatenate([self.times, times])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.searchsorted(of, np.arange(len(chunks)), side="right")])
+
+    def _aligned(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
+        """Of chunks with so many tokens: groups, links, pairs with their number and chunk, and the listed groups."""
+        stops_a, stops_b, some = np.cumsum(n_a), np.cumsum(n_b), n_a > 0
+        to_a, to_b = group_ends(np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b]), stops_a[some], stops_b[some])
+        from_a, from_b = np.concatenate(([0], to_a[:-1])).astype(np.int64), np.concatenate(([0], to_b[:-1])).astype(np.int64)
+        g_a, g_b = to_a - from_a, to_b - from_b
+        chunk = np.searchsorted(stops_a, to_a)
+        groups = np.bincount(chunk, minlength=len(n_a))
+        links = np.bincount(chunk, g_a * g_b, minlength=len(n_a)).astype(np.int64)
+
+        small = np.flatnonzero(g_a * g_b <= MOST_LINKS)
+        each = (g_a * g_b)[small]
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        g = np.repeat(small, each)
+        keys = chunk[g] << 32 | (a[from_a[g] + place // g_b[g]] * self.width + b[from_b[g] + place % g_b[g]])
+        keys, times = _counted(keys)
+        for i in np.flatnonzero(g_a * g_b > MOST_LINKS).tolist():
+            left, right = (np.unique(x[f:t], return_counts=True) for x, f, t in ((a, from_a[i], to_a[i]), (b, from_b[i], to_b[i])))
+            more = (left[0][:, None] * self.width + right[0]).ravel()
+            keys, times = np.append(keys, chunk[i] << 32 | more), np.append(times, (left[1][:, None] * right[1]).ravel())
+        if len(small) < len(g_a):
+            keys, times = _merged(keys, times)
+
+        # Tokens in the order in which they are listed, each with the mark after it.
+        listed = np.empty(len(a) + len(b), dtype=np.int64)
+        g_of_a, g_of_b = np.repeat(np.arange(len(g_a)), g_a), np.repeat(np.arange(len(g_b)), g_b)
+        mark = np.zeros(len(a), dtype=np.int64)
+        mark[to_a - 1] = 1
+        listed[np.arange(len(a)) + from_b[g_of_a]] = 4 * a + mark
+        mark = np.zeros(len(b), dtype=np.int64)
+        mark[to_b - 1] = 2
+        mark[stops_b[some] - 1] = 3
+        listed[np.arange(len(b)) + to_a[g_of_b]] = 4 * b + mark
+        spelled = list(map(self.spelled.__getitem__, listed.tolist()))
+        ends = (stops_a + stops_b).tolist()
+        texts = ["".join(spelled[i:j]) for i, j in zip([0, *ends], ends)]
+        return groups, links, keys & 0xFFFFFFFF, times, keys >> 32, texts
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The chunks of all texts by number, and where each text's start (and the last ones end)."""
         if len(self.groups) > REMEMBERED or self.size > REMEMBERED_BYTES:
             self.reset()
         split = [self.chunk.findall(" " + t) if t else [] for t in texts]
-        new = list(set().union(*split).difference(self.number))
-        self.learn(new)
-        get = self.number.__getitem__
-        found = array("q")
-        for chunks in split:
-            found.extend(map(get, chunks))
-        return np.array(found, dtype=np.int64), np.concatenate(([0], np.cumsum([len(c) for c in split]))).astype(np.int64)
-
-    def table(self) -> np.ndarray:
-        return np.array(self.stats, dtype=np.int64).reshape(-1, 5)
+        self.learn(list(set().union(*split).difference(self.number)))
+        found = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64)
+        return found, np.concatenate(([0], np.cumsum([len(c) for c in split]))).astype(np.int64)
 
     def pairs(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pairs of the chunks: place in ``chunks``, pair, how often it is linked."""
-        ends = np.array(self.ends, dtype=np.int64)
-        sizes = ends[chunks + 1] - ends[chunks]
+        sizes = self.ends[chunks + 1] - self.ends[chunks]
         total = np.cumsum(sizes)
-        at = np.repeat(ends[chunks] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
-        return np.repeat(np.arange(len(chunks)), sizes), np.array(self.codes, dtype=np.int64)[at], np.array(self.times, dtype=np.int64)[at]
+        at = np.repeat(self.ends[chunks] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+        return np.repeat(np.arange(len(chunks)), sizes), self.codes[at], self.times[at]
 
 
-def _ends(raw: list[bytes]) -> list[int]:
-    out, end = [], 0
-    for r in raw:
-        end += len(r)
-        out.append(end)
-    return out
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs; by sorting, which is quicker here than a table of hashes."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def _aligner(paths: tuple[str, str]) -> Aligner:
@@ -228,13 +293,15 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 def _whole(aligner: Aligner, chunks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The text of every chunk, and which texts are encoded whole."""
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    bad = np.bincount(text, aligner.table()[chunks, 4] == 0, minlength=len(starts) - 1)
+    bad = np.bincount(text, aligner.stats[chunks, 4] == 0, minlength=len(starts) - 1)
     return text, bad == 0
 
 
 def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, where = np.unique(codes, return_inverse=True)
-    return found, np.bincount(where, counts, minlength=len(found)).astype(np.int64)
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
 def _count(paths: tuple[str, str]):
@@ -255,10 +322,10 @@ def _count(paths: tuple[str, str]):
                 if not len(chunks):
                     continue
                 text, whole = _whole(aligner, chunks, starts)
-                once = np.unique((text << 32 | chunks)[whole[text]])
+                once, _ = _counted((text << 32 | chunks)[whole[text]])
                 at, codes, _ = aligner.pairs(once & 0xFFFFFFFF)
-                of = np.unique((once >> 32)[at] << 40 | codes)
-                codes, counts = np.unique(of & ((1 << 40) - 1), return_counts=True)
+                of, _ = _counted((once >> 32)[at] << 40 | codes)
+                codes, counts = _counted(of & ((1 << 40) - 1))
                 held.append((codes, counts))
                 size += len(codes)
                 if size > HELD:
@@ -305,7 +372,7 @@ def _sum(paths: tuple[str, str], shared, digest: bool):
 def _row_numbers(aligner: Aligner, part: pa.RecordBatch, chunks: np.ndarray, starts: np.ndarray, hot: np.ndarray, digest: bool) -> pa.RecordBatch:
     n = len(part)
     text, whole = _whole(aligner, chunks, starts)
-    of_chunk = np.concatenate([aligner.table()[chunks, :4], aligner.sums[chunks, :2]], axis=1)
+    of_chunk = np.concatenate([aligner.stats[chunks, :4], aligner.sums[chunks, :2]], axis=1)
     totals = np.zeros((len(chunks) + 1, 6), dtype=np.int64)
     np.cumsum(of_chunk, axis=0, out=totals[1:])
     numbers = np.where(whole[:, None], totals[starts[1:]] - totals[starts[:-1]], 0)
