@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewire.llm.collisions import LEAST
+from tidewire.llm.spelling import CHANGED, LEAST_LETTERS, LEAST_TIMES, TIMES_MORE
 from tidewire.llm.topk import EVERY, SCALE, TOP
 from tidewire.llm.urlfilter import ALPHABET, KEPT, ORDER, RULES, WEIGHT
 
@@ -74,8 +75,52 @@ select page_id, host, path, rule, coalesce(said, case when score >= edge then 'a
 from scored cross join edge"""
 
 
+def _crc_table() -> list[int]:
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def spelling() -> str:
+    step = f"lambda c, x: xor(c >> 8, {_crc_table()}[1 + xor(c & 255, x)])"
+    return f"""
+with runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\u00c0-\u00ff]{{{LEAST_LETTERS},}}')) as run from documents),
+counted as (select doc_id, run, count(*) as n, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as h from runs group by all),
+marked as (
+  select run, n, xor(4294967295, list_reduce(list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::bigint),
+    {step}, 4294967295::bigint)) as m from counted),
+words as (
+  select word, sum(n)::bigint as n from (
+    select n, case when m % {CHANGED} <> 0 then run else substr(run, 1, m % length(run)) || substr(run, m % length(run) + 2) end as word
+    from marked) where length(word) >= {LEAST_LETTERS} group by word having sum(n) >= {LEAST_TIMES}),
+holes as (
+  select word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as replaced, substr(word, 1, i - 1) || substr(word, i + 1) as less
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as (
+  select a.word, b.word as near, b.n as near_n from holes a join holes b on a.replaced = b.replaced and a.word <> b.word
+  union select h.word, w.word, w.n from holes h join words w on h.less = w.word
+  union select w.word, h.word, h.n from holes h join words w on h.less = w.word),
+best as (
+  select word, count(*) as n_near, first(near order by near_n desc, near) as near, max(near_n) as near_n from pairs group by word),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= {TIMES_MORE} * w.n then near end as form,
+    case when near_n >= {TIMES_MORE} * w.n then near_n end as form_n from words w left join best b on w.word = b.word),
+way as (
+  with recursive way(word, reached, depth) as (
+    select word, word, 0 from forms
+    union all select way.word, form, depth + 1 from way join forms on way.reached = forms.word where form is not null)
+  select word, arg_max(reached, depth) as root from way group by word)
+select f.word, n, n_near, form, form_n, root from forms f join way on f.word = way.word"""
+
+
 SQL: dict[str, str] = {
     "op3_vector_neardup": vector_neardup(),
     "op8_url_filter": url_filter(),
     "op10_topk": topk(),
+    "op12_spelling_variants": spelling(),
 }

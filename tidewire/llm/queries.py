@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import alignment, collisions, langid, lattice, packing, piecebpe, simhash, substrings, tokencount, topk, toxicity, urlfilter
+from tidewire.llm import alignment, collisions, langid, lattice, packing, piecebpe, simhash, spelling, substrings, tokencount, topk, toxicity, urlfilter
 from tidewire.llm.common import load
 from tidewire.llm.oracle import SQL as SQL
 
@@ -66,6 +66,10 @@ def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(load(spark, folder, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     paths = public_tokenizers.path(alignment.BYTES), public_tokenizers.path(alignment.PIECES)
     found = alignment.align(load(spark, folder, "documents"), *paths, digest=True)
@@ -84,5 +88,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_token_alignment": op13_token_alignment,
 }
