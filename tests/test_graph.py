@@ -187,3 +187,25 @@ def test_plain_edges_and_duplicates(spark):
     assert edge_set(graph.weather_edges(df)) == {("r", "THREATENS", "K", None)}
     dup = spark.createDataFrame([("x",), ("x",), ("y",)], "key string")
     assert [tuple(r) for r in graph.duplicate_keys(dup, ["key"]).collect()] == [("x", 2)]
+
+
+def test_rare_names_are_dropped_before_pairs_and_no_pair_is_lost(spark):
+    rng = random.Random(11)
+    people = [f"P{i}" for i in range(60)]
+    rows = [(rng.sample(people, rng.randint(0, 8)), rng.sample(people, rng.randint(0, 5)), []) for _ in range(80)]
+    df = reports(spark, rows)
+    for least in (2, 4):
+        want = Counter()
+        for persons, organizations, _ in rows:
+            want.update(("ASSOCIATED_WITH", a, b) for a in set(persons) for b in set(organizations))
+            want.update(("KNOWS_OR_COOCCURRED_WITH", a, b) for a in set(persons) for b in set(persons) if a < b)
+        found = pairs.pair_counts(df, [pairs.ASSOCIATED, pairs.KNOWS], least).collect()
+        assert {(r["rel_type"], r["src"], r["dst"]): r["weight"] for r in found} == {k: n for k, n in want.items() if n >= least}
+        assert pairs.pair_rows(df, [pairs.KNOWS], min_weight=12).count() < pairs.pair_rows(df, [pairs.KNOWS]).count()
+
+
+def test_ranges_of_a_long_record_go_to_many_tasks(spark):
+    df = reports(spark, [([f"P{i:03}" for i in range(120)], [], [])])
+    found = pairs.pair_rows(df, [pairs.KNOWS], 16, 16)
+    assert found.distinct().count() == found.count() == 120 * 119 // 2
+    assert found.select(F.spark_partition_id()).distinct().count() > 1

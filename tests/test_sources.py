@@ -3,11 +3,12 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions.fixed import BATCH_TERMS
 from tidewire.schemas import GKG_COLUMNS
-from tidewire.sources import gkg, indicators, pages, store, topic, weather
+from tidewire.sources import archives, gkg, indicators, pages, store, topic, weather
 
 
 def gkg_line(**fields):
@@ -100,6 +101,53 @@ def test_store_starts_empty_and_keeps_its_keys(spark, tmp_path):
     assert "records" in store.read_store(spark, path).filter("source = 'IMD'").inputFiles()[0]
 
 
+def _batch(spark, first, n):
+    return spark.range(first, first + n).select(
+        F.lit("PIB").alias("source"), F.concat(F.lit("id"), "id").alias("record_id"), F.concat(F.lit("http://u/"), "id").alias("url"),
+        F.lit("2026-01-01").cast("timestamp").alias("ingestion_timestamp"),
+    )
+
+
+def test_an_append_opens_only_buckets_that_may_hold_its_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "KEY_TARGET", 50)
+    reads = {}
+    for n in (400, 4000):
+        path = str(tmp_path / f"store{n}")
+        store.append_unseen(spark, _batch(spark, 0, n), path)
+        buckets = store.key_buckets(spark, path)
+        assert n / 50 <= buckets <= 4 * n / 50
+        batch = _batch(spark, n - 2, 12).withColumn("key", F.col("record_id"))
+        opened = store.possible_buckets(batch, path, "record_id")
+        # The two known keys' buckets, and hardly any for the ten new ones.
+        assert 1 <= len(opened) <= 4
+        known = store.known_keys(spark, path, "record_id", opened)
+        files = {r[0] for r in known.select(F.input_file_name()).distinct().collect()}
+        assert files and all(any(f"bucket={b}/" in f for b in opened) and "by=record_id" in f for f in files)
+        filters = [line for line in known._jdf.queryExecution().toString().split("\n") if "PartitionFilters" in line]
+        assert filters and "bucket" in filters[-1].split("PartitionFilters")[1]
+        reads[n] = known.count()
+        store.append_unseen(spark, batch.drop("key"), path)
+        assert store.read_store(spark, path).count() == n + 10
+        store.append_unseen(spark, batch.drop("key"), path, key="url")
+        assert store.read_store(spark, path).count() == n + 10
+    assert reads[4000] < 3 * max(reads[400], 50)
+
+
+def test_bits_never_miss_a_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "KEY_TARGET", 200)
+    monkeypatch.setattr(store, "BITMAP_PARTS", 1)
+    path = str(tmp_path / "store")
+    for first in (0, 700, 900):
+        store.append_unseen(spark, _batch(spark, first, 700), path)
+    assert store.read_store(spark, path).count() == 1600
+    for key in ("record_id", "url"):
+        opened = store.possible_buckets(_batch(spark, 0, 1600).select(F.col(key).alias("key")), path, key)
+        assert store.known_keys(spark, path, key, opened).count() == 1600
+    before = {tuple(r) for r in store.known_keys(spark, path, "url").select("key").collect()}
+    store.renew_keys(spark, path)
+    assert {tuple(r) for r in store.known_keys(spark, path, "url").select("key").collect()} == before
+
+
 def test_unseen_by_url(spark):
     stored = records(spark, [("a", "u1", 0)])
     new = records(spark, [("x", "u1", 1), ("y", "u2", 2), ("z", "u2", 3)])
@@ -186,3 +234,46 @@ def test_messages(spark):
     good = topic.good_messages(parsed).collect()
     assert len(good) == 1 and good[0]["date"] == "20260317" and good[0]["persons"] == ["a"]
     assert sorted(str(r["value"]) for r in topic.dead_letters(parsed).collect()) == ["None", "plain", "{bad"]
+
+
+def test_archives_round_trip(spark, tmp_path):
+    path = str(tmp_path / "zips")
+    rows = [(f"a{i % 3}", f"m{i % 2}.csv", f"line {i}é") for i in range(50)] + [("a0", "m0.csv", ""), ("b", "big.csv", "x" * 100_000)]
+    archives.write_zips(spark.createDataFrame(rows, "archive string, member string, line string"), path)
+    found = archives.read_lines(spark, path)
+    got = sorted((r["path"].rsplit("/", 1)[1][:-4], r["member"], r["line"]) for r in found.collect())
+    assert got == sorted(rows)
+    assert sorted(p.name for p in (tmp_path / "zips").iterdir()) == ["a0.zip", "a1.zip", "a2.zip", "b.zip"]
+    # Members are split over tasks by size; no task holds more than its share, or one member.
+    scan = archives._Batch({"path": path, "partitionBytes": "1"})
+    assert sorted(m for p in scan.partitions() for m in p.listed) == sorted({(f"{path}/{a}.zip", m) for a, m, _ in rows})
+    assert all(len(p.listed) == 1 for p in scan.partitions())
+    assert len(archives._Batch({"path": path}).partitions()) == 1
+    first = archives.read_lines(spark, path, members="first").select("path", "member").distinct().collect()
+    assert len(first) == 4
+
+
+def test_archives_of_a_failed_write_are_not_seen(spark, tmp_path):
+    path = str(tmp_path / "zips")
+    rows = spark.range(100).select(F.lit("a").alias("archive"), F.lit("m").alias("member"),
+                                   F.when(F.col("id") == 99, F.raise_error(F.lit("no"))).otherwise(F.lit("x")).alias("line"))
+    with pytest.raises(Exception, match="no"):
+        archives.write_zips(rows, path)
+    assert archives.read_lines(spark, path).count() == 0 if (tmp_path / "zips").exists() else True
+    assert archives.read_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_archives_with_no_or_broken_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "empty.zip", "w"):
+        pass
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.writestr("d/", "")
+        z.writestr("d/a.csv", "1\r\n2\n\n3")
+        z.writestr("b.csv", b"\xff\n")
+    (tmp_path / "_hidden.zip").write_bytes(b"no archive")
+    (tmp_path / "other.txt").write_text("no")
+    got = sorted((r["member"], r["line"]) for r in archives.read_lines(spark, str(tmp_path)).collect())
+    assert got == [("b.csv", "�"), ("d/a.csv", ""), ("d/a.csv", "1"), ("d/a.csv", "2"), ("d/a.csv", "3")]
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="zip"):
+        archives.read_lines(spark, str(tmp_path)).count()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import EDGE_COLUMNS
+from ..session import cut
 from .lists import keyed
 
 # Names of the left and of the right list that meet in one row.
@@ -32,8 +33,36 @@ KNOWS = Family("KNOWS_OR_COOCCURRED_WITH", "Person", "persons", "Person", "perso
 ALL_FAMILIES = [ASSOCIATED, LOCATED, OPERATES, KNOWS]
 
 
-def _family_lists(records: DataFrame, families: list[Family]) -> DataFrame:
-    """One row per report and family with both key lists; lists met with themselves are sorted."""
+def _record_lists(records: DataFrame, families: list[Family]) -> DataFrame:
+    """One row per record that may give pairs: a number of its own and the key lists that the families use."""
+    used = sorted({name for f in families for name in (f.left, f.right)})
+    lists = keyed(records).select(F.monotonically_increasing_id().alias("record"), *used)
+    return lists.filter(sum((F.size(F.coalesce(name, F.array())) for name in used), F.lit(0)) > 1)
+
+
+def frequent_only(lists: DataFrame, min_weight: int) -> DataFrame:
+    """``lists(record, ...)`` without the names that fewer than ``min_weight`` records hold.
+
+    A pair is in no more records than either of its names, so no pair of that weight is lost; most names are rare, so most
+    pairs need not be made. ``lists`` should be a written table, it is read twice.
+    """
+    names = [c for c in lists.columns if c != "record"]
+
+    def of(name: str) -> Column:
+        return F.transform(F.coalesce(name, F.array()), lambda x: F.struct(F.lit(name).alias("list"), x.alias("name")))
+
+    each = F.concat(*[of(name) for name in names])
+    held = lists.select("record", F.inline(each))
+    # Written, so its size is known: where it is small, the names need no shuffle.
+    often = cut(held.groupBy("list", "name").count().filter(F.col("count") >= min_weight).select("list", "name"), "frequent")
+    kept = held.join(often, ["list", "name"], "left_semi")
+    return kept.groupBy("record").agg(
+        *[F.collect_list(F.when(F.col("list") == name, F.col("name"))).alias(name) for name in names]
+    )
+
+
+def _family_lists(lists: DataFrame, families: list[Family]) -> DataFrame:
+    """One row per record and family with both key lists; lists met with themselves are sorted."""
 
     def keys(f: Family, name: str) -> Column:
         return F.array_sort(name) if f.left == f.right else F.col(name)
@@ -49,32 +78,33 @@ def _family_lists(records: DataFrame, families: list[Family]) -> DataFrame:
             for f in families
         ]
     )
-    return (
-        keyed(records)
-        .select("url", F.inline(rows))
-        .filter((F.size("l") > 0) & (F.size("r") > 0))
-    )
-
+    return lists.select("record", F.inline(rows)).filter((F.size("l") > 0) & (F.size("r") > 0))
 
-def pair_rows(records: DataFrame, families: list[Family], left: int = LEFT, right: int = RIGHT) -> DataFrame:
-    """One row per record, edge type and pair: ``rel_type, a, b``.
 
-    All families come from one pass over the records. Both lists of every record are cut into ranges, so
-    a row pairs at most ``left`` by ``right`` names, and a record with very long lists becomes many such
-    rows. Pairs within one list are made once, with ``a < b``.
-    """
-    ranges = (
-        _family_lists(records, families)
-        .withColumn("start", F.explode(F.sequence(F.lit(0), F.size("l") - 1, F.lit(left))))
+def _ranges(sides: DataFrame, left: int, right: int) -> DataFrame:
+    """Both lists cut into ranges that meet each other, one row per meeting."""
+    return (
+        sides.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("l") - 1, F.lit(left))))
         .withColumn("from", F.explode(F.sequence(F.lit(0), F.size("r") - 1, F.lit(right))))
         # A list met with itself: ranges that end before the left one starts hold no later name.
         .filter(~F.col("same") | (F.col("from") + right > F.col("start")))
         .select(
-            "rel_type", "same", "start", "from",
+            "record", "rel_type", "same", "start", "from",
             F.slice("l", F.col("start") + 1, F.lit(left)).alias("part"),
             F.slice("r", F.col("from") + 1, F.lit(right)).alias("r"),
         )
     )
+
+
+def _pairs(lists: DataFrame, families: list[Family], left: int, right: int) -> DataFrame:
+    sides = _family_lists(lists, families)
+    is_long = (F.size("l") > left) | (F.size("r") > right)
+    # The ranges of one long record go to many tasks; those of all others stay where they are. Ranges are few bytes and many pairs,
+    # so the number of tasks is given: adaptive execution would merge them by their bytes.
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = _ranges(sides.filter(~is_long), left, right).unionByName(
+        _ranges(sides.filter(is_long), left, right).repartition(tasks, "record", "rel_type", "start", "from")
+    )
     # Where in the right range the names after the left one start.
     after = F.greatest(F.col("start") + F.col("i") + 1 - F.col("from"), F.lit(0))
     later = F.slice("r", after + 1, F.lit(right))
@@ -84,15 +114,30 @@ def pair_rows(records: DataFrame, families: list[Family], left: int = LEFT, righ
     )
 
 
+def pair_rows(
+    records: DataFrame, families: list[Family], left: int = LEFT, right: int = RIGHT, min_weight: int = 1
+) -> DataFrame:
+    """One row per record, edge type and pair: ``rel_type, a, b``, of names that ``min_weight`` records hold or more.
+
+    Both lists of every record are cut into ranges, so a row pairs at most ``left`` by ``right`` names; a record with
+    very long lists becomes many such rows, dealt to many tasks. Pairs within one list are made once, with ``a < b``.
+    """
+    lists = cut(_record_lists(records, families), "record-lists")
+    if min_weight > 1:
+        lists = frequent_only(lists, min_weight)
+    return _pairs(lists, families, left, right)
+
+
 def pair_counts(
     records: DataFrame, families: list[Family] = ALL_FAMILIES, min_weight: int = 2
 ) -> DataFrame:
     """Edges weighted by the number of rows of ``records`` that hold both ends.
 
-    With one row per report (see ``graph.latest_reports``) the weight counts distinct reports.
+    With one row per report (see ``graph.latest_reports``) the weight counts distinct reports. Names in fewer
+    records than ``min_weight`` are dropped before pairs are made.
     """
     counted = (
-        pair_rows(records, families)
+        pair_rows(records, families, min_weight=min_weight)
         .groupBy("rel_type", "a", "b")
         .agg(F.count(F.lit(1)).alias("weight"))
         .filter(F.col("weight") >= min_weight)

@@ -228,6 +228,12 @@ sql("gkg_lines", ["v_reports"], """
     array_to_string(persons, ';') || ';' as V2Persons, tone as Tone, cast(null as varchar) as Extras
   from v_reports""")
 
+for _name in ("gkg_zip_scan", "gkg_zip_stream"):
+    sql(_name, ["v_reports"], """
+      select record_id as GKGRECORDID, date as DATE, url as DocumentIdentifier, array_to_string(themes, ';') || ';' as V2Themes,
+        tone as Tone, cast(null as varchar) as Extras
+      from v_reports""")
+
 sql("manifest_latest", [], """
   select 'http://feeds.example.com/' || strftime(max(o_orderdate), '%Y%m%d%H%M%S') || '.gkg.csv.zip'
     as url from orders where o_orderstatus <> 'F'""")

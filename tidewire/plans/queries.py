@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import STREAM_TERMS
 from ..operators import alerts, build, cards, evidence, expand, graph, inspect, lists, pairs, ranking
 from ..session import cut, scratch_path
-from ..sources import gkg, indicators, pages, store, topic, weather
+from ..sources import archives, gkg, indicators, pages, store, topic, weather
 from ..streaming import enrich, growth
 from .views import Views
 
@@ -60,6 +60,38 @@ def gkg_lines(v: Views) -> DataFrame:
     )
 
 
+ZIP_COLUMNS = ["GKGRECORDID", "DATE", "DocumentIdentifier", "V2Themes", "Tone", "Extras"]
+
+
+def _feed_archives(v: Views) -> DataFrame:
+    """Feed lines dealt to five archives of three members each."""
+    part = F.pmod(F.xxhash64("line"), F.lit(15))
+    return v.gkg_lines().select(
+        F.format_string("feed%02d", F.floor(part / 3)).alias("archive"), F.format_string("part%02d.csv", part).alias("member"), "line"
+    )
+
+
+@query
+def gkg_zip_scan(v: Views) -> DataFrame:
+    """The feed written as archives and read back, member by member."""
+    path = scratch_path(v.spark, "zips")
+    archives.write_zips(_feed_archives(v), path)
+    return gkg.parse_lines(archives.read_lines(v.spark, path, partitionBytes=str(1 << 20))).select(*ZIP_COLUMNS)
+
+
+@query
+def gkg_zip_stream(v: Views) -> DataFrame:
+    """Archives read by a stream that stops and goes on: some have landed before it starts, the others while it rests."""
+    source, out, state = (scratch_path(v.spark, n) for n in ("zips", "zip-rows", "zip-state"))
+    feed = _feed_archives(v)
+    for landed in (feed.filter("archive < 'feed02'"), feed.filter("archive >= 'feed02'")):
+        archives.write_zips(landed, source)
+        rows = gkg.parse_lines(archives.stream_lines(v.spark, source)).select(*ZIP_COLUMNS)
+        job = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        job.trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(out)
+
+
 @query
 def manifest_latest(v: Views) -> DataFrame:
     return gkg.newest_entry(v.manifest())

@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.fixed import BATCH_TERMS
 from ..functions.match import mentions_any
 from ..functions.names import split_list
 from ..schemas import GKG_COLUMNS
-
-FILE_SCHEMA = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("modificationTime", T.TimestampType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("content", T.BinaryType()),
-    ]
-)
-
+from . import archives
 
 def newest_entry(manifest: DataFrame, marker: str = "gkg.csv.zip") -> DataFrame:
     """The url of the newest feed file named in a manifest, a one-row table.
@@ -40,39 +25,14 @@ def newest_entry(manifest: DataFrame, marker: str = "gkg.csv.zip") -> DataFrame:
     )
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                with archive.open(archive.namelist()[0]) as member:
-                    text = io.TextIOWrapper(member, encoding="utf-8", errors="replace", newline="\n")
-                    while lines := text.readlines(8 << 20):
-                        yield pd.DataFrame(
-                            {"path": path, "line": [x.rstrip("\r\n") for x in lines]}
-                        )
-
-
-def zip_lines(files: DataFrame) -> DataFrame:
-    """Lines of the first member of every zip. A zip cannot be split, so one file is one unit of
-    work; files spread over tasks and lines leave the task in blocks, never as a whole."""
-    return files.select("path", "content").mapInPandas(_unzip, "path string, line string")
-
-
 def read_zips(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return parse_lines(zip_lines(files))
+    """Rows of the first member of every archive."""
+    return parse_lines(archives.read_lines(spark, path, members="first"))
 
 
-def stream_zips(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """The same scan over files as they arrive; the source remembers what it has read."""
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema(FILE_SCHEMA)
-        .option("pathGlobFilter", "*.zip")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .load(path)
-    )
-    return parse_lines(zip_lines(files))
+def stream_zips(spark: SparkSession, path: str) -> DataFrame:
+    """The same scan over archives as they arrive, each once."""
+    return parse_lines(archives.stream_lines(spark, path, members="first"))
 
 
 def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:

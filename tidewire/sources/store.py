@@ -42,7 +42,9 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 _MONTH = T.StructField("ingest_month", T.StringType())
 _KEYS = T.StructType([T.StructField("key", T.StringType()), T.StructField("by", T.StringType()), T.StructField("bucket", T.IntegerType())])
-KEY_BUCKETS = 16
+_BITMAPS = "by string, bucket int, part int, bits binary, n long"
+#: Keys of one bucket, and parts of its bitmap; a part has as many bits as Spark's bitmap functions give it.
+KEY_TARGET, BITMAP_PARTS, PART_BITS = 65_536, 8, 32_768
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -72,40 +74,103 @@ def import_json(spark: SparkSession, path: str) -> DataFrame:
 def append(records: DataFrame, path: str) -> None:
     """Adds records and the keys they are known by.
 
-    Records go first: if the keys are lost with the job, ``renew_keys`` brings them back.
+    Records go first, then the bits of their keys, then the keys: if a job dies in between, no stored key lacks its bit,
+    and ``renew_keys`` brings back keys that were lost.
     """
+    spark = records.sparkSession
     rows = cut(conform(records), "batch")
     month = F.date_format("ingestion_timestamp", "yyyyMM")
     rows.withColumn(_MONTH.name, month).hint("rebalance", "source").write.mode("append").partitionBy(
         "source", _MONTH.name
     ).parquet(f"{path}/records")
-    _keys(rows).write.mode("append").partitionBy("by", "bucket").parquet(f"{path}/keys")
+    buckets = key_buckets(spark, path)
+    _write_keys(rows, path, buckets or 1, "append")
+    _grow(spark, path)
+
+
+def _grow(spark: SparkSession, path: str) -> None:
+    """More buckets where one of them holds more than twice the keys that it should."""
+    buckets = key_buckets(spark, path)
+    largest = _bits(spark, path, buckets).groupBy("by", "bucket").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > 2 * KEY_TARGET:
+        renew_keys(spark, path)
+
+
+def key_buckets(spark: SparkSession, path: str) -> int:
+    """Into how many buckets the keys are dealt; 0 for a store without keys. A layout counts once it was written whole."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/keys")
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in system.listStatus(root)] if system.exists(root) else []
+    done = [p.getName() for p in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max((int(name.split("=")[1]) for name in done if name.startswith("buckets=")), default=0)
 
 
 def renew_keys(spark: SparkSession, path: str) -> None:
-    """The key table again, from the records."""
-    _keys(read_store(spark, path)).write.mode("overwrite").partitionBy("by", "bucket").parquet(f"{path}/keys")
+    """The key table again, from the records, in as many buckets as they need. Layouts of other sizes go."""
+    records = read_store(spark, path)
+    total = records.agg(F.count(F.lit(1))).first()[0]
+    buckets = 1 << max(0, -(-total // KEY_TARGET) - 1).bit_length()
+    _write_keys(records, path, buckets, "overwrite")
+    for name in ("keys", "bitmaps"):
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in system.listStatus(root):
+            if found.getPath().getName() != f"buckets={buckets}":
+                system.delete(found.getPath(), True)
+
+
+def _write_keys(records: DataFrame, path: str, buckets: int, mode: str) -> None:
+    keys = cut(_keys(records).withColumn("bucket", _bucket(buckets)), "keys")
+    at = _bit()
+    bits = keys.groupBy("by", "bucket", F.expr(f"{at} div {PART_BITS}").cast("int").alias("part")).agg(
+        F.bitmap_construct_agg(F.expr(f"{at} % {PART_BITS}")).alias("bits"), F.count(F.lit(1)).alias("n")
+    )
+    bits.coalesce(1).write.mode(mode).parquet(f"{path}/bitmaps/buckets={buckets}")
+    keys.repartition("by", "bucket").write.mode(mode).partitionBy("by", "bucket").parquet(f"{path}/keys/buckets={buckets}")
 
 
 def _keys(records: DataFrame) -> DataFrame:
-    """What records are known by: ``key, by, bucket``, once each."""
+    """What records are known by: ``key, by``, once each."""
     known = F.inline(F.array(
         F.struct(record_key().alias("key"), F.lit("record_id").alias("by")),
         F.struct(_filled("url").alias("key"), F.lit("url").alias("by")),
     ))
-    return (
-        records.select(known).filter("key is not null").distinct().withColumn("bucket", _bucket())
-        .repartition("by", "bucket")
-    )
+    return records.select(known).filter("key is not null").distinct()
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+
+
+def _bit() -> str:
+    """A key's place in its bucket's bitmap, by another hash than that of the bucket."""
+    return f"pmod(xxhash64('bit', key), {BITMAP_PARTS * PART_BITS})"
+
+
+def _bits(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    return _read(spark, f"{path}/bitmaps/buckets={buckets}", T._parse_datatype_string(_BITMAPS))
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("key"), F.lit(KEY_BUCKETS)).cast("int")
+def possible_buckets(keys: DataFrame, path: str, by: str) -> list[int]:
+    """Buckets that may hold some of ``keys(key)``: those where a key's bit is set. At most as many as there are buckets."""
+    spark = keys.sparkSession
+    buckets = key_buckets(spark, path)
+    if not buckets:
+        return []
+    merged = _bits(spark, path, buckets).filter(F.col("by") == by).groupBy("bucket", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    asked = keys.filter("key is not null").select(
+        _bucket(buckets).alias("bucket"), F.expr(f"{_bit()} div {PART_BITS}").cast("int").alias("part"),
+        F.expr(f"cast({_bit()} % {PART_BITS} as int)").alias("at"),
+    ).distinct()
+    byte = F.conv(F.hex(F.substring("bits", F.expr("at div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    held = asked.join(merged, ["bucket", "part"]).filter(F.call_function("getbit", byte, F.expr("at % 8")) == 1)
+    return sorted(r["bucket"] for r in held.select("bucket").distinct().collect())
 
 
-def known_keys(spark: SparkSession, path: str, by: str) -> DataFrame:
-    """Keys that the store holds, of one kind: ``key, bucket``."""
-    return _read(spark, f"{path}/keys", _KEYS).filter(F.col("by") == by).select("key", "bucket")
+def known_keys(spark: SparkSession, path: str, by: str, only: list[int] | None = None) -> DataFrame:
+    """Keys that the store holds, of one kind, of all buckets or of some: ``key, bucket``. Other buckets stay unread."""
+    rows = _read(spark, f"{path}/keys/buckets={key_buckets(spark, path)}", _KEYS).filter(F.col("by") == by)
+    return (rows if only is None else rows.filter(F.col("bucket").isin(only))).select("key", "bucket")
 
 
 def _filled(name: str) -> Column:
@@ -125,16 +190,16 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def _unseen(incoming: DataFrame, known: DataFrame, order: list[Column], repeats: bool) -> DataFrame:
-    """Rows of ``incoming`` whose ``key`` is null or not in ``known(key, bucket)``; of rows with one key
+    """Rows of ``incoming`` whose ``key`` is null or not in ``known(key)``; of rows with one key
     the first, unless repeats stay. Rows without a key are all kept, as nothing says they are the same."""
     keyed = incoming.filter("key is not null")
     once = keyed if repeats else first_per(keyed, ["key"], order)
-    fresh = once.withColumn("bucket", _bucket()).join(known, ["bucket", "key"], "left_anti").drop("bucket")
+    fresh = once.join(known.select("key"), "key", "left_anti")
     return fresh.unionByName(incoming.filter("key is null")).drop("key")
 
 
 def _as_known(stored: DataFrame, key: Column) -> DataFrame:
-    return stored.select(key.alias("key")).distinct().withColumn("bucket", _bucket())
+    return stored.select(key.alias("key")).distinct()
 
 
 def unseen_by_id(
@@ -155,12 +220,13 @@ def unseen_by_url(incoming: DataFrame, stored: DataFrame, order: list[Column]) -
 def append_unseen(spark: SparkSession, incoming: DataFrame, path: str, key: str = "record_id") -> None:
     """Append what the store does not hold yet, by ``record_id`` or by ``url``.
 
-    Only the key table is read, and of it the batch's buckets where Spark can prune them; the records are not.
+    Records are not read, and of the key table only the buckets where a key of the batch has its bit set.
     """
     order = [F.col("ingestion_timestamp").asc_nulls_last(), F.xxhash64(F.to_json(F.struct("*")))]
     own = _filled("url") if key == "url" else record_key()
-    batch = conform(incoming).withColumn("key", own)
-    append(_unseen(batch, known_keys(spark, path, key), order, False), path)
+    batch = cut(conform(incoming).withColumn("key", own), "incoming")
+    known = known_keys(spark, path, key, possible_buckets(batch.select("key"), path, key))
+    append(_unseen(batch, known, order, False), path)
 
 
 def route(records: DataFrame) -> DataFrame:
