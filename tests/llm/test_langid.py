@@ -104,6 +104,14 @@ def test_odd_documents(odd_documents, no_documents):
     assert langid.accepted(no_documents).count() == 0
 
 
+def test_number_signs_are_no_letters(spark):
+    rows = list(documents(random.Random(4), 200)) + [(1000, "½ ²", None), (1001, "①", None), (1002, "Ⅷ 12_3", None), (1003, "½ ª", None)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 1000")
+    told = {r.doc_id: (r.lang_pred, r.score) for r in found.collect()}
+    assert told[1000] == told[1001] == told[1002] == ("und", 0.0)
+    assert told[1003][0] in SYLLABLES
+
+
 def test_without_labels_nothing_is_told(odd_documents):
     from pyspark.sql import functions as F
 

@@ -68,6 +68,34 @@ def test_large_components_stay_exact(spark):
     assert found(spark, rows, 20) == brute(rows, 20)
 
 
+def test_many_copies_of_a_query(spark):
+    copies = spark.range(20_000).select((F.col("id") * 50).alias("vec_id"), F.array(F.lit(1.0), F.lit(-1.0)).cast("array<float>").alias("embedding"))
+    others = spark.createDataFrame([(i, [float(i % 3), 0.5]) for i in range(1, 49)], "vec_id long, embedding array<float>")
+    result = topk.search(copies.unionAll(others), F.col("vec_id") % 50 == 0)
+    rows = result.where("query_id in (0, 50, 999950)").collect()
+    best = [(i, 2 * 256 * 256) for i in (0, 50, 100, 150, 200, 250)]
+    for q in (0, 50, 999950):
+        assert sorted((r["rank"], r.vec_id, r.score) for r in rows if r.query_id == q) == [
+            (k + 1, *b) for k, b in enumerate([b for b in best if b[0] != q][:5])
+        ]
+    assert result.count() == 100_000
+
+
+def test_copies_are_limited_before_the_shuffle(spark):
+    ranked = spark.range(100).select((F.col("id") % 2).alias("v"), "id", F.col("id").alias("row"))
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id", "row"))
+    plan = ranked.withColumn("place", place).where("place <= 6")._jdf.queryExecution().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_a_query_that_scores_all_rows_alike(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(1, 300)] + [(0, [0.0] * 4), (350, [0.0] * 4)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_query(spark, folder):
     from tidewire.llm.queries import REGISTRY
 

@@ -113,6 +113,14 @@ def test_odd_documents(spark, odd_documents, no_documents):
     assert toxicity.accepted(no_documents, none).count() == 0
 
 
+def test_text_ids(spark, frames):
+    _, docs, labels = frames
+    as_text = lambda df: df.withColumn("doc_id", df.doc_id.cast("string"))
+    rows = toxicity.judge(as_text(docs), as_text(labels)).collect()
+    assert len(rows) == 900 and all(isinstance(r.doc_id, str) and 0 <= r.score <= 1 for r in rows)
+    assert {r.held_out for r in rows} == {True, False}
+
+
 def test_query(spark, folder):
     from tidewire.llm.queries import REGISTRY
 

@@ -15,7 +15,6 @@ the training rows is learned; sample and model grow with their number. Repeated
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +35,6 @@ UNKNOWN = "und"
 CONFIDENT = 0.5
 
 _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
-_ANY_LETTER = re.compile(r"[^\W\d_]")
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +183,7 @@ def predicted(model: Model, text: Column) -> Column:
         langs, scores = [], []
         for value in texts:
             value = value.as_py()
-            if not model.languages or value is None or not _ANY_LETTER.search(value):
+            if not model.languages or value is None or not any(map(str.isalpha, value)):
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue

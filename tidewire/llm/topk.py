@@ -7,7 +7,8 @@ queries are dealt to blocks, and one task sees one slice of one block of rows an
    slice are resolved to whole scores; the k-th best of them is a floor under the k-th best score.
 2. A row at or above the floor has a part of at least floor / SLICES in some slice. That cutoff goes out
    with the queries, and every task sends the entries that reach it.
-3. Rows seen get their remaining parts, so all scores are exact, and the k best stay.
+3. Entries go back to their block of rows and block of queries, where whole vectors meet, so all scores are exact; those below
+   the floor go there, and the k best stay.
 
 Equal vectors are one candidate with its smallest ids, so copies add no work. No list is cut short: a
 weak cutoff sends more entries, it never loses one.
@@ -30,7 +31,7 @@ from tidewire.session import cut
 SCALE, EVERY, TOP, SLICES = 256, 50, 5, 2
 #: Rows and queries of one block; blocks of small tables are smaller, so that there are some.
 ROWS, QUERIES, LEAST_ROWS, BLOCKS = 65_536, 1024, 2048, 24
-AT_ONCE = 4096
+AT_ONCE, RESOLVED = 4096, 65_536
 
 
 def _parts(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -69,29 +70,64 @@ def _reaching(width: int):
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         ids, q_ids = rows.column("cid").to_numpy(), queries.column("qid").to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found = [(np.empty(0, dtype=np.int64),) * 2]
         if len(q_ids) and len(ids):
             x, q = matrix(rows.column("part"), width, np.int64), matrix(queries.column("part"), width, np.int64)
             cutoff = queries.column("cutoff").to_numpy()[:, None]
             for at in range(0, len(ids), AT_ONCE):
                 i, j = np.nonzero(_parts(q, x[at : at + AT_ONCE]) >= cutoff)
                 found.append((q_ids[i], ids[at + j]))
-        empty = np.empty(0, dtype=np.int64)
+        listed = [np.concatenate([f[i] for f in found]) for i in (0, 1)]
+        where = rows if rows.num_rows else queries
         return pa.table({
-            "qid": np.concatenate([f[0] for f in found] or [empty]),
-            "cid": np.concatenate([f[1] for f in found] or [empty]),
-        })
+            "rows_block": where.column("rows_block")[:1], "queries_block": where.column("queries_block")[:1],
+            "qids": pa.array([listed[0].astype("<i8").tobytes()]), "cids": pa.array([listed[1].astype("<i8").tobytes()]),
+        }).slice(0, int(len(listed[0]) > 0))
 
     return run
 
 
+def _resolve(width: int, most: int):
+    """Whole scores of the entries between a block of rows and one of queries: those at or above the query's floor, and of
+    them those that reach the block's ``most``-th best."""
+
+    def run(entries: pa.Table, vectors: pa.Table) -> pa.Table:
+        qids, cids = (
+            np.concatenate([np.empty(0, dtype="<i8"), *(np.frombuffer(v.as_py(), "<i8") for v in entries.column(c))]) for c in ("qids", "cids")
+        )
+        asks = vectors.column("floor").is_valid().to_numpy(zero_copy_only=False)
+        ids, v = vectors.column("id").to_numpy(), matrix(vectors.column("v"), width, np.int64)
+        floors = vectors.column("floor").fill_null(0).to_numpy()
+        q_at, c_at = _places(ids[asks], qids), _places(ids[~asks], cids)
+        pair = np.unique(q_at * max(len(ids), 1) + c_at)
+        q_at, c_at = pair // max(len(ids), 1), pair % max(len(ids), 1)
+        q, x, floor = v[asks], v[~asks], floors[asks]
+        scores = np.concatenate([np.empty(0, dtype=np.int64), *(
+            np.einsum("nd,nd->n", q[q_at[at : at + RESOLVED]], x[c_at[at : at + RESOLVED]]) for at in range(0, len(pair), RESOLVED)
+        )])
+        # Pairs are in order of their query; within one the best come first.
+        order = np.lexsort((-scores, q_at))
+        q_at, c_at, scores = q_at[order], c_at[order], scores[order]
+        first = np.searchsorted(q_at, q_at)
+        last = np.minimum(first + most, np.searchsorted(q_at, q_at, side="right")) - 1
+        kept = (scores >= floor[q_at]) & (scores >= scores[last]) if len(pair) else np.zeros(0, dtype=bool)
+        return pa.table({"qid": ids[asks][q_at[kept]], "cid": ids[~asks][c_at[kept]], "score": scores[kept]})
+
+    return run
+
+
+def _places(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    order = np.argsort(ids)
+    return order[np.searchsorted(ids[order], wanted)]
+
+
 def _dot(a: str, b: str) -> Column:
     products = F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0)))
     return F.aggregate(products, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
 def _resolved(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
-    """(qid, cid, score): whole scores of pairs."""
+    """(qid, cid, score): whole scores of the few pairs of the local lists."""
     wide = pairs.join(classes.select("cid", F.col("v").alias("xv")), "cid")
     wide = wide.join(queries.select(F.col("cid").alias("qid"), F.col("v").alias("qv")), "qid")
     return wide.select("qid", "cid", _dot("qv", "xv").alias("score"))
@@ -104,15 +140,13 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, id_column: str
     whole = F.transform("e", lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("long"))
     rows = cut(rows.select("id", "query", whole.alias("v"), F.monotonically_increasing_id().alias("row")), "vectors")
     want = top + 1  # a row's own class is among its best
+    # Rank alone, so that copies are limited before the shuffle too; the class's number comes from its first row.
     same = Window.partitionBy("v").orderBy("id", "row")
-    members = cut(
-        rows.select("id", "row", "v", F.row_number().over(same).alias("place"), F.first("row").over(same).alias("cid"))
-        .where(F.col("place") <= want),
-        "members",
-    )
-    classes = members.where("place = 1").select("cid", "v")
+    firsts = cut(rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= want).select("id", "row", "v", "place"), "firsts")
+    classes = cut(firsts.where("place = 1").select(F.col("row").alias("cid"), "v", F.col("id").alias("least")), "classes")
+    members = firsts.join(classes.select("cid", "v"), "v").select("id", "row", "cid")
     asked = cut(rows.where("query").join(classes, "v").select("id", "row", "cid"), "asked")
-    queries = cut(asked.select("cid").distinct().join(classes, "cid"), "queries")
+    queries = cut(asked.select("cid").distinct().join(classes.select("cid", "v"), "cid"), "queries")
 
     sizes = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     n, width = sizes.n, max(sizes.width or 1, 1)
@@ -120,18 +154,19 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, id_column: str
     query_blocks = max(1, -(-queries.count() // QUERIES))
     step = -(-width // SLICES)
 
-    def dealt(table: DataFrame, own_block: str, own: int, other_block: str, others: int) -> DataFrame:
+    def whole_dealt(table: DataFrame, own_block: str, own: int, other_block: str, others: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("cid", F.lit(own_block)), F.lit(own)).cast("int").alias(own_block)
+        return table.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other_block))
+
+    def dealt(table: DataFrame, *blocks) -> DataFrame:
         slices = F.array(*[
             F.struct(F.lit(s).alias("s"), F.slice("v", s * step + 1, step).alias("part")) for s in range(SLICES)
         ])
-        everywhere = F.sequence(F.lit(0), F.lit(others - 1))
-        block = F.pmod(F.xxhash64("cid", F.lit(own_block)), F.lit(own)).cast("int").alias(own_block)
-        spread = table.select("*", block, F.explode(slices).alias("slice"))
-        return spread.select("*", F.explode(everywhere).alias(other_block)).select("*", "slice.*").drop("slice", "v")
+        return whole_dealt(table, *blocks).select("*", F.inline(slices)).drop("v")
 
     def visit(asked: DataFrame, step, schema: str) -> DataFrame:
         key = ["s", "rows_block", "queries_block"]
-        left = dealt(classes, "rows_block", row_blocks, "queries_block", query_blocks)
+        left = dealt(classes.select("cid", "v"), "rows_block", row_blocks, "queries_block", query_blocks)
         right = dealt(asked, "queries_block", query_blocks, "rows_block", row_blocks).withColumnRenamed("cid", "qid")
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(step, schema)
 
@@ -149,9 +184,20 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, id_column: str
         "cid", "v", F.coalesce(F.ceil(F.col("floor") / SLICES).cast("long"), low).alias("cutoff"), F.coalesce("floor", low).alias("floor")
     )
     armed = cut(armed, "armed")
-    entries = visit(armed.select("cid", "v", "cutoff"), _reaching(step), "qid long, cid long").distinct()
-    scores = _resolved(entries, queries, classes).join(armed.select(F.col("cid").alias("qid"), "floor"), "qid")
-    scores = cut(scores.where("score >= floor").select("qid", "cid", "score"), "scores")
+    entries = visit(
+        armed.select("cid", "v", "cutoff"), _reaching(step), "rows_block int, queries_block int, qids binary, cids binary"
+    )
+    # Entries come back to the block of rows and the block of queries that they are of, where the whole vectors meet.
+    sides = whole_dealt(classes.select("cid", "v", F.lit(None).cast("long").alias("floor")), "rows_block", row_blocks, "queries_block", query_blocks)
+    sides = sides.unionByName(whole_dealt(armed.select("cid", "v", "floor"), "queries_block", query_blocks, "rows_block", row_blocks))
+    block = ["rows_block", "queries_block"]
+    scores = entries.groupBy(*block).cogroup(sides.withColumnRenamed("cid", "id").groupBy(*block)).applyInArrow(
+        _resolve(width, want), "qid long, cid long, score long"
+    )
+    # The best classes of a query by their first row hold its best rows, as each has one of them at least.
+    by_first = Window.partitionBy("qid").orderBy(F.desc("score"), "least", "cid")
+    best_of = scores.join(classes.select("cid", "least"), "cid").withColumn("place", F.row_number().over(by_first)).where(F.col("place") <= want)
+    scores = cut(best_of.select("qid", "cid", "score"), "scores")
 
     answers = asked.select(F.col("id").alias("query_id"), F.col("row").alias("query_row"), F.col("cid").alias("qid")).join(scores, "qid")
     answers = answers.join(members.select("cid", F.col("id").alias("vec_id"), "row"), "cid").where("row <> query_row")

@@ -245,11 +245,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         share = float(kinds == {1})
         return Model({}, [Forest(30.0 if share else -30.0, [])], np.empty(0), np.empty(0))
     lexicon = _lexicon(texts)
-    rows = [
-        (r.doc_id, np.frombuffer(r["row"], np.float64), int(r.toxic > 0))
-        for r in texts.select("doc_id", "toxic", feature_column(lexicon, F.col("text")).alias("row")).collect()
-    ]
-    rows.sort(key=lambda r: (hash((r[0] * 2654435761) % (1 << 32)), r[1].tobytes(), r[2]))
+    # Dealt to the parts by a hash of the id, which may be of any type.
+    drawn_rows = texts.select(F.xxhash64("doc_id").alias("at"), "toxic", feature_column(lexicon, F.col("text")).alias("row"))
+    rows = [(r["at"], np.frombuffer(r["row"], np.float64), int(r.toxic > 0)) for r in drawn_rows.collect()]
+    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2]))
     x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], dtype=float)
     forests, margins, judged = [], np.zeros(len(y)), np.zeros(len(y), dtype=bool)
     for part in range(PARTS):
