@@ -84,3 +84,55 @@ def test_rescan_renews_the_snapshot(spark, tmp_path):
         scan(spark.range(1), batch_id)
     found = read_snapshot(spark, str(tmp_path / "snapshot")).collect()
     assert len(found) == 1 and found[0]["active_threats"][0]["severity"] == "CRITICAL"
+
+
+def test_growth_alerts_are_raised_changed_and_withdrawn(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", growth.STATE_STORE)
+
+    def run(*events):
+        rows = session.createDataFrame([(k, f"2026-01-{d:02d} 10:00:00") for k, d in events], "pair string, t string")
+        rows.select("pair", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream = session.readStream.schema("pair string, ts timestamp").parquet(source)
+        query = growth.alert_job(stream, ["pair"], out, state, late="36 hours").trigger(availableNow=True).start()
+        query.awaitTermination()
+        found = growth.read_raised(spark, out, ["pair"]).collect()
+        return sorted((r["pair"], r["day"].day, r["weight"], r["previous"]) for r in found), query
+
+    assert run(("a", 1), ("a", 2), ("a", 2), (None, 1), ("b", 2))[0] == [("a", 2, 2, 1)]
+    # Another event of the day before withdraws the alert, one more of the day raises none.
+    assert run(("a", 1))[0] == []
+    assert run(("a", 2), ("a", 2))[0] == [("a", 2, 4, 2)]
+    # Days before the watermark's are forgotten and their late events dropped; what was raised stays.
+    found, query = run(("a", 9), ("b", 9))
+    assert found == [("a", 2, 4, 2)]
+    found, query = run(("a", 1), ("a", 10), ("a", 10))
+    assert found == [("a", 2, 4, 2), ("a", 10, 2, 1)]
+    assert growth.late_rows(query) == 1
+
+
+def test_edges_of_a_stream_add_up_and_repeats_change_nothing(spark, tmp_path):
+    from tidewire.operators.weights import EdgeWeights
+    from tidewire.session import scratch_root
+    from tidewire.streaming import edges
+    from pathlib import Path
+
+    source, out = str(tmp_path / "topic"), str(tmp_path / "out")
+
+    def run(state, *records):
+        if records:
+            spark.createDataFrame(lines(*records), "value string").coalesce(1).write.mode("append").text(source)
+        edges.edge_job(topic.subscribe_files(spark, source, 1), out, str(tmp_path / state)).trigger(
+            availableNow=True).start().awaitTermination()
+        return {(r["src"], r["rel_type"], r["dst"]): r["weight"] for r in EdgeWeights(spark, out).read().collect()}
+
+    one = {"record_id": "1", "url": "u", "persons": ["ann"], "organizations": ["org"], "themes": ["T"]}
+    first = run("state", one)
+    assert first == {("ann", "MENTIONED_IN", "u"): 1, ("org", "MENTIONED_IN", "u"): 1,
+                     ("ann", "ASSOCIATED_WITH", "org"): 1, ("u", "HAS_THEME", "T"): None}
+    both = run("state", one | {"record_id": "2"}, )
+    assert both[("ann", "ASSOCIATED_WITH", "org")] == 2 and both[("u", "HAS_THEME", "T")] is None
+    # Replayed from the start, as when the checkpoint of the first batches was lost.
+    assert run("again") == both
+    assert not list(Path(scratch_root(spark)).glob("passing-*/*"))

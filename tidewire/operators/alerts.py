@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import NO_ALERTS
 from ..functions.reports import growth_text, severity
+from ..sources.batches import BatchTable
 from .graph import undirected
 
 ALERT = (
@@ -104,18 +104,16 @@ def snapshot(alerts: DataFrame, scanned_at: Column, most: int = 1000) -> DataFra
 
 
 def write_snapshot(alerts: DataFrame, scanned_at: Column, path: str) -> None:
-    snapshot(alerts, scanned_at).write.mode("overwrite").text(path)
+    """Renews the snapshot under ``path``; a reader sees the old one until the new one is whole."""
+    table = BatchTable(alerts.sparkSession, path, format="text")
+    table.replace(snapshot(alerts, scanned_at))
+    table.vacuum()
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The last snapshot, or one empty answer when there was no scan yet."""
-    try:
-        return spark.read.schema(SNAPSHOT).json(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.range(1).select(
-            F.from_json(
-                F.lit(f'{{"active_threats": [], "status": "{NO_ALERTS}"}}'), SNAPSHOT
-            ).alias("s")
-        ).select("s.*")
+    table = BatchTable(spark, path)
+    if table.versions():
+        return table.read(SNAPSHOT, "json").drop("batch_id")
+    nothing = F.lit(f'{{"active_threats": [], "status": "{NO_ALERTS}"}}')
+    return spark.range(1).select(F.from_json(nothing, SNAPSHOT).alias("s")).select("s.*")

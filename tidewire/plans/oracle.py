@@ -425,6 +425,14 @@ sql("weight_accumulate", ["run1", "run2"], f"""
   select {_EDGE_COLUMNS}, cast(sum(weight) as bigint) as weight
   from (select * from run1 union all select * from run2) group by {_EDGE_COLUMNS}""")
 
+sql("weight_runs", ["run1", "run2"], f"""
+  select {_EDGE_COLUMNS}, cast(sum(weight) as bigint) as weight
+  from (select * from run1 union all select * from run2 union all select * from run2) group by {_EDGE_COLUMNS}""")
+sql("weight_runs_newest", ["run1", "run2"], f"""
+  select * from run2 union all select * from run1 anti join run2 using ({_EDGE_COLUMNS})""")
+sql("stream_graph", ["aer", "mr"], union(
+    "select * from aer where rel_type = 'MENTIONED_IN'", pair_sql("mr", "ASSOCIATED_WITH", 1)))
+
 
 def keys_of(where: str) -> str:
     pairs = pair_sql("m", "ASSOCIATED_WITH", 1, where)
@@ -478,6 +486,7 @@ sql("growth_alerts", [], f"""
     '''' || user_id || ''' and ''' || event_type || ''' met over half as often again as on the day before.' as description, cast(epoch(day) as double) as timestamp
   from ({grown()})""")
 SQL["stream_growth"] = SQL["pair_growth_daily"]
+SQL["stream_growth_alerts"] = SQL["pair_growth_daily"]
 SQL["stream_rescan"] = SQL["alert_snapshot"]
 
 # --- retrieval -----------------------------------------------------------------------------

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import STREAM_TERMS
-from ..operators import alerts, build, cards, evidence, expand, graph, inspect, lists, pairs, ranking
+from ..operators import alerts, build, cards, evidence, expand, graph, inspect, lists, pairs, ranking, weights
 from ..session import cut, scratch_path
 from ..sources import archives, gkg, indicators, pages, store, topic, weather
-from ..streaming import enrich, growth
+from ..streaming import edges, enrich, growth
 from .views import Views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -403,6 +403,28 @@ def weight_accumulate(v: Views) -> DataFrame:
     return graph.add_weights(*_two_runs(v))
 
 
+def _kept_runs(v: Views, fold) -> weights.EdgeWeights:
+    """Three runs and a repeated one, folded two by two while they come."""
+    first, second = _two_runs(v)
+    first, second = cut(first, "run"), cut(second, "run")
+    kept = weights.EdgeWeights(v.spark, scratch_path(v.spark, "weights"), fold, fan=2)
+    for run, edges in ((0, first), (1, second), (1, second), (2, first.filter("weight >= 5")), (2, second)):
+        kept.add(run, edges)
+    return kept
+
+
+@query
+def weight_runs(v: Views) -> DataFrame:
+    """Weights that add up over the runs. The third run is tried twice, the second try counts."""
+    return _kept_runs(v, weights.summed).read()
+
+
+@query
+def weight_runs_newest(v: Views) -> DataFrame:
+    """Of every pair the weight that the last run with it gave."""
+    return _kept_runs(v, weights.newest).read()
+
+
 @query
 def write_counters(v: Views) -> DataFrame:
     """Nodes and edges that adding the later reports would create."""
@@ -824,6 +846,34 @@ def stream_growth(v: Views) -> DataFrame:
     return alerts.growth(growth.read_daily(v.spark, out, PAIR), PAIR)
 
 
+@query
+def stream_growth_alerts(v: Views) -> DataFrame:
+    """The same alerts raised by keyed state while the days come, over two runs of one job."""
+    # This state needs the RocksDB store; a session of its own leaves the others as they are.
+    spark = v.spark.newSession()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", growth.STATE_STORE)
+    source, out, checkpoint = (scratch_path(v.spark, n) for n in ("events", "raised", "state"))
+    events = v.table("events").select(*PAIR, F.col("ts").cast("timestamp").alias("ts"))
+    middle = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    for part in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+        events.filter(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        growth.alert_job(stream, PAIR, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return growth.read_raised(v.spark, out, PAIR)
+
+
+@query
+def stream_graph(v: Views) -> DataFrame:
+    """Mentions and associations kept by a stream over two runs of one job."""
+    source, out, checkpoint = (scratch_path(v.spark, n) for n in ("topic", "graph", "state"))
+    fields = [f.name for f in topic.MESSAGE.fields]
+    for part in (v.earlier, v.later):
+        topic.publish_files(part(v.repeats()).select(*fields), source)
+        messages = topic.subscribe_files(v.spark, source)
+        edges.edge_job(messages, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return weights.EdgeWeights(v.spark, out).read(["MENTIONED_IN", "ASSOCIATED_WITH"])
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Reports to keyed entities to scored pairs to the heaviest places."""
     v = Views(spark, folder)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_passing: ContextVar[str] = ContextVar("passing", default="")
 
 
 def local_session(cores: str = "*", name: str = "tidewire", **conf: str) -> SparkSession:
@@ -57,8 +61,21 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def passing_scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut inside is deleted at the end: for the batches of a stream, which would fill the folder."""
+    folder = f"{scratch_root(spark)}/passing-{uuid.uuid4().hex}"
+    token = _passing.set(folder)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_passing.get() or scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:

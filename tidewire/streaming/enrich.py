@@ -8,6 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.reports import entity_summary
 from ..schemas import ENRICHED
+from ..sources.batches import BatchTable
 from ..sources.topic import mark_dead, parse_messages
 
 
@@ -20,11 +21,15 @@ def enrich(records: DataFrame) -> DataFrame:
     )
 
 
+def enriched_table(spark: SparkSession, path: str) -> BatchTable:
+    return BatchTable(spark, path, ("kind",))
+
+
 class BatchWriter:
-    """Writes every micro-batch to its own partition, records and dead letters in one pass.
+    """Writes every micro-batch to a batch table, records and dead letters in one pass.
 
-    The partition of a batch is replaced as a whole, so a batch that is repeated after a restart
-    leaves the same rows. Row counts come from the write itself; those of the last ``KEPT`` batches
+    A batch is seen once it is whole and takes the place of its first try, so a batch that is repeated
+    after a restart leaves the same rows. Small folders are merged as they come. Row counts come from the write itself; those of the last ``KEPT`` batches
     are kept.
     """
 
@@ -37,11 +42,11 @@ class BatchWriter:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         seen = Observation(f"batch{batch_id}")
         parsed = mark_dead(parse_messages(batch)).observe(seen, F.count(F.lit(1)).alias("rows"))
-        enrich(parsed).write.mode("overwrite").partitionBy("kind").parquet(
-            f"{self.path}/batch_id={batch_id}"
-        )
-        self.counts[batch_id] = seen.get["rows"]
-        self.counts.pop(batch_id - self.KEPT, None)
+        table = enriched_table(batch.sparkSession, self.path)
+        if table.write(batch_id, enrich(parsed)):
+            self.counts[batch_id] = seen.get["rows"]
+            self.counts.pop(batch_id - self.KEPT, None)
+            table.merge()
 
 
 def enrichment(
@@ -57,8 +62,9 @@ def enrichment(
 
 
 def read_enriched(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ENRICHED).parquet(path).filter("kind = 'record'").drop("kind", "value", "reason")
+    return enriched_table(spark, path).read(ENRICHED).filter("kind = 'record'").drop("kind", "value", "reason")
 
 
 def read_dead(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ENRICHED).parquet(path).filter("kind = 'dead'").select("value", "reason", "batch_id")
+    """Dead letters; ``batch_id`` is that of the last batch they were merged with."""
+    return enriched_table(spark, path).read(ENRICHED).filter("kind = 'dead'").select("value", "reason", "batch_id")
