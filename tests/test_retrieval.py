@@ -94,6 +94,28 @@ def test_expansion_equals_brute_force(spark, seed, hops, limit):
     assert {(r["anchor_label"], r["anchor"], r["key"], r["hop"], r["rank"]) for r in first} == ranked
 
 
+@pytest.mark.parametrize("fan", [2, 8])
+def test_kept_lists_give_what_fresh_ones_give(spark, tmp_path, fan):
+    from tidewire.operators.adjacency import ShortLists
+
+    rng = random.Random(fan)
+    rows = [mention(f"p{int(rng.paretovariate(1)) % 40}", f"a{rng.randrange(60):02d}") for _ in range(150)]
+    rows += [mention("hub", f"a{i:02d}") for i in range(60)]
+    rows += [tie(f"p{rng.randrange(40)}", f"o{rng.randrange(5)}") for _ in range(20)]
+    rng.shuffle(rows)
+    edges = spark.createDataFrame(rows, EDGES)
+    anchors = anchors_of(spark, *[("Person", f"p{i}") for i in range(40)], ("Person", "hub"))
+    kept = ShortLists(spark, str(tmp_path / "lists"), limit=6, fan=fan)
+    for batch in range(5):
+        kept.add(batch, spark.createDataFrame(rows[batch::5], EDGES))
+    kept.table.write(5, expand.short_lists(spark.createDataFrame(rows[0::5], EDGES), 6))
+    lists = kept.read()
+    most = lists.groupBy("near_label", "near").count().agg({"count": "max"}).first()[0]
+    assert most == expand.short_list_length(6)
+    same = lambda nearby: sorted(map(tuple, expand.nearest(edges, anchors, 3, 6, nearby=nearby).collect()))
+    assert same(lists) == same(None)
+
+
 def test_limit_per_anchor(spark):
     edges = spark.createDataFrame([mention("A", f"a{i:02d}") for i in range(30)], EDGES)
     rows = expand.nearest(edges, anchors_of(spark, ("Person", "A"))).orderBy("rank").collect()

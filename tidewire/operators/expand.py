@@ -195,6 +195,31 @@ def expand(
     )
 
 
+def short_list_length(limit: int) -> int:
+    """How many of a node's targets :func:`nearest` needs at most."""
+    return 2 * limit - 1
+
+
+def short_lists(
+    edges: DataFrame,
+    limit: int = 25,
+    rel_types: list[str] = RETRIEVAL_TYPES,
+    target_labels: list[str] = ARTICLE_LABELS,
+) -> DataFrame:
+    """The first targets by key next to every node: ``near_label, near, far_label, far``.
+
+    Limited before the shuffle, so a hub sends at most that many rows per task. Write them once where several
+    searches share the edges; ``adjacency.ShortLists`` keeps them while edges are added.
+    """
+    links = _links(edges, rel_types).filter(F.col("far_label").isin(target_labels))
+    return cut_lists(links, short_list_length(limit))
+
+
+def cut_lists(links: DataFrame, length: int) -> DataFrame:
+    """The first ``length`` distinct far ends of every near end."""
+    return first_k_distinct(links, ["near_label", "near"], [F.col("far"), F.col("far_label")], length).distinct()
+
+
 def nearest(
     edges: DataFrame,
     anchors: DataFrame,
@@ -202,6 +227,7 @@ def nearest(
     limit: int = 25,
     rel_types: list[str] = RETRIEVAL_TYPES,
     target_labels: list[str] = ARTICLE_LABELS,
+    nearby: DataFrame | None = None,
 ) -> DataFrame:
     """The first ``limit`` target nodes of every anchor, by distance and then by key.
 
@@ -212,6 +238,8 @@ def nearest(
     * an unfinished anchor has fewer than ``limit`` targets, so among the targets next to any
       frontier node only the first ``2 * limit - 1`` by key can be among its next ones. A hub met
       on the way adds that many rows, not all its articles.
+
+    ``nearby`` are stored :func:`short_lists` of these edges, types and labels, for this limit or a larger one.
     """
     _check(hops)
     links = _links(edges, rel_types)
@@ -219,13 +247,8 @@ def nearest(
     is_target = F.col("label").isin(target_labels)
     numbered = _numbered(anchors)
     reached = _start(numbered)
-    # Limited before any join, so a hub sends at most that many rows per task; stored once for all hops.
-    nearby = cut(
-        first_k_distinct(
-            links.filter(to_target), ["near_label", "near"], [F.col("far"), F.col("far_label")], 2 * limit - 1
-        ).distinct(),
-        "nearby",
-    )
+    if nearby is None:
+        nearby = cut(short_lists(edges, limit, rel_types, target_labels), "nearby")
     for hop in range(1, hops + 1):
         frontier = reached.filter(F.col("hop") == hop - 1).drop("hop")
         if hop > 1:

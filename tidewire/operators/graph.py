@@ -184,8 +184,12 @@ def add_weights(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def created(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key the stored table does not hold: what a write would create."""
-    return new.select(*key).distinct().join(stored.select(*key).distinct(), key, "left_anti")
+    """Keys of ``new`` that the stored table does not hold: what a write would create.
+
+    One aggregate over both sides, combined before its only shuffle; a key with nulls is a key like others.
+    """
+    sides = stored.select(*key, F.lit(False).alias("_new")).unionByName(new.select(*key, F.lit(True).alias("_new")))
+    return sides.groupBy(*key).agg(F.bool_and("_new").alias("_new")).filter("_new").drop("_new")
 
 
 def write_edges(edges: DataFrame, path: str) -> None:

@@ -544,6 +544,7 @@ for _n in (1, 2, 3):
 sql("top_articles_per_anchor", ["anchors", "near_t3"], """
   select target_id, anchor_label, anchor, url, hop, rank
   from anchors join near_t3 using (anchor_label, anchor)""")
+SQL["nearest_from_lists"] = SQL["top_articles_per_anchor"]
 
 cte("part_edges", [], """
   select distinct 'Article' as src_label, 'o/' || l_orderkey as src, 'LOCATED_IN' as rel_type,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import STREAM_TERMS
-from ..operators import alerts, build, cards, evidence, expand, graph, inspect, lists, pairs, ranking, weights
+from ..operators import adjacency, alerts, build, cards, evidence, expand, graph, inspect, lists, pairs, ranking, weights
 from ..session import cut, scratch_path
 from ..sources import archives, gkg, indicators, pages, store, topic, weather
 from ..streaming import edges, enrich, growth
@@ -559,6 +559,21 @@ def top_articles_per_anchor(v: Views) -> DataFrame:
     )
 
 
+@query
+def nearest_from_lists(v: Views) -> DataFrame:
+    """The same from lists that were kept while the edges came in four batches, one of them twice."""
+    _, nodes, edges = _retrieval(v, v.reports())
+    anchors = expand.resolve_targets(v.targets(), nodes)
+    kept = adjacency.ShortLists(v.spark, scratch_path(v.spark, "lists"), fan=4)
+    for batch in (0, 1, 1, 2, 3):
+        kept.add(batch, edges.filter(F.pmod(F.xxhash64("src", "dst"), F.lit(4)) == batch))
+    found = expand.nearest(edges, anchors, nearby=kept.read())
+    return anchors.join(found, expand.ANCHOR).select(
+        "target_id", *expand.ANCHOR, F.col("key").alias("url"),
+        F.col("hop").cast("bigint").alias("hop"), F.col("rank").cast("bigint").alias("rank"),
+    )
+
+
 @query
 def nearest_by_part(v: Views) -> DataFrame:
     """Parts as places of their own: most have few articles, so the search goes several hops."""
@@ -612,9 +627,10 @@ def _cards(v: Views, reports: DataFrame, targets: DataFrame | None = None, n: in
     """Cards of all targets, keywords used where a target of several words found nothing."""
     stored, nodes, edges = _retrieval(v, reports)
     targets = v.targets() if targets is None else targets
+    nearby = cut(expand.short_lists(edges), "nearby")
 
     def of(asked: DataFrame) -> DataFrame:
-        return cards.article_cards(cut(cards.hits(asked, nodes, edges), "hits"), stored)
+        return cards.article_cards(cut(cards.hits(asked, nodes, edges, nearby=nearby), "hits"), stored)
 
     whole = cut(of(targets).select("target_id", F.lit(0).alias("part"), "hop", "url", "card", "source"), "cards")
     lacking = evidence.needs_keywords(targets, whole)
