@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -101,6 +102,14 @@ def test_odd_urls(spark):
     check(spark, rows)
 
 
+def test_a_very_long_url(spark):
+    """Quadratic work would take minutes here."""
+    rows = [(1, "data:text/plain;base64," + "QUJD" * 100_000), (2, "http://a.org/x"), (3, "http://b.com/de/\U0001f600")]
+    start = time.monotonic()
+    check(spark, rows)
+    assert time.monotonic() - start < 100
+
+
 def test_no_rows(spark):
     check(spark, [])
 

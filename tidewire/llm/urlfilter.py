@@ -62,9 +62,17 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def _grams(url: Column) -> Column:
-    """One gram per character and one for the end."""
-    padded = F.concat(F.lit(START * ORDER), url, F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.length(url) + 1), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+    """One gram per character and one for the end.
+
+    The characters are split once and bound to a name, so that a gram costs the same at every place of a long URL.
+    """
+    characters = F.split(F.concat(F.lit(START * ORDER), url, F.lit(END)), "")
+
+    def of(c: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(c) - (ORDER + 1))
+        return F.transform(starts, lambda i: F.concat(*[F.get(c, i + k) for k in range(ORDER + 1)]))
+
+    return F.get(F.transform(F.array(characters), of), F.lit(0))
 
 
 def gram_ratios(urls: DataFrame) -> DataFrame:
