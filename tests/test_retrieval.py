@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import cards, evidence, expand, inspect, ranking
+from tidewire.operators import cards, evidence, expand, inspect, nameindex, ranking
 from tidewire.session import scratch_root
 
 EDGES = "src_label string, src string, rel_type string, dst_label string, dst string, weight bigint"
@@ -223,3 +223,37 @@ def test_inspection(spark):
 def test_scratch_folder_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert scratch_root(spark).startswith(named.rstrip("/")) if named else scratch_root(spark)
+
+
+def index_rows(index, spark, needles):
+    got = [tuple(r) for r in index.match(spark.createDataFrame([(n,) for n in needles], "needle string")).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_names_from_a_kept_index(spark, tmp_path):
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abAB é#") for _ in range(rng.randrange(1, 9))) for _ in range(90)} | {"", "a\u0001b"})
+    needles = sorted({"".join(rng.choice("ab é#") for _ in range(rng.randrange(0, 5))) for _ in range(40)} | {"zzz", "\u0001", "a\u0001b"})
+    index = nameindex.NameIndex(spark, str(tmp_path), fan=2)
+    frame = lambda some: spark.createDataFrame([("Person", n) for n in some] + [("Person", None)], "label string, key string")
+    want = lambda some: {(n, "Person", k) for n in needles for k in some if k and n in k.lower()}
+    assert index.add(0, frame(names[:40])) and index.add(0, frame(names[:50]))
+    assert index_rows(index, spark, [*needles, *needles[:3], None]) == want(names[:50])
+    assert index.add(1, frame(names[30:]))
+    assert not index.add(0, frame(["other"]))
+    assert [e["level"] for e in index.pieces.manifest()["live"]] == [1]
+    assert index.add(2, frame(names[:2]))
+    assert index_rows(index, spark, needles) == want(names)
+
+
+def test_a_lookup_reads_no_other_folders(spark, tmp_path):
+    index = nameindex.NameIndex(spark, str(tmp_path))
+    index.add(0, spark.createDataFrame([("Person", f"name {i:04}") for i in range(400)], "label string, key string"))
+    home = spark.range(1).select(nameindex._bucket(F.lit("123"))).first()[0]
+    for file in tmp_path.glob("pieces/**/*.parquet"):
+        if f"bucket={home}" != file.parent.name:
+            file.write_bytes(b"no parquet")
+    assert index_rows(index, spark, ["123"]) == {("123", "Person", "name 0123")}
+    targets = spark.createDataFrame([(1, "'123'")], TARGETS)
+    assert [tuple(r) for r in index.resolve(targets).collect()] == [(1, "'123'", "Person", "name 0123")]

@@ -22,7 +22,7 @@ def needle(target: Column, quotes: bool = True) -> Column:
     return F.lower(strip_quotes(target) if quotes else target)
 
 
-def _grams(text: Column, n: int) -> Column:
+def pieces_of(text: Column, n: int) -> Column:
     """Distinct pieces of ``n`` characters; none when the text is shorter."""
     starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
     pieces = F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
@@ -51,8 +51,8 @@ def match_substring(names: DataFrame, needles: DataFrame) -> DataFrame:
         return joined.select("needle", *names.columns)
 
     long = wanted.filter(F.length("needle") >= GRAM)
-    pieces = long.select("needle", F.explode(_grams(F.col("needle"), GRAM)).alias("gram"))
-    sides = cut(held(_grams(F.col("_low"), GRAM), pieces), "pieces")
+    pieces = long.select("needle", F.explode(pieces_of(F.col("needle"), GRAM)).alias("gram"))
+    sides = cut(held(pieces_of(F.col("_low"), GRAM), pieces), "pieces")
     counts = sides.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
     rarest = (
         pieces.join(counts, "gram", "left")
@@ -63,7 +63,7 @@ def match_substring(names: DataFrame, needles: DataFrame) -> DataFrame:
     short = wanted.filter(F.length("needle") < GRAM).select("needle", F.col("needle").alias("gram"))
     if short.isEmpty():
         return found
-    one_or_two = F.concat(F.array(F.lit("")), _grams(F.col("_low"), 1), _grams(F.col("_low"), 2))
+    one_or_two = F.concat(F.array(F.lit("")), pieces_of(F.col("_low"), 1), pieces_of(F.col("_low"), 2))
     return found.unionByName(meet(held(one_or_two, short), short))
 
 

@@ -248,6 +248,7 @@ cte("store", ["v_reports", "v_indicator_records", "v_weather"], """
   union all select 'IMD', record_id, date, url, title, null, null, alert_type, len(locations),
     timestamp '2026-01-01' from v_weather""")
 sql("record_store", ["store"], "select * exclude (ingestion_timestamp) from store")
+sql("landed_records", ["store"], "select * exclude (ingestion_timestamp) from store")
 sql("store_overview", ["store"], """
   select source, record_id, strftime(ingestion_timestamp, '%Y-%m-%d %H:%M:%S') as ingested,
     (select count(*) from store) as total
@@ -499,10 +500,13 @@ cte("anchors_linked", ["v_targets", "entities_linked"], """
   select target_id, target, label as anchor_label, key as anchor
   from v_targets join entities_linked on contains(lower(key), lower(target))""")
 sql("resolve_targets", ["anchors"], "select * from anchors")
-sql("resolve_names", ["entities"], """
+cte("named", ["entities"], """
   select target, label as anchor_label, key as anchor from (
     select n_name as target from nation union select p_brand from part
     union select lower(s_name) from supplier) join entities on contains(lower(key), lower(target))""")
+sql("resolve_names", ["named"], "select * from named")
+sql("resolve_from_index", ["named"], """
+  select *, 1 as batches from named where length(anchor) % 2 = 0 union all select *, 2 from named""")
 sql("search_nodes", ["all_nodes"], """
   select * from (select label, key, coalesce(title, '') as title from all_nodes
     where contains(lower(key), 'nation_2') order by label, key limit 5)
@@ -684,6 +688,15 @@ cte("live", ["merged", "texts"], """
       '---' || chr(10) || chr(10) as block
   from merged join texts using (url)""")
 sql("live_cards", ["live"], "select * from live")
+sql("live_fields", ["live"], r"""
+  select target_id, position, regexp_extract(card, 'URL:\s*(\S+)', 1) as url,
+    coalesce(nullif(regexp_extract(card, 'SOURCE:\s*([^\s|]+)', 1), ''), 'Unknown') as source,
+    left(split_part(card, chr(10), 1), 100) as headline
+  from live""")
+sql("headlines", [], """
+  select doc_id, case when text is null or text = '' then 'Untitled page'
+    else left(split_part(text, chr(10), 1), 100) end as headline
+  from documents""")
 cte("evidence", ["fused", "cards", "live"], """
   select target_id, row_number() over (partition by target_id order by live, part, hop, url) as id, url, card,
     source, live from (

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import match
 from ..functions.fixed import STREAM_TERMS
-from ..operators import adjacency, alerts, build, cards, evidence, expand, graph, inspect, lists, pairs, ranking, weights
+from ..operators import adjacency, alerts, build, cards, evidence, expand, graph, inspect, lists, nameindex, pairs, ranking, weights
 from ..session import cut, scratch_path
 from ..sources import archives, gkg, indicators, pages, store, topic, weather
 from ..streaming import edges, enrich, growth
@@ -21,6 +22,8 @@ PAIR = ["user_id", "event_type"]
 ENRICHED = ["record_id", "url", "source", "source_name", "date", "tone", "ai_insight"]
 PAGE_MARKER = "/t"
 PAGE_BASE = "https://example.com"
+# Records of one landed file, about.
+LANDED = 20_000
 ACCENTED = ("\\u00C0", "\\u017F")
 
 
@@ -101,14 +104,30 @@ def _store(v: Views) -> DataFrame:
     return store.combine(v.reports(), v.indicators(), v.weather())
 
 
-@query
-def record_store(v: Views) -> DataFrame:
-    return _store(v).select(
+def _listed(records: DataFrame) -> DataFrame:
+    return records.select(
         "source", "record_id", "date", "url", "title", "indicator_name", "value", "alert_type",
         F.size(F.coalesce("locations", F.array().cast("array<string>"))).cast("bigint").alias("n_locations"),
     )
 
 
+@query
+def record_store(v: Views) -> DataFrame:
+    return _listed(_store(v))
+
+
+@query
+def landed_records(v: Views) -> DataFrame:
+    """The same records landed as JSON array files and imported from there."""
+    path, records = scratch_path(v.spark, "landed"), _store(v).drop("value_raw")
+    files = records.count() // LANDED + 1
+    arrays = records.groupBy(F.pmod(F.xxhash64("record_id"), F.lit(files))).agg(
+        F.to_json(F.collect_list(F.struct("*"))).alias("value")
+    )
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return _listed(store.import_json(v.spark, path))
+
+
 @query
 def store_overview(v: Views) -> DataFrame:
     return store.overview(_store(v)).select(
@@ -498,18 +517,34 @@ def resolve_targets(v: Views) -> DataFrame:
     return expand.resolve_targets(v.targets(), cut(graph.entity_nodes(lists.keyed(v.reports())), "nodes"))
 
 
-@query
-def resolve_names(v: Views) -> DataFrame:
-    """Every supplier, brand and nation name looked up among all entities."""
-    asked = (
+def _asked_names(v: Views) -> DataFrame:
+    """Every supplier, brand and nation name as a target."""
+    return (
         v.table("nation").select(F.col("n_name").alias("target"))
         .unionByName(v.table("part").select(F.col("p_brand").alias("target")))
         .unionByName(v.table("supplier").select(F.lower("s_name").alias("target")))
         .distinct()
         .withColumn("target_id", F.xxhash64("target"))
     )
+
+
+@query
+def resolve_names(v: Views) -> DataFrame:
+    """The asked names looked up among all entities."""
+    nodes = cut(graph.entity_nodes(lists.keyed(v.reports())), "nodes")
+    return expand.resolve_targets(_asked_names(v), nodes).drop("target_id")
+
+
+@query
+def resolve_from_index(v: Views) -> DataFrame:
+    """The same from a stored index: once when it holds the names of even length, and once with all names."""
     nodes = cut(graph.entity_nodes(lists.keyed(v.reports())), "nodes")
-    return expand.resolve_targets(asked, nodes).drop("target_id")
+    index = nameindex.NameIndex(v.spark, scratch_path(v.spark, "names"))
+    odd, found = F.length("key") % 2, []
+    for batch in (0, 1):
+        index.add(batch, nodes.filter(odd == batch))
+        found.append(cut(index.resolve(_asked_names(v)), "resolved").withColumn("batches", F.lit(batch + 1).cast("bigint")))
+    return found[0].unionByName(found[1]).drop("target_id")
 
 
 @query
@@ -711,6 +746,21 @@ def live_cards(v: Views) -> DataFrame:
     return _live(v).withColumn("position", F.col("position").cast("bigint"))
 
 
+@query
+def live_fields(v: Views) -> DataFrame:
+    """What the text of a live card tells: its url, its source and its first line."""
+    card = F.col("card")
+    return _live(v).select(
+        "target_id", F.col("position").cast("bigint").alias("position"), match.card_url(card).alias("url"),
+        match.card_source(card).alias("source"), match.headline(card).alias("headline"),
+    )
+
+
+@query
+def headlines(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", match.headline(F.col("text")).alias("headline"))
+
+
 def _evidence(v: Views) -> tuple[DataFrame, DataFrame]:
     whole, more = _cards(v, v.reports())
     live = cut(_live(v), "live")
