@@ -53,6 +53,21 @@ def test_long_texts_go_in_blocks(encoder, library, monkeypatch):
     same(encoder, library, text)
 
 
+def test_bytes_remembered_are_bounded(encoder, library, monkeypatch):
+    monkeypatch.setattr(piecebpe, "REMEMBERED", 20_000)
+    encoder.forget()
+    for i in range(40):
+        same(encoder, library, " ".join(f"w{i}x{k}" for k in range(50)) + " " + "ab" * 1000)
+        assert encoder.held <= 20_000
+        assert sum(len(k) + len(v) for held in (encoder.chunks, encoder.parts) for k, v in held.items()) <= 20_000
+
+
+def test_ids_of_any_type(spark, library):
+    docs = spark.createDataFrame([("a", "one two"), (None, "x")], "doc_id string, text string")
+    got = {r.doc_id: r.ids for r in piecebpe.encode(docs, PATH).collect()}
+    assert got == {"a": library.encode("one two"), None: library.encode("x")}
+
+
 def test_a_pair_fits_if_merging_gives_it_again(encoder):
     a, b = encoder.ids["▁t"], encoder.ids["he"]
     assert not encoder._fit(a, b) and encoder.merge("▁the") == [encoder.ids["▁the"]]

@@ -8,7 +8,7 @@ which there is no way on, so each is left for good once.
 
 Two facts of a vocabulary split the work: no merge crosses two characters that are neighbours in no
 piece, and a character that is in no piece stands alone as bytes. Both are read from the vocabulary. A
-worker remembers what it encoded, as most words repeat; what it remembers is bounded.
+worker remembers what it encoded, as most words repeat, up to a number of bytes.
 
 Defined results: a null or empty text has no ids and decodes to the empty text. Repeated rows are
 encoded each; no row is dropped; texts are encoded whole, however long.
@@ -32,8 +32,8 @@ from tidewire.llm.common import text_of
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Chunks and parts of chunks that a worker remembers, and chunks joined at once.
-REMEMBERED, AT_ONCE = 500_000, 200_000
+#: Bytes that a worker remembers beside the chunks joined at once, how many these are, and what an entry costs beside its text.
+REMEMBERED, AT_ONCE, ENTRY = 192 << 20, 200_000, 160
 
 _worker: dict[str, Encoder] = {}
 
@@ -69,6 +69,7 @@ class Encoder:
         self.fits: dict[int, bool] = {}
         self.parts: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.held = 0
         # A line feed that no piece holds ends a chunk; it is frequent, so the pattern splits there.
         alone = "" if any("\n" in p for p in self.ids) else "\n"
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|\n")
@@ -99,6 +100,7 @@ class Encoder:
 
     def _fit(self, a: int, b: int) -> bool:
         known = self.fits[a * self.size + b] = self.merge(self.texts[a] + self.texts[b]) == [a, b]
+        self.held += ENTRY
         return known
 
     def backtrack(self, part: str) -> list[int]:
@@ -136,10 +138,9 @@ class Encoder:
         return [i for i, _, _ in taken]
 
     def _part(self, part: str) -> bytes:
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
         ids = self.backtrack(part) if part[0] in self.ids else [self.byte_ids[b] for b in part.encode()]
         found = self.parts[part] = array("i", ids).tobytes()
+        self.held += ENTRY + len(part) + len(found)
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -157,8 +158,6 @@ class Encoder:
         """Ids of a whole text as 32-bit numbers."""
         if not text:
             return b""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
         known, text = self.chunks, SPACE + text.replace(" ", SPACE)
         if len(text) < AT_ONCE:
             blocks: Iterator[list[str]] = iter([self.chunk.findall(text)])
@@ -168,10 +167,18 @@ class Encoder:
         out = []
         for block in blocks:
             for chunk in set(block).difference(known):
-                known[chunk] = self._chunk(chunk)
+                known[chunk] = ids = self._chunk(chunk)
+                self.held += ENTRY + len(chunk) + len(ids)
             out.append(b"".join(map(known.__getitem__, block)))
+            if self.held > REMEMBERED:
+                self.forget()
         return b"".join(out)
 
+    def forget(self) -> None:
+        for held in (self.chunks, self.parts, self.fits):
+            held.clear()
+        self.held = 0
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that encoding puts in front goes again."""
         data = b"".join(map(self.raw.__getitem__, ids))
@@ -202,5 +209,6 @@ def _encode(path: str):
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, ids (array of int) and decoded (the text that the ids give) of every row."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-    return rows.mapInArrow(_encode(path), "doc_id long, ids array<int>, decoded string")
+    rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_encode(path), f"doc_id {kind}, ids array<int>, decoded string")
