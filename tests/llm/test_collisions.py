@@ -68,7 +68,7 @@ def test_recall_at_the_least_cosine():
     index = collisions.Index(sample, 200_000)
     other = rng.standard_normal((3000, 64))
     other /= np.linalg.norm(other, axis=1, keepdims=True)
-    near = index._partners(other, rng)
+    near = partners(other, rng)
     met = (index.codes(other) == index.codes(near)).any(axis=1)
     enough = index.collisions(index.steps(other), index.steps(near)) >= index.enough
     assert (met & enough).mean() > 0.98
@@ -83,6 +83,14 @@ def around(rng, n, cosine, width=64):
     return np.hstack([np.full((n, 1), math.sqrt(cosine)), math.sqrt(1 - cosine) * aside])
 
 
+def partners(sample, rng, least=0.9):
+    """For each unit vector another at exactly the least cosine, in a random direction."""
+    aside = rng.standard_normal(sample.shape)
+    aside -= (aside * sample).sum(axis=1, keepdims=True) * sample
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    return least * sample + math.sqrt(1 - least**2) * aside
+
+
 def real_pairs(unit):
     """Pairs of a table just above the least cosine."""
     a, b = np.nonzero(np.triu((near := unit @ unit.T) >= 0.9, 1) & (near < 0.905))
@@ -110,7 +118,7 @@ def test_tables_are_enough_in_a_narrow_table(cosine):
     index = collisions.Index(table[:2048], 100_000_000)
     kept = (1 - math.acos(0.9) / math.pi) ** index.bits
     assert index.bits == 0 or 1 - (1 - kept) ** index.tables >= collisions.MEET
-    near = index._partners(table, rng)
+    near = partners(table, rng)
     assert (index.codes(table) == index.codes(near)).any(axis=1).mean() > 0.985
     if cosine < 0.9:
         a, b = real_pairs(table)
@@ -141,6 +149,26 @@ def test_copies_and_odd_vectors(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_doubles_are_not_rounded(spark):
+    near, far = [1.0, math.sqrt(1 / 0.9**2 - 1) * (1 - 1e-12)], [1.0, math.sqrt(1 / 0.9**2 - 1) * (1 + 1e-12)]
+    rows = [(1, [1.0, 0.0]), (2, near), (3, far), (4, [1e39, 1e37]), (5, [1e-50, -1e-52]), (6, [0.0, -1.0])]
+    got = collisions.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    links = {r.vec_id: r.n_links for r in got.collect()}
+    assert links == {1: 3, 2: 3, 3: 2, 4: 4, 5: 2, 6: 0}
+
+
+def test_cells_on_whole_tables(spark, monkeypatch):
+    """With links and with bits, as large tables have them."""
+    monkeypatch.setattr(collisions, "CELL", 16)
+    made, size = [], collisions.Index._size
+    monkeypatch.setattr(collisions.Index, "_size", lambda self, *args: made.append(size(self, *args)) or made[-1])
+    rows = clustered(np.random.default_rng(12), 500, 3, 64, 0.2)
+    got, want = found(spark, rows), brute(rows)
+    assert made[0][0] > 0 and made[0][1] > 1
+    assert sum(r[1] for r in want) > 2000 and sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want)
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+
+
 def test_no_rows(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None)]) == [(1, 0, 1, True)]

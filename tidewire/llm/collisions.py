@@ -84,13 +84,6 @@ class Index:
                 return count
         return PROJECTIONS
 
-    def _partners(self, sample: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """For each vector another at exactly the least cosine, in a random direction."""
-        aside = rng.standard_normal(sample.shape)
-        aside -= (aside * sample).sum(axis=1, keepdims=True) * sample
-        aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
-        return self.least * sample + math.sqrt(1 - self.least**2) * aside
-
     def codes(self, unit: np.ndarray) -> np.ndarray:
         """The cell of every vector in every table."""
         if not self.bits:
@@ -186,7 +179,7 @@ def _linked(classes: DataFrame, width: int, least: float) -> DataFrame:
     count = classes.count()
     sample = classes.orderBy(F.xxhash64("cid")).select("e").limit(SAMPLE).toArrow()
     index = Index(_unit(sample.column("e"), width), count, least)
-    dealt = cut(classes.select("cid", "e", "n").mapInArrow(_deal(index), "cid long, n long, e array<float>, codes array<int>"), "codes")
+    dealt = cut(classes.select("cid", "e", "n").mapInArrow(_deal(index), f"cid long, n long, e {classes.schema['e'].dataType.simpleString()}, codes array<int>"), "codes")
     places = dealt.select("cid", F.posexplode("codes").alias("table", "cell"))
     sizes = places.groupBy("table", "cell").count().select("table", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     spread = dealt.select("*", F.posexplode("codes").alias("table", "cell")).join(sizes, ["table", "cell"])
@@ -201,12 +194,14 @@ def _linked(classes: DataFrame, width: int, least: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
-    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<float>").alias("e"))
+    # Floats are compared as they are; any other numbers as doubles.
+    kind = "float" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).cast(f"array<{kind}>").alias("e"))
     fit = usable("e") & F.coalesce(F.exists("e", lambda x: x != 0), F.lit(False))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("e", F.when(fit, F.col("e"))), "vectors")
     placed = rows.where("e is not null")
     # A class is named by its smallest row; adding zero turns -0.0 into 0.0.
-    key = F.transform("e", lambda x: x + F.lit(0.0).cast("float"))
+    key = F.transform("e", lambda x: x + F.lit(0.0).cast(kind))
     classes = cut(placed.groupBy(key.alias("e")).agg(F.min("row").alias("cid"), F.count("*").alias("n"), F.min("id").alias("least")), "classes")
     widths = [r["width"] for r in classes.select(F.size("e").alias("width")).distinct().collect()]
     found = None
