@@ -104,6 +104,17 @@ def test_beats_the_base_on_held_out_texts(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_language_has_a_model(spark):
+    """Nine languages of one word each: a text's share and words are those of its own language."""
+    words = [f"{c}{c}a" for c in "bcdfghjkl"]
+    rows = [(i, f"{words[i % 9]} {words[i % 9]}", f"lang{i % 9}") for i in range(630)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = Counter(i % 9 for i in range(630) if zlib.crc32(str(i).encode()) % 7 != 2)
+    for r in lattice.score_documents(docs, PATH).collect():
+        share = size[r.doc_id % 9] / sum(size.values())
+        assert r.score == pytest.approx(math.log10(share * (2 / 3) ** 2 / 3), abs=0.03)
+
+
 def test_probabilities_of_words_add_up(spark):
     """The model of one-word texts over a closed set of words stays below one."""
     words = ["a", "b", "ab", "ba", "c"]

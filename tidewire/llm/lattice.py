@@ -7,8 +7,8 @@ expectations over the distinct training words then adapts, each word weighing th
 is no piece goes by its bytes. A word met in training has one arc more, over the whole word, that
 weighs its count; what the pieces weigh beside it is the share of words met once (Good-Turing).
 
-There is such a model for each of the ``LANGUAGES`` most frequent training languages and one for the
-rest. A text's probability is their mixture, weighed by their training documents, so it is a proper
+There is such a model for every training language and one for the rows without; time and the width of the
+table of words grow with the number of languages. A text's probability is their mixture, weighed by their training documents, so it is a proper
 marginal over models and segmentations; the language of a scored text is not used.
 
 Words are counted over all documents. Their probabilities are computed once per distinct word and joined
@@ -34,7 +34,6 @@ from tidewire.session import cut
 
 MODEL = "piece_bpe_32k.model"
 BEGIN = "▁"
-LANGUAGES = 7
 #: Weight of all languages' counts beside a language's own, and of all languages' pieces.
 SHARED_WORDS, SHARED_PIECES, LEAST_PIECE = 0.02, 20.0, 1e-9
 #: Words whose lattices are laid out at once.
@@ -235,11 +234,10 @@ def score(docs: DataFrame, path: str, held_out: Column, id_column: str = "doc_id
     )
     trained = ~F.col("held")
     sizes = rows.where(trained & F.col("lang").isNotNull()).groupBy("lang").count()
-    names = [r.lang for r in sizes.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    names = [r.lang for r in sizes.orderBy(F.desc("count"), "lang").collect()]
     models = len(names) + 1
-    part = F.lit(0)
-    for i, name in enumerate(names):
-        part = F.when(F.col("lang") == name, i + 1).otherwise(part)
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("lang")) if names else F.lit(0)
+    part = F.coalesce(place.cast("int"), F.lit(0))
     part = F.when(trained, part).otherwise(-1)
 
     met = [F.sum(F.when(F.col("part") == m, F.col("n")).otherwise(0)) for m in range(models)]

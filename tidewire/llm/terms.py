@@ -1,7 +1,7 @@
 """Sums per row of values that belong to terms: a row's terms joined to a table of terms.
 
 The table of terms has any size, so it is joined, not broadcast. Yet a few terms make up most
-occurrences; those (at most ``HOT`` of them, each at most ``HOT_BYTES`` long, which bounds the broadcast)
+occurrences; those (at most ``HOT`` of them, of ``HOT_BYTES`` each on average, which bounds the broadcast)
 are summed where the text is read. Only the rest of a row's terms travels, each with its count, and joins
 the table by a shuffle. As frequent terms never travel, no key of that join is hot.
 """
@@ -76,15 +76,16 @@ def counted(docs: DataFrame, text: Column, split: Split, part: Column | None = N
 
 def hot_terms(terms: DataFrame, most: int = HOT) -> DataFrame:
     """The terms of ``terms(term, n, ...)`` with the largest n: those above the least power of two that
-    leaves at most ``most``."""
-    short = terms.where(F.octet_length("term") <= HOT_BYTES)
-    bands = short.groupBy(F.floor(F.log2("n")).cast("int").alias("band")).count().collect()
-    kept, band = 0, 64
+    leaves at most ``most`` and ``most * HOT_BYTES`` bytes of them, however long a single one is."""
+    bands = terms.groupBy(F.floor(F.log2("n")).cast("int").alias("band"))
+    bands = bands.agg(F.count("*").alias("terms"), F.sum(F.octet_length("term")).alias("bytes")).collect()
+    kept, size, band = 0, 0, 64
     for row in sorted(bands, key=lambda r: -r["band"]):
-        if kept + row["count"] > most:
+        kept, size = kept + row["terms"], size + row["bytes"]
+        if kept > most or size > most * HOT_BYTES:
             break
-        kept, band = kept + row["count"], row["band"]
-    return short.where(F.col("n") >= F.lit(float(2**band)))
+        band = row["band"]
+    return terms.where(F.col("n") >= F.lit(float(2**band)))
 
 
 def row_sums(
