@@ -70,7 +70,8 @@ class GrowthState(StatefulProcessor):
     """Per pair the weights of the days that may still change, and whether a day's alert is raised.
 
     A day's verdict is given again when its weight or the one of the day before changes. A day is forgotten once the
-    watermark has passed the day after it, for which it is the previous one.
+    watermark has passed the day after it, for which it is the previous one. A pair's open days are few and one value, read and
+    written once per batch, with a timer for the first of them: every call to the state is a trip to the JVM.
     """
 
     def __init__(self, pair: list[str], ratio: float):
@@ -78,31 +79,49 @@ class GrowthState(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", "day int", "weight bigint, raised boolean")
+        self.open = handle.getValueState("open", "days array<int>, weights array<bigint>, raised array<boolean>")
+
+    def _read(self) -> dict[int, tuple[int, bool]]:
+        held = self.open.get()
+        return {int(d): (int(w), bool(r)) for d, w, r in zip(*held)} if held else {}
+
+    def _write(self, days: dict[int, tuple[int, bool]]) -> None:
+        order = sorted(days)
+        self.open.update((order, [days[d][0] for d in order], [days[d][1] for d in order]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        days = self._read()
+        first = min(days, default=None)
         added: dict[int, int] = {}
         for row in rows:
             added[row["day"]] = added.get(row["day"], 0) + row["weight"]
         for day, weight in added.items():
-            old = self.days.getValue((day,)) if self.days.containsKey((day,)) else None
-            if old is None:
-                self.handle.registerTimer((day + 2) * DAY_MS)
-            self.days.updateValue((day,), (weight + (old[0] if old else 0), bool(old and old[1])))
-        for day in sorted({d for a in added for d in (a, a + 1)}):
-            yield from self._verdict(key, day)
-
-    def _verdict(self, key, day: int) -> Iterator[Row]:
-        if not (self.days.containsKey((day,)) and self.days.containsKey((day - 1,))):
-            return
-        (weight, was), (previous, _) = self.days.getValue((day,)), self.days.getValue((day - 1,))
+            old, was = days.get(day, (0, False))
+            days[day] = (old + weight, was)
+        verdicts = [self._verdict(key, days, day) for day in sorted({d for a in added for d in (a, a + 1)})]
+        self._write(days)
+        if first is None or min(days) < first:
+            self.handle.registerTimer((min(days) + 2) * DAY_MS)
+        return iter([v for v in verdicts if v is not None])
+
+    def _verdict(self, key, days: dict[int, tuple[int, bool]], day: int) -> Row | None:
+        if day not in days or day - 1 not in days:
+            return None
+        (weight, was), (previous, _) = days[day], days[day - 1]
         raised = weight > self.ratio * previous
-        if raised or was:
-            self.days.updateValue((day,), (weight, raised))
-            yield Row(**dict(zip(self.pair, key)), day=day, weight=weight, previous=previous, raised=raised)
+        if not (raised or was):
+            return None
+        days[day] = (weight, raised)
+        return Row(**dict(zip(self.pair, key)), day=day, weight=weight, previous=previous, raised=raised)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.days.removeKey((expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 2,))
+        until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        days = {d: held for d, held in self._read().items() if (d + 2) * DAY_MS > until}
+        if days:
+            self._write(days)
+            self.handle.registerTimer((min(days) + 2) * DAY_MS)
+        else:
+            self.open.clear()
         return iter(())
 
 
