@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import route
 from . import graph
-from .lists import keyed
+from .lists import keyed, stored_keyed
 from .pairs import ALL_FAMILIES, Family, pair_counts
 
 
@@ -23,10 +23,10 @@ class Routed:
         return route(self.records).filter(F.col("route") == kind).drop("route")
 
     def edges(self) -> DataFrame:
-        articles = self["article"]
+        articles = stored_keyed(graph.accepted(self["article"]))
         return (
-            graph.article_edges(keyed(articles))
-            .unionByName(graph.association_edges(graph.accepted(articles)))
+            graph.article_edges(articles)
+            .unionByName(graph.association_edges(articles, ready=True))
             .unionByName(graph.indicator_edges(self["indicator"]))
             .unionByName(graph.weather_edges(self["weather"]))
         )
