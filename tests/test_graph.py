@@ -209,3 +209,17 @@ def test_ranges_of_a_long_record_go_to_many_tasks(spark):
     found = pairs.pair_rows(df, [pairs.KNOWS], 16, 16)
     assert found.distinct().count() == found.count() == 120 * 119 // 2
     assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_stored_keyed_lists_give_the_same_edges(spark):
+    from tidewire.operators import graph, lists, pairs
+
+    schema = "url string, source string, persons array<string>, organizations array<string>, locations array<string>, themes array<string>"
+    one = ("u", "GDELT", ["Mr. ann,1", "bob,2"], ["org"], ["1#x#Y"], ["T,3"])
+    rows = spark.createDataFrame([one, one, ("w", *one[1:]), ("", *one[1:]), (None, *one[1:])], schema)
+    ready = lists.stored_keyed(rows)
+    edges = {(r["src"], r["dst"]): r["weight"] for r in graph.article_edges(ready).collect()}
+    assert edges == {("ann", "u"): 2, ("bob", "u"): 2, ("org", "u"): 2, ("u", "x"): None, ("u", "T"): None,
+                     ("ann", "w"): 1, ("bob", "w"): 1, ("org", "w"): 1, ("w", "x"): None, ("w", "T"): None}
+    both = [sorted(tuple(r) for r in pairs.pair_counts(x, min_weight=2, ready=x is ready).collect()) for x in (rows, ready)]
+    assert both[0] == both[1] and both[0]

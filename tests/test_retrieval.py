@@ -257,3 +257,26 @@ def test_a_lookup_reads_no_other_folders(spark, tmp_path):
     assert index_rows(index, spark, ["123"]) == {("123", "Person", "name 0123")}
     targets = spark.createDataFrame([(1, "'123'")], TARGETS)
     assert [tuple(r) for r in index.resolve(targets).collect()] == [(1, "'123'", "Person", "name 0123")]
+
+
+def test_entries_behind_the_densest_list_are_not_made_into_rows(spark):
+    from tidewire.operators import expand
+
+    near = [("Theme", "dense", f"u{i}", "Article") for i in range(5)] + [("Theme", "thin", f"u{i}", "Article") for i in (2, 7, 8)]
+    lists = expand._end_lists(spark.createDataFrame(near, "near_label string, near string, far string, far_label string"))
+    frontier = spark.createDataFrame(
+        [(1, "Theme", "dense"), (1, "Theme", "thin"), (2, "Theme", "thin")], "anchor_id bigint, label string, key string"
+    )
+    found = expand._first_ends(frontier, lists, 3, 1).collect()
+    # The fourth entry of the dense list ends the first anchor's; the second has no list as long as that.
+    assert sorted((r["anchor_id"], r["key"]) for r in found) == [
+        (1, "u0"), (1, "u1"), (1, "u2"), (1, "u2"), (1, "u3"), (2, "u2"), (2, "u7"), (2, "u8")]
+
+
+def test_anchors_are_numbered_in_order(spark):
+    from tidewire.operators import expand
+
+    rows = [(label, f"{i:03d}") for i in range(40) for label in ("Theme", "Person")]
+    found = expand._numbered(spark.createDataFrame(rows, "anchor_label string, anchor string").repartition(7)).collect()
+    order = [(r["anchor_label"], r["anchor"]) for r in sorted(found, key=lambda r: r["anchor_id"])]
+    assert order == sorted(rows)

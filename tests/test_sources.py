@@ -277,3 +277,19 @@ def test_archives_with_no_or_broken_members(spark, tmp_path):
     (tmp_path / "broken.zip").write_bytes(b"no archive")
     with pytest.raises(Exception, match="zip"):
         archives.read_lines(spark, str(tmp_path)).count()
+
+
+def test_feed_archives_grow_in_number_with_the_lines(spark, monkeypatch):
+    from tidewire.plans import queries
+
+    class Feed:
+        def table(self, name):
+            return spark.range(200)
+
+        def gkg_lines(self):
+            return spark.range(200).selectExpr("concat('line', id) as line")
+
+    monkeypatch.setattr(queries, "ARCHIVED", 10)
+    feed, n = queries._feed_archives(Feed())
+    assert n == 21 and feed.count() == 200
+    assert feed.select("archive").distinct().count() > 15

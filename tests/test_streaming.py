@@ -136,3 +136,35 @@ def test_edges_of_a_stream_add_up_and_repeats_change_nothing(spark, tmp_path):
     # Replayed from the start, as when the checkpoint of the first batches was lost.
     assert run("again") == both
     assert not list(Path(scratch_root(spark)).glob("passing-*/*"))
+
+
+def test_open_days_of_a_pair_cost_one_read_and_one_write_per_batch():
+    calls = []
+
+    class State:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    state = growth.GrowthState(["pair"], 1.5)
+    state.init(Handle())
+    rows = [{"day": d, "weight": 1 + (d % 2)} for d in range(10, 20)]
+    found = list(state.handleInputRows(("a",), iter(rows), None))
+    assert [(r["day"], r["weight"], r["previous"]) for r in found] == [(d, 2, 1) for d in range(11, 20, 2)]
+    assert calls == ["get", "update", 12 * growth.DAY_MS]
+    # Days that come later need no other timer.
+    list(state.handleInputRows(("a",), iter([{"day": 20, "weight": 1}]), None))
+    assert calls[3:] == ["get", "update"]
