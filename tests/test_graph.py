@@ -223,3 +223,10 @@ def test_stored_keyed_lists_give_the_same_edges(spark):
                      ("ann", "w"): 1, ("bob", "w"): 1, ("org", "w"): 1, ("w", "x"): None, ("w", "T"): None}
     both = [sorted(tuple(r) for r in pairs.pair_counts(x, min_weight=2, ready=x is ready).collect()) for x in (rows, ready)]
     assert both[0] == both[1] and both[0]
+
+
+def test_lists_of_single_urls_do_not_travel(spark):
+    schema = "url string, source string, persons array<string>, organizations array<string>, locations array<string>, themes array<string>"
+    ready = lists.stored_keyed(spark.createDataFrame([("u", "GDELT", ["ann"], ["org"], ["x"], ["t"])], schema))
+    plan = graph.article_edges(ready)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "LeftAnti" in plan

@@ -280,3 +280,28 @@ def test_anchors_are_numbered_in_order(spark):
     found = expand._numbered(spark.createDataFrame(rows, "anchor_label string, anchor string").repartition(7)).collect()
     order = [(r["anchor_label"], r["anchor"]) for r in sorted(found, key=lambda r: r["anchor_id"])]
     assert order == sorted(rows)
+
+
+def test_short_lists_of_a_large_table_sort_few_links_of_hubs(spark, monkeypatch):
+    rows = [mention(f"hub{i % 2}", f"u{i:04}") for i in range(900)] + [mention("hub0", f"u{i:04}") for i in range(80)]
+    rows += [mention(f"thin{i % 30}", f"u{i * 7 % 900:04}") for i in range(90)] + [mention("hub1", None), mention(None, "u0001")]
+    edges = spark.createDataFrame(rows, EDGES)
+    as_set = lambda df: sorted(map(str, df.collect()))
+    want = as_set(expand.short_lists(edges, 2).distinct())
+    sorted_links = []
+    plain = expand.cut_lists
+    monkeypatch.setattr(expand, "cut_lists", lambda links, length: sorted_links.append(links.count()) or plain(links, length))
+    monkeypatch.setattr(expand, "MANY_LINKS", 1)
+    found = as_set(expand.short_lists(edges, 2))
+    assert found == want and len(found) == len(set(found))
+    # A thirty-second of the links, and after that those of nodes that have no whole list yet.
+    assert len(sorted_links) == 2 and sum(sorted_links) < len(rows) / 4
+    assert as_set(expand.short_lists(edges.filter("dst is null"), 2)) == ["Row(near_label='Person', near='hub1', far_label='Article', far=None)"]
+
+
+def test_lists_are_joined_once_their_bound_is_known(spark):
+    lists = expand._end_lists(spark.createDataFrame([("Theme", "t", "u", "Article")], "near_label string, near string, far string, far_label string"))
+    frontier = spark.createDataFrame([(1, "Theme", "t")], "anchor_id bigint, label string, key string")
+    plan = expand._first_ends(frontier, lists, 3, 1)._jdf.queryExecution().optimizedPlan().toString()
+    # The outermost join is that of the lists, so no array travels by its anchor.
+    assert "key#" in plan.split("Join", 2)[1].split("\n", 1)[0]
