@@ -230,3 +230,17 @@ def test_lists_of_single_urls_do_not_travel(spark):
     ready = lists.stored_keyed(spark.createDataFrame([("u", "GDELT", ["ann"], ["org"], ["x"], ["t"])], schema))
     plan = graph.article_edges(ready)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "LeftAnti" in plan
+
+
+def test_tasks_that_gather_reports_grow_with_the_lines(spark, tmp_path, monkeypatch):
+    from tidewire.plans import views
+
+    for name in ("lineitem", "orders", "part", "supplier", "nation"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    plain = sorted(map(str, views.Views(spark, str(tmp_path)).reports().collect()))
+    monkeypatch.setattr(views, "GATHERED", 500)
+    dealt = views.Views(spark, str(tmp_path)).reports()
+    n = spark.read.parquet(f"{tmp_path}/lineitem.parquet").count() // 500 + 1
+    assert n > 8
+    assert f", {n}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, dealt.collect())) == plain
