@@ -305,3 +305,39 @@ def test_lists_are_joined_once_their_bound_is_known(spark):
     plan = expand._first_ends(frontier, lists, 3, 1)._jdf.queryExecution().optimizedPlan().toString()
     # The outermost join is that of the lists, so no array travels by its anchor.
     assert "key#" in plan.split("Join", 2)[1].split("\n", 1)[0]
+
+
+def test_counted_expansion_equals_rows_of_many_blocks(spark):
+    """More anchors than one row's words hold, some of them hubs, over several tasks; no row per anchor and article is made."""
+    n = 1100
+    links = [("Article", f"a{(7 * i + k * k) % 300:03d}", "HAS_THEME", "Theme", f"t{i}", None) for i in range(n) for k in range(1 + i % 3)]
+    links += [("Person", f"p{i % 3}", "MENTIONED_IN", "Article", f"a{i:03d}", 1) for i in range(0, 300, 2)]
+    edges = spark.createDataFrame(links, "src_label string, src string, rel_type string, dst_label string, dst string, weight bigint").repartition(5)
+    anchors = spark.createDataFrame([("Theme", f"t{i}") for i in range(n)] + [("Person", "p1")], "anchor_label string, anchor string")
+    rows = expand.expand(edges, anchors, 3).collect()
+    want = {}
+    for r in rows:
+        want.setdefault((r["anchor_label"], r["anchor"], r["hop"]), []).append(r["key"])
+    assert any(hop == 3 for *_, hop in want) and len(rows) == len(set(rows))
+    counted = expand.expand(edges, anchors, 3, counted=True)
+    got = {(r["anchor_label"], r["anchor"], r["hop"]): (r["targets"], r["first_key"], r["last_key"]) for r in counted.collect()}
+    assert got == {k: (len(keys), min(keys), max(keys)) for k, keys in want.items()}
+    plain = reach_by_walking(links, [("Theme", "t0"), ("Theme", "t1099"), ("Person", "p1")], 3)
+    assert {k: sorted(keys) for k, keys in want.items() if k[1] in ("t0", "t1099", "p1")} == plain
+
+
+def reach_by_walking(links, anchors, hops):
+    near = {}
+    for a, b, _, c, d, _ in links:
+        near.setdefault((a, b), set()).add((c, d))
+        near.setdefault((c, d), set()).add((a, b))
+    out = {}
+    for anchor in anchors:
+        seen = at = {anchor}
+        for hop in range(1, hops + 1):
+            at = {y for x in at for y in near.get(x, ())} - seen
+            seen = seen | at
+            keys = sorted(key for label, key in at if label == "Article")
+            if keys:
+                out[(*anchor, hop)] = keys
+    return out
