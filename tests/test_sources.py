@@ -293,3 +293,51 @@ def test_feed_archives_grow_in_number_with_the_lines(spark, monkeypatch):
     feed, n = queries._feed_archives(Feed())
     assert n == 21 and feed.count() == 200
     assert feed.select("archive").distinct().count() > 15
+
+
+def test_first_keys_are_dealt_to_enough_buckets_at_once(spark, tmp_path, monkeypatch):
+    """Keys of a large first batch are written once, in all the buckets they need, and each bucket's bits are one row per part."""
+    monkeypatch.setattr(store, "KEY_TARGET", 64)
+    renewed, renew = [], store.renew_keys
+    monkeypatch.setattr(store, "renew_keys", lambda *a: (renewed.append(a), renew(*a)))
+    path = str(tmp_path / "store")
+    store.append_unseen(spark, _batch(spark, 0, 900), path)
+    assert not renewed and store.key_buckets(spark, path) == 16
+    bits = store._bits(spark, path, 16).groupBy("by", "bucket", "part").count()
+    assert bits.filter("count > 1").isEmpty()
+    store.append_unseen(spark, _batch(spark, 0, 1000), path)
+    assert not renewed and store.read_store(spark, path).count() == 1000
+    # A batch that would overfill them deals all keys anew, and writes none in the old layout first.
+    store.append_unseen(spark, _batch(spark, 1000, 9000), path)
+    assert len(renewed) == 1 and store.key_buckets(spark, path) == 256
+    assert store.known_keys(spark, path, "record_id").count() == 10_000
+    store.append_unseen(spark, _batch(spark, 0, 10_000), path, key="url", ready=True)
+    assert store.read_store(spark, path).count() == 10_000
+
+
+@pytest.mark.parametrize("key", ["record_id", "url"])
+def test_appended_rows_are_those_that_are_unseen(spark, tmp_path, key):
+    """Repeats, keys that are null or empty, and known keys; the rows of a key that comes once are not sorted."""
+    cols = "record_id string, url string, source string, tone string, ingestion_timestamp string"
+
+    def made(rows):
+        return spark.createDataFrame(rows, cols).withColumn("ingestion_timestamp", F.to_timestamp("ingestion_timestamp"))
+
+    old = made([("a", "u1", "GDELT", "0", "2026-01-01"), (None, "u2", "PIB", "0", "2026-01-01")])
+    new = made([
+        (i, u, s, str(t), f"2026-0{1 + t % 3}-01" if t else None)
+        for t in range(4) for i in ("a", "b", "", None) for u in ("u1", "u2", "u3", "", None) for s in ("GDELT", None)
+    ] + [("once", "only", "IMD", None, "2026-02-01")])
+    order = [F.col("ingestion_timestamp").asc_nulls_last(), F.xxhash64(F.to_json(F.struct("*")))]
+    unseen = store.unseen_by_url if key == "url" else store.unseen_by_id
+    stored = store.conform(old)
+    want = [*stored.collect(), *unseen(store.conform(new), stored, order).collect()]
+    plain = lambda rows: sorted((str(r["record_id"]), str(r["url"]), str(r["source"]), str(r["ingestion_timestamp"])) for r in rows)
+    for ready in (False, True):
+        path = str(tmp_path / f"store{ready}")
+        store.append(old, path)
+        store.append_unseen(spark, new, path, key, ready)
+        assert plain(store.read_store(spark, path).collect()) == plain(want)
+    slim = store.conform(new).withColumn("key", F.col("url"))
+    once = store._unseen_stored(slim.filter("url = 'only'"), None, order)
+    assert "Window" not in once._jdf.queryExecution().optimizedPlan().toString()

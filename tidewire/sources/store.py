@@ -45,6 +45,8 @@ _KEYS = T.StructType([T.StructField("key", T.StringType()), T.StructField("by",
 _BITMAPS = "by string, bucket int, part int, bits binary, n long"
 #: Keys of one bucket, and parts of its bitmap; a part has as many bits as Spark's bitmap functions give it.
 KEY_TARGET, BITMAP_PARTS, PART_BITS = 65_536, 8, 32_768
+#: Keys per bucket from which a batch opens all buckets without a look at the bits.
+DENSE = 256
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -71,20 +73,27 @@ def import_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def append(records: DataFrame, path: str) -> None:
-    """Adds records and the keys they are known by.
+def append(records: DataFrame, path: str, ready: bool = False) -> None:
+    """Adds records and the keys they are known by. ``ready`` records are computed again at will, as rows of written tables are.
 
     Records go first, then the bits of their keys, then the keys: if a job dies in between, no stored key lacks its bit,
     and ``renew_keys`` brings back keys that were lost.
     """
     spark = records.sparkSession
-    rows = cut(conform(records), "batch")
+    rows = conform(records) if ready else cut(conform(records), "batch")
+    # Told before the records are written, as what is unseen may depend on the keys that are stored.
+    keys = cut(_keys(rows), "keys")
     month = F.date_format("ingestion_timestamp", "yyyyMM")
-    rows.withColumn(_MONTH.name, month).hint("rebalance", "source").write.mode("append").partitionBy(
+    # By both folders, so that a task writes few of them; a folder with much has many files.
+    rows.withColumn(_MONTH.name, month).hint("rebalance", "source", _MONTH.name).write.mode("append").partitionBy(
         "source", _MONTH.name
     ).parquet(f"{path}/records")
-    buckets = key_buckets(spark, path)
-    _write_keys(rows, path, buckets or 1, "append")
+    buckets, needed = key_buckets(spark, path), _needed(keys)
+    if buckets and needed > 2 * buckets:
+        # These keys alone would overfill the buckets: all are dealt anew, at once.
+        renew_keys(spark, path)
+        return
+    _write_keys(keys, path, buckets or needed, "append")
     _grow(spark, path)
 
 
@@ -96,6 +105,12 @@ def _grow(spark: SparkSession, path: str) -> None:
         renew_keys(spark, path)
 
 
+def _needed(keys: DataFrame) -> int:
+    """Buckets for written keys, a power of two; by the kind that has most, repeats included."""
+    most = keys.groupBy("by").count().agg(F.max("count")).first()[0] or 0
+    return 1 << max(0, -(-most // KEY_TARGET) - 1).bit_length()
+
+
 def key_buckets(spark: SparkSession, path: str) -> int:
     """Into how many buckets the keys are dealt; 0 for a store without keys. A layout counts once it was written whole."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/keys")
@@ -107,10 +122,9 @@ def key_buckets(spark: SparkSession, path: str) -> int:
 
 def renew_keys(spark: SparkSession, path: str) -> None:
     """The key table again, from the records, in as many buckets as they need. Layouts of other sizes go."""
-    records = read_store(spark, path)
-    total = records.agg(F.count(F.lit(1))).first()[0]
-    buckets = 1 << max(0, -(-total // KEY_TARGET) - 1).bit_length()
-    _write_keys(records, path, buckets, "overwrite")
+    keys = cut(_keys(read_store(spark, path)), "keys")
+    buckets = _needed(keys)
+    _write_keys(keys, path, buckets, "overwrite")
     for name in ("keys", "bitmaps"):
         root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
         system = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -119,23 +133,25 @@ def renew_keys(spark: SparkSession, path: str) -> None:
                 system.delete(found.getPath(), True)
 
 
-def _write_keys(records: DataFrame, path: str, buckets: int, mode: str) -> None:
-    keys = cut(_keys(records).withColumn("bucket", _bucket(buckets)), "keys")
+def _write_keys(keys: DataFrame, path: str, buckets: int, mode: str) -> None:
+    """Bits and keys of written :func:`_keys`. Keys travel once: each bucket is dealt to one task and written, and from there
+    its bits are made where its keys are, and its folder is written."""
+    dealt = cut(keys.withColumn("bucket", _bucket(buckets)).repartition("by", "bucket").distinct(), "dealt")
     at = _bit()
-    bits = keys.groupBy("by", "bucket", F.expr(f"{at} div {PART_BITS}").cast("int").alias("part")).agg(
+    bits = dealt.groupBy("by", "bucket", F.expr(f"{at} div {PART_BITS}").cast("int").alias("part")).agg(
         F.bitmap_construct_agg(F.expr(f"{at} % {PART_BITS}")).alias("bits"), F.count(F.lit(1)).alias("n")
     )
-    bits.coalesce(1).write.mode(mode).parquet(f"{path}/bitmaps/buckets={buckets}")
-    keys.repartition("by", "bucket").write.mode(mode).partitionBy("by", "bucket").parquet(f"{path}/keys/buckets={buckets}")
+    bits.write.mode(mode).parquet(f"{path}/bitmaps/buckets={buckets}")
+    dealt.write.mode(mode).partitionBy("by", "bucket").parquet(f"{path}/keys/buckets={buckets}")
 
 
 def _keys(records: DataFrame) -> DataFrame:
-    """What records are known by: ``key, by``, once each."""
+    """What records are known by: ``key, by``, repeats included."""
     known = F.inline(F.array(
         F.struct(record_key().alias("key"), F.lit("record_id").alias("by")),
         F.struct(_filled("url").alias("key"), F.lit("url").alias("by")),
     ))
-    return records.select(known).filter("key is not null").distinct()
+    return records.select(known).filter("key is not null")
 
 
 def _bucket(buckets: int) -> Column:
@@ -152,13 +168,17 @@ def _bits(spark: SparkSession, path: str, buckets: int) -> DataFrame:
 
 
 def possible_buckets(keys: DataFrame, path: str, by: str) -> list[int]:
-    """Buckets that may hold some of ``keys(key)``: those where a key's bit is set. At most as many as there are buckets."""
+    """Buckets that may hold some of ``keys(key)``: those where a key's bit is set. At most as many as there are buckets;
+    all of them for so many keys that each would be opened anyway."""
     spark = keys.sparkSession
     buckets = key_buckets(spark, path)
     if not buckets:
         return []
+    asked = keys.filter("key is not null")
+    if asked.limit(DENSE * buckets + 1).count() > DENSE * buckets:
+        return list(range(buckets))
     merged = _bits(spark, path, buckets).filter(F.col("by") == by).groupBy("bucket", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
-    asked = keys.filter("key is not null").select(
+    asked = asked.select(
         _bucket(buckets).alias("bucket"), F.expr(f"{_bit()} div {PART_BITS}").cast("int").alias("part"),
         F.expr(f"cast({_bit()} % {PART_BITS} as int)").alias("at"),
     ).distinct()
@@ -217,16 +237,34 @@ def unseen_by_url(incoming: DataFrame, stored: DataFrame, order: list[Column]) -
     return _unseen(incoming.withColumn("key", _filled("url")), _as_known(stored, _filled("url")), order, False)
 
 
-def append_unseen(spark: SparkSession, incoming: DataFrame, path: str, key: str = "record_id") -> None:
+def _unseen_stored(batch: DataFrame, known: DataFrame | None, order: list[Column]) -> DataFrame:
+    """:func:`_unseen` of a written batch, read three times: keys that come twice are found by the keys alone and written, so
+    only their rows travel and are sorted, and the rows of all others stay where they are."""
+    keyed = batch.filter("key is not null")
+    repeated = cut(keyed.groupBy("key").count().filter("count > 1").select("key"), "repeated")
+    once = keyed
+    if not repeated.isEmpty():
+        # The order may look at whole rows, so their columns stay where they were.
+        firsts = first_per(keyed.join(repeated, "key", "left_semi").select(*batch.columns), ["key"], order)
+        once = keyed.join(repeated, "key", "left_anti").unionByName(firsts)
+    fresh = once if known is None else once.join(known.select("key"), "key", "left_anti")
+    return fresh.unionByName(batch.filter("key is null")).drop("key")
+
+
+def append_unseen(spark: SparkSession, incoming: DataFrame, path: str, key: str = "record_id", ready: bool = False) -> None:
     """Append what the store does not hold yet, by ``record_id`` or by ``url``.
 
-    Records are not read, and of the key table only the buckets where a key of the batch has its bit set.
+    Records are not read, and of the key table only the buckets where a key of the batch has its bit set. ``ready`` rows are
+    those of a written table, which are not written again before they are looked up.
     """
     order = [F.col("ingestion_timestamp").asc_nulls_last(), F.xxhash64(F.to_json(F.struct("*")))]
     own = _filled("url") if key == "url" else record_key()
-    batch = cut(conform(incoming).withColumn("key", own), "incoming")
-    known = known_keys(spark, path, key, possible_buckets(batch.select("key"), path, key))
-    append(_unseen(batch, known, order, False), path)
+    batch = conform(incoming).withColumn("key", own)
+    if not ready:
+        batch = cut(batch, "incoming")
+    opened = possible_buckets(batch.select("key"), path, key)
+    known = known_keys(spark, path, key, opened) if opened else None
+    append(_unseen_stored(batch, known, order), path, ready=True)
 
 
 def route(records: DataFrame) -> DataFrame:
