@@ -244,3 +244,19 @@ def test_tasks_that_gather_reports_grow_with_the_lines(spark, tmp_path, monkeypa
     assert n > 8
     assert f", {n}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, dealt.collect())) == plain
+
+
+def test_only_reports_of_repeated_urls_are_compared(spark, monkeypatch):
+    """The newest version of every url; urls with one record keep it without an aggregate over it."""
+    rows = [(f"u{i}", f"id{i}-{k}", "GDELT", [f"p{i}", None] if k else None, ["o"], [], None, f"2026-01-0{1 + (i + k) % 3}")
+            for i in range(12) for k in range(1 + (i % 4 == 0) * 2)]
+    rows += [(None, "x", "GDELT", [], [], [], [], None), ("", "y", "GDELT", [], [], [], [], None), ("same", None, None, ["a"], [], [], [], None), ("same", None, None, ["b"], [], [], [], None)]
+    schema = ("url string, record_id string, source string, persons array<string>, organizations array<string>, locations array<string>, "
+              "themes array<string>, ingestion_timestamp string")
+    records = spark.createDataFrame(rows, schema).withColumn("ingestion_timestamp", F.to_timestamp("ingestion_timestamp"))
+    want = sorted(map(str, graph.latest_reports(records).collect()))
+    compared, written = [], graph.last_written
+    monkeypatch.setattr(graph, "last_written", lambda df, *a: (compared.append(df.count()), written(df, *a))[1])
+    found = graph.latest_reports(records, ready=True)
+    assert sorted(map(str, found.collect())) == want and len(want) == 13
+    assert compared == [3 * 3 + 2]

@@ -15,7 +15,7 @@ from .pairs import ALL_FAMILIES, Family, pair_counts
 
 @dataclass
 class Routed:
-    """Records of each route. Indicators and weather alerts never become articles."""
+    """Records of each route, a written table. Indicators and weather alerts never become articles."""
 
     records: DataFrame
 
@@ -36,7 +36,7 @@ class Routed:
 
     def pairs(self, families: list[Family] = ALL_FAMILIES, min_weight: int = 2) -> DataFrame:
         """Scored pairs of the newest version of every article."""
-        return pair_counts(graph.latest_reports(self["article"]), families, min_weight)
+        return pair_counts(graph.latest_reports(self["article"], ready=True), families, min_weight)
 
     def rejected(self) -> DataFrame:
         """Records whose route needs a key that they lack, with the reason."""
