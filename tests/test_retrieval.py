@@ -341,3 +341,22 @@ def reach_by_walking(links, anchors, hops):
             if keys:
                 out[(*anchor, hop)] = keys
     return out
+
+
+def test_tasks_of_a_search_follow_its_rows(spark, monkeypatch):
+    """Many links, and many entries around unfinished anchors, are dealt to a given number of tasks; the answer is the same."""
+    draw = random.Random(5)
+    rows = sorted({("Article", f"a{draw.randrange(90):02d}", "LOCATED_IN", "Location", f"l{draw.randrange(60)}") for _ in range(260)})
+    edges = spark.createDataFrame([(*r, None) for r in rows], "src_label string, src string, rel_type string, dst_label string, dst string, weight bigint")
+    anchors = anchors_of(spark, *[("Location", f"l{i}") for i in range(0, 60, 7)])
+    search = lambda: sorted(map(tuple, expand.nearest(edges, anchors, 3, 8).collect()))
+    want = search()
+    monkeypatch.setattr(ranking, "PER_TASK", 20)
+    monkeypatch.setattr(expand, "MANY_LINKS", 1)
+    few, dealt = spark.range(20), []
+    assert ranking.dealt(few, 20, "id").rdd.getNumPartitions() == few.rdd.getNumPartitions()
+    assert ranking.dealt(few, 999, "id").rdd.getNumPartitions() == 50
+    monkeypatch.setattr(expand, "dealt", lambda df, n, *keys: (dealt.append((n, keys)), ranking.dealt(df, n, *keys))[1])
+    assert search() == want and [keys for _, keys in dealt] == [("near_label", "near"), ("anchor_id", "label", "key")]
+    assert dealt[0][0] == len(rows)
+    assert "REPARTITION_BY_NUM" in expand.short_lists(edges, 8)._jdf.queryExecution().executedPlan().toString()
