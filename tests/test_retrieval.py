@@ -360,3 +360,32 @@ def test_tasks_of_a_search_follow_its_rows(spark, monkeypatch):
     assert search() == want and [keys for _, keys in dealt] == [("near_label", "near"), ("anchor_id", "label", "key")]
     assert dealt[0][0] == len(rows)
     assert "REPARTITION_BY_NUM" in expand.short_lists(edges, 8)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("dense, least", [(512, 50_000), (4, 10), (1, 10)])
+def test_targets_of_the_last_step_are_counted_by_parts(spark, monkeypatch, dense, least):
+    """As rows of bits or as lists, in one part or many; repeated links count once, targets without a key count but are no first key."""
+    from tidewire.operators import reach
+
+    draw = random.Random(3)
+    links = [("Article", f"a{draw.randrange(400):03d}", "HAS_THEME", "Theme", f"t{draw.randrange(90)}", None) for _ in range(500)]
+    links += [("Person", f"p{i % 4}", "MENTIONED_IN", "Article", f"a{i:03d}", 1) for i in range(0, 400, 3)] + links[:50]
+    links += [("Person", "p1", "MENTIONED_IN", "Article", None, 1), ("Person", "lone", "MENTIONED_IN", "Article", None, 1)]
+    edges = spark.createDataFrame(links, EDGES).repartition(3)
+    anchors = [("Theme", f"t{i}") for i in range(90)] + [("Person", "p1"), ("Person", "lone"), ("Person", "nobody")]
+    monkeypatch.setattr(reach, "DENSE", dense)
+    monkeypatch.setattr(reach, "LEAST", least)
+    monkeypatch.setattr(reach, "AT_ONCE", 3)
+    asked = []
+    monkeypatch.setattr(expand, "next_targets", lambda *given: (asked.append(given), reach.next_targets(*given))[1])
+    for hops in (1, 2, 3):
+        want = {}
+        for r in expand.expand(edges, anchors_of(spark, *anchors), hops).collect():
+            want.setdefault((r["anchor_label"], r["anchor"], r["hop"]), []).append(r["key"])
+        found = expand.expand(edges, anchors_of(spark, *anchors), hops, counted=True).collect()
+        assert len(asked) == hops
+        texts = lambda keys: [k for k in keys if k is not None]
+        assert {(r["anchor_label"], r["anchor"], r["hop"]): (r["targets"], r["first_key"], r["last_key"]) for r in found} == {
+            k: (len(keys), min(texts(keys), default=None), max(texts(keys), default=None)) for k, keys in want.items()
+        }
+        assert want[("Person", "lone", 1)] == [None]
