@@ -362,6 +362,14 @@ def test_tasks_of_a_search_follow_its_rows(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in expand.short_lists(edges, 8)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_set_bits_of_words(spark):
+    """Every bit of a word, the sign among them; a word without any gives none."""
+    draw = random.Random(11)
+    words = [0, 1, -1, -(1 << 63), (1 << 63) - 1, 1 << 32, *(draw.getrandbits(64) - (1 << 63) for _ in range(40))]
+    rows = spark.createDataFrame([(w,) for w in words], "w bigint").select("w", expand._set_bits("w", 128).alias("at")).collect()
+    assert {r["w"]: r["at"] for r in rows} == {w: [128 + i for i in range(64) if w >> i & 1] for w in words}
+
+
 @pytest.mark.parametrize("dense, least", [(512, 50_000), (4, 10), (1, 10)])
 def test_targets_of_the_last_step_are_counted_by_parts(spark, monkeypatch, dense, least):
     """As rows of bits or as lists, in one part or many; repeated links count once, targets without a key count but are no first key."""
