@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -397,3 +398,51 @@ def test_targets_of_the_last_step_are_counted_by_parts(spark, monkeypatch, dense
             k: (len(keys), min(texts(keys), default=None), max(texts(keys), default=None)) for k, keys in want.items()
         }
         assert want[("Person", "lone", 1)] == [None]
+
+
+def test_a_second_search_looks_for_new_anchors_only(spark, monkeypatch):
+    """Targets that share anchors: what was found for an anchor is taken over, nothing found too; the hits are those of searches of their own."""
+    draw = random.Random(9)
+    rows = [mention(f"p{draw.randrange(12):02d}", f"a{draw.randrange(40):02d}") for _ in range(70)] + [mention("hub", f"a{i:02d}") for i in range(40)]
+    edges = spark.createDataFrame(rows, EDGES)
+    nodes = spark.createDataFrame([("Person", f"p{i:02d}") for i in range(12)] + [("Person", "hub"), ("Person", "p0none")], "label string, key string")
+    first = spark.createDataFrame([(1, "p0"), (2, "hub")], TARGETS)
+    second = spark.createDataFrame([(3, "p0"), (4, "p11"), (5, "p0none"), (6, "nobody")], TARGETS)
+    asked, searched = [], []
+    whole = cards.nearest
+    monkeypatch.setattr(cards, "nearest", lambda e, anchors, *rest: (asked.append(sorted(r["anchor"] for r in anchors.collect())), whole(e, anchors, *rest))[1])
+    lists = expand.node_lists(edges, 4)
+    found = [cards.hits(t, nodes, edges, limit=4, nearby=lists, searched=searched) for t in (first, second)]
+    assert asked == [sorted(["hub", "p0none", *[f"p{i:02d}" for i in range(10)]]), ["p11"]]
+    for got, targets in zip(found, (first, second)):
+        want = cards.hits(targets, nodes, edges, limit=4)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_finished_anchors_take_no_step(spark, monkeypatch):
+    """Only an anchor that lacks targets goes on to the nodes around it; those of a hub are not looked up."""
+    rows = [mention("hub", f"a{i:02d}") for i in range(9)] + [tie("hub", f"o{i}") for i in range(5)] + [mention("p", "a00"), tie("p", "o1")]
+    edges = spark.createDataFrame(rows + [mention("o1", f"a{i:02d}", "Organization") for i in range(9)], EDGES)
+    going, step = [], expand._step
+    monkeypatch.setattr(expand, "_step", lambda frontier, *rest: (going.append({r["key"] for r in frontier.collect()}), step(frontier, *rest))[1])
+    anchors = anchors_of(spark, ("Person", "hub"), ("Person", "p"))
+    found = expand.nearest(edges, anchors, 3, 3).collect()
+    assert sorted((r["anchor"], r["key"], r["hop"]) for r in found) == [
+        ("hub", "a00", 1), ("hub", "a01", 1), ("hub", "a02", 1), ("p", "a00", 1), ("p", "a01", 2), ("p", "a02", 2)
+    ]
+    assert going == [{"p"}]
+    assert expand.nearest(edges, anchors, 3, 1).count() == 2 and len(going) == 1
+
+
+def test_a_batch_of_edges_is_written_once_for_its_lists(spark, tmp_path, monkeypatch):
+    """However often its lists read it; what is cut on the way is gone when the batch is stored."""
+    from tidewire.operators import adjacency
+
+    read, made = [], adjacency.short_lists
+    monkeypatch.setattr(adjacency, "short_lists", lambda own, *rest: (read.append(own.inputFiles()), made(own, *rest))[1])
+    kept = adjacency.ShortLists(spark, str(tmp_path / "lists"), limit=2)
+    rows = [mention("A", f"a{i}") for i in range(5)] + [tie("A", "o")]
+    assert kept.add(0, spark.createDataFrame(rows, EDGES))
+    assert read[0] and all("/passing-" in f and "/batch-edges-" in f for f in read[0])
+    assert not any(Path(f.removeprefix("file://")).exists() for f in read[0])
+    assert sorted((r["near"], r["far"]) for r in kept.read().collect()) == [("A", f"a{i}") for i in range(3)]
