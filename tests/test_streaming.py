@@ -168,3 +168,40 @@ def test_open_days_of_a_pair_cost_one_read_and_one_write_per_batch():
     # Days that come later need no other timer.
     list(state.handleInputRows(("a",), iter([{"day": 20, "weight": 1}]), None))
     assert calls[3:] == ["get", "update"]
+
+
+def test_published_files_are_compressed_and_their_lines_dealt(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("topic", "out", "state"))
+    rows = [{"record_id": str(i), "persons": ["somebody with a long name"] * 9} for i in range(300)]
+    records = spark.createDataFrame([(r["record_id"], r["persons"]) for r in rows], "record_id string, persons array<string>").coalesce(1)
+    topic.publish_files(records, source)
+    files = [f for f in (tmp_path / "topic").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.suffix == ".gz" for f in files)
+    assert sum(f.stat().st_size for f in files) * 4 < sum(len(json.dumps(r)) for r in rows)
+    lines = topic.subscribe_files(spark, source, 1)
+    tasks = []
+    write = enrich.BatchWriter(out)
+    both = lambda batch, i: (tasks.append(batch.rdd.getNumPartitions()), write(batch, i))
+    lines.writeStream.foreachBatch(both).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    assert tasks == [spark.sparkContext.defaultParallelism]
+    assert sorted(r["record_id"] for r in enrich.read_enriched(spark, out).collect()) == sorted(r["record_id"] for r in rows)
+
+
+def test_stream_graph_gathers_the_reports_once(spark, tmp_path, monkeypatch):
+    from tidewire.plans import queries, views
+
+    rows = [
+        ("r1", "u1", "GDELT", "x", "20260101", ["Mr A,1"], ["B#1"], ["1#C#XX"], ["T,1"], "1", "1997-01-01 00:00:00", "P", 1),
+        ("r2", "u2", "PIB", "x", "20260102", ["A"], ["B#1"], None, None, None, "1999-01-01 00:00:00", "O", 2),
+    ]
+    names = ("record_id string, url string, source string, source_name string, date string, persons array<string>, organizations array<string>, "
+             "locations array<string>, themes array<string>, tone string, t string, status string, order_key bigint")
+    reports, made = spark.createDataFrame(rows, names).withColumn("ingestion_timestamp", F.to_timestamp("t")).drop("t"), []
+    monkeypatch.setattr(views.Views, "reports", lambda self: (made.append(1), reports)[1])
+    found = {(r["src"], r["rel_type"], r["dst"]): r["weight"] for r in queries.REGISTRY["stream_graph"](spark, str(tmp_path)).collect()}
+    # The report that is in progress comes twice.
+    assert found == {
+        ("A", "MENTIONED_IN", "u1"): 2, ("B#1", "MENTIONED_IN", "u1"): 2, ("A", "MENTIONED_IN", "u2"): 1, ("B#1", "MENTIONED_IN", "u2"): 1,
+        ("A", "ASSOCIATED_WITH", "B#1"): 3,
+    }
+    assert len(made) == 1
